@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import topn
+from . import setjoin, topn
 
-_MODULES = [topn]
+_MODULES = [setjoin, topn]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
