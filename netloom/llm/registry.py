@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import setjoin, topn
+from . import pairs, setjoin, topn
 
-_MODULES = [setjoin, topn]
+_MODULES = [setjoin, topn, pairs]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
