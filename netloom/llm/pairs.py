@@ -17,28 +17,47 @@ from ..sources.tables import table, unblank
 
 #: Most items of a record held in one row.
 BLOCK = 512
+#: Items of a scope that one lane (and task) takes.
+LANE_ITEMS = 50_000
 
 
-def distinct_items(rows: DataFrame, scope: str, record: list[str], item: str) -> DataFrame:
-    """Distinct (scope, record..., item); rows without scope, record or item are left out, blanks removed."""
-    d = rows.select(scope, *record, unblank(item).alias("item")).dropna()
-    return d.distinct()
+def valid_items(rows: DataFrame, scope: str, record: list[str], item: str) -> DataFrame:
+    """(scope, record..., item) of the rows that count: nothing null, blanks removed, no blank item."""
+    return rows.select(scope, *record, unblank(item).alias("item")).dropna()
 
 
-def with_marginals(items: DataFrame, scope: str, record: list[str], support: int, ratio: int) -> DataFrame:
-    """Items with ``a`` (records of the item within its scope) and ``n`` (records of the scope), pruned exactly."""
-    n = items.select(scope, *record).distinct().groupBy(scope).agg(F.count("*").alias("n"))
-    a = items.groupBy(scope, "item").agg(F.count("*").cast("int").alias("a")).where(F.col("a") >= support)
-    keep = a.join(n, scope).where(F.col("a") * ratio <= F.col("n"))
-    return items.join(keep, [scope, "item"])
+def record_sizes(items: DataFrame, scope: str, record: list[str]) -> DataFrame:
+    """Rows of each record: an upper bound of its distinct items, from one small exchange."""
+    return items.groupBy(scope, *record).agg(F.count("*").alias("size"))
+
+
+def scope_sizes(sizes: DataFrame, scope: str) -> DataFrame:
+    """n (records) and lanes of each scope: a scope of many items is spread over lanes of about LANE_ITEMS."""
+    return sizes.groupBy(scope).agg(F.count("*").alias("n"), F.ceil(F.sum("size") / LANE_ITEMS).cast("int").alias("lanes"))
+
+
+def with_marginals(distinct: DataFrame, scopes: DataFrame, scope: str, support: int, ratio: int) -> DataFrame:
+    """Items with ``a`` (records of the item within its scope), ``n`` and ``lanes`` of the scope, pruned exactly."""
+    a = distinct.groupBy(scope, "item").agg(F.count("*").cast("int").alias("a")).where(F.col("a") >= support)
+    return distinct.join(a.join(scopes, scope).where(F.col("a") * ratio <= F.col("n")), [scope, "item"])
 
 
 def emitted(items: DataFrame, scope: str, record: list[str]) -> DataFrame:
-    """(scope, n, gene_1, a, gene_2, b) for every pair of items of a record, gene_1 < gene_2."""
+    """(scope, lane, lanes, n, gene_1, a, gene_2, b) for every pair of items of a record, gene_1 < gene_2.
+
+    Records of a scope lie together in its lanes, so equal pairs meet in one task before anything is shuffled.
+    """
     it = F.struct(F.col("item").alias("g"), "a")
-    small = items.groupBy(scope, *record).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(it)).alias("x"))
-    first = small.select(scope, "n", "x", F.posexplode("x").alias("i", "p"))
-    return first.where(F.col("i") + 1 < F.size("x")).select(scope, "n", "p", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("q")).select(scope, "n", F.col("p.g").alias("gene_1"), F.col("p.a").alias("a"), F.col("q.g").alias("gene_2"), F.col("q.a").alias("b"))
+    lane = F.pmod(F.xxhash64(*record), F.col("lanes")).cast("int")
+    small = items.withColumn("lane", lane).repartition(scope, "lane").groupBy(scope, "lane", *record).agg(F.first("n").alias("n"), F.first("lanes").alias("lanes"), F.sort_array(F.collect_list(it)).alias("x"))
+    first = small.select(scope, "lane", "lanes", "n", "x", F.posexplode("x").alias("i", "p"))
+    second = first.where(F.col("i") + 1 < F.size("x")).select(scope, "lane", "lanes", "n", "p", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("q"))
+    return second.select(scope, "lane", "lanes", "n", F.col("p.g").alias("gene_1"), F.col("p.a").alias("a"), F.col("q.g").alias("gene_2"), F.col("q.a").alias("b"))
+
+
+def counted(pairs: DataFrame, scope: str, *by: str) -> DataFrame:
+    """Pairs with their count and marginals, by scope and what else is given."""
+    return pairs.groupBy(scope, *by, "gene_1", "gene_2").agg(F.sum("c").alias("c"), F.first("a").alias("a"), F.first("b").alias("b"), F.first("n").alias("n"))
 
 
 def emitted_blocks(items: DataFrame, scope: str, record: list[str], sizes: DataFrame) -> DataFrame:
@@ -59,18 +78,22 @@ def cooccurrence(rows: DataFrame, scope: str, record: list[str], item: str, supp
     Rows with a null in scope, record or item, and blank items, are left out; repeated rows count once; records of one
     item have no pair but count in n; an empty table gives no rows; extra columns are ignored.
     """
-    items = with_marginals(distinct_items(rows, scope, record, item), scope, record, support, ratio)
-    sizes = items.groupBy(scope, *record).agg(F.count("*").alias("size"))
-    has_big = not sizes.where(F.col("size") > BLOCK).isEmpty()
-    if has_big:
-        rest = items.join(sizes.where(F.col("size") > BLOCK), [scope, *record], "left_anti")
-        pairs = emitted(rest, scope, record).unionByName(emitted_blocks(items, scope, record, sizes))
-    else:
-        pairs = emitted(items, scope, record)
-    c = pairs.groupBy(scope, "gene_1", "gene_2").agg(F.count("*").alias("n_both"), F.first("a").alias("n_1"), F.first("b").alias("n_2"), F.first("n").alias("n_records"))
-    lift = F.col("n_both").cast("double") * F.col("n_records") / (F.col("n_1").cast("double") * F.col("n_2"))
-    hit = (F.col("n_both") >= support) & (F.col("n_both") * F.col("n_records") >= F.lit(ratio).cast("long") * F.col("n_1") * F.col("n_2"))
-    return c.where(hit).select(scope, "gene_1", "gene_2", "n_both", "n_1", "n_2", "n_records", F.round(lift, 6).alias("lift"), F.round(F.log2(lift), 6).alias("pmi"))
+    valid = valid_items(rows, scope, record, item)
+    sizes = record_sizes(valid, scope, record)
+    big = sizes.where(F.col("size") > BLOCK)
+    has_big = not big.isEmpty()
+    items = with_marginals(valid.distinct(), scope_sizes(sizes, scope), scope, support, ratio)
+    local = counted(emitted(items.join(big, [scope, *record], "left_anti") if has_big else items, scope, record).withColumn("c", F.lit(1)), scope, "lane", "lanes")
+    alone = F.col("lanes") == 1
+    if has_big:  # a scope's pairs may come from either way
+        c = counted(local.drop("lane", "lanes").unionByName(emitted_blocks(items, scope, record, sizes).withColumn("c", F.lit(1).cast("bigint"))), scope)
+        done = c
+    else:  # a scope in one lane is counted already
+        c = counted(local.where(~alone), scope)
+        done = local.where(alone).select(*c.columns).unionByName(c)
+    lift = F.col("c").cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b"))
+    hit = (F.col("c") >= support) & (F.col("c") * F.col("n") >= F.lit(ratio).cast("long") * F.col("a") * F.col("b"))
+    return done.where(hit).select(scope, "gene_1", "gene_2", F.col("c").alias("n_both"), F.col("a").alias("n_1"), F.col("b").alias("n_2"), F.col("n").alias("n_records"), F.round(lift, 6).alias("lift"), F.round(F.log2(lift), 6).alias("pmi"))
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
