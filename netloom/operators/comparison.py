@@ -44,11 +44,11 @@ def compare_neighborhoods(nets: Networks, orthologs: DataFrame, neighbours: Data
     effect = (x/k)/(m/N) if k, m > 0 else 1; jaccard = x / |A or B|, 0 if empty. B is de-duplicated after mapping, so a
     multi-copy ortholog counts once. No usable row gives an empty table.
     """
-    # three inputs that several branches read are written once: neighbours (a few percent of the weights), bridge rows, result
+    # what several branches read is written once: neighbours (a few percent of the weights), bridge rows, mapped sets, result
     nbr = cut((nets.neighbours() if neighbours is None else neighbours).select("species", "g", "nb"))
     d = cut(_directed(usable_orthologs(orthologs, nets.genes)))
     bridge = d.select("d", *PAIR, "so", "o", "a").distinct()
-    mapped = nbr.select(F.col("species").alias("so"), F.col("nb").alias("o"), F.col("g").alias("og")).join(bridge, ["so", "o"]).select("d", *PAIR, F.col("og").alias("o"), F.col("a").alias("member")).distinct()
+    mapped = cut(nbr.select(F.col("species").alias("so"), F.col("nb").alias("o"), F.col("g").alias("og")).join(bridge, ["so", "o"]).select("d", *PAIR, F.col("og").alias("o"), F.col("a").alias("member")).distinct())
     k = mapped.groupBy("d", *PAIR, "o").agg(F.count("*").alias("k"))
     m = nbr.groupBy(F.col("species").alias("sa"), F.col("g").alias("a")).agg(F.count("*").alias("m"))
     x = (
@@ -68,8 +68,8 @@ def compare_neighborhoods(nets: Networks, orthologs: DataFrame, neighbours: Data
         F.when(union > 0, x_ / F.greatest(union, F.lit(1))).otherwise(0.0).alias("jaccard"),
     )
     cols = ["neigh", "ortho_neigh", "overlap", "p_con", "p_div", "effect", "jaccard"]
-    # the two directions of a row meet in an aggregation
-    return cut(t.groupBy(*ROW).agg(*[F.max(F.when(F.col("d") == i, F.col(c))).alias(f"sp{i}_{c}") for i in (1, 2) for c in cols]))
+    # the two directions of a row meet in an aggregation; the tails are computed once before it
+    return cut(cut(t).groupBy(*ROW).agg(*[F.max(F.when(F.col("d") == i, F.col(c))).alias(f"sp{i}_{c}") for i in (1, 2) for c in cols]))
 
 
 def summarize_comparison(comparison: DataFrame, alternative: str = "greater", filter_zero: bool | None = None) -> DataFrame:

@@ -36,7 +36,7 @@ def variance_filter(profiles: DataFrame, min_var: float | None = 0.0) -> DataFra
     return profiles if min_var is None else profiles.where(sample_variance("values") > min_var)
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
+def row_ranks(x: np.ndarray) -> np.ndarray:
     """Row-wise ranks, ties sharing their mean."""
     order = np.argsort(x, axis=1, kind="stable")
     out = np.empty_like(x)
@@ -48,8 +48,17 @@ def _ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def standard_rows(x: np.ndarray, method: str = "pearson") -> np.ndarray:
+    """Rows centred and scaled to length 1 (their ranks for spearman); constant rows become zeros."""
+    if method == "spearman":
+        x = row_ranks(x)
+    x = x - x.mean(axis=1, keepdims=True)
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
 def standardised(profiles: DataFrame, method: str = "pearson") -> DataFrame:
-    """Profiles centred and scaled to length 1 (ranks for spearman); constant profiles become zeros."""
+    """(species, gene, z): standard rows, batch by batch."""
     if method not in ("pearson", "spearman"):
         raise ValueError("method must be pearson or spearman")
 
@@ -57,15 +66,9 @@ def standardised(profiles: DataFrame, method: str = "pearson") -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.array(b.column(2).to_pylist(), dtype=np.float64)
-            if method == "spearman":
-                x = _ranks(x)
-            x = x - x.mean(axis=1, keepdims=True)
-            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
-            flat = pa.array(x.ravel())
+            x = standard_rows(np.array(b.column(2).to_pylist(), dtype=np.float64), method)
             ends = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, flat)], ["species", "gene", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], ["species", "gene", "z"])
 
     return profiles.select("species", "gene", "values").mapInArrow(run, "species string, gene string, z array<double>")
 
