@@ -5,7 +5,8 @@ length ``n - ceil(t n) + l``, and the l rarest shared tokens all lie there. So a
 rarest shared token, or by its two rarest, and so on. The join starts with single tokens of the shortest prefix;
 a token (or combination) that more than ``SPLIT`` records of neighbouring size hold is replaced by its combinations with
 one more, later token of the longer prefix. Common tokens thus never carry a join alone, rare ones cost one key each,
-and a pair is met once, at its own combination. Candidates are verified on the whole sets.
+and a pair is met at its own combination. A pair that shares just the combination is met before it is extended: since the
+overlap is at least t times the larger set, only small sets have such pairs. Candidates are verified on the whole sets.
 
 Equal sets are joined once: the join runs over distinct sets (classes), and members are joined to the result.
 """
@@ -20,6 +21,8 @@ from ..sources.tables import cut, table
 SPLIT = 64
 #: Longest combination; the combinations left at this length are joined whatever their frequency.
 MAX_LENGTH = 4
+#: Smallest set that takes part.
+LEAST = 3
 #: Jaccard threshold as a fraction (numerator, denominator).
 THRESHOLD = (3, 5)
 
@@ -59,6 +62,17 @@ def _prefix(n: Column, length: int, t: tuple[int, int]) -> Column:
     return F.least(n, n - F.ceil(n * t[0] / t[1]).cast("int") + length)
 
 
+def _join(keys: DataFrame, t: tuple[int, int], found: DataFrame | None, most: int | None = None) -> DataFrame:
+    """``found`` and the pairs that meet at a key, fit in size, and have at most ``most`` members together."""
+    a = keys.select("key", "sc", F.col("class_id").alias("a"), F.col("n").alias("na"))
+    b = keys.select("key", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), F.col("sc").alias("scb"), F.col("class_id").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("na") * t[1] >= F.col("nb") * t[0]) & (F.col("nb") * t[1] >= F.col("na") * t[0])
+    if most is not None:
+        fits = fits & (F.col("na") + F.col("nb") <= most)
+    pairs = a.join(b, ["key", "sc"]).where(fits & ((F.col("scb") > F.col("sc")) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs if found is None else found.unionAll(pairs)
+
+
 def candidates(sets: DataFrame, t: tuple[int, int] = THRESHOLD, split: int = SPLIT, max_length: int = MAX_LENGTH) -> DataFrame:
     """Pairs a < b of class ids that share a key and fit in size."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t[1] / t[0])) + 1e-9).cast("int")
@@ -73,13 +87,13 @@ def candidates(sets: DataFrame, t: tuple[int, int] = THRESHOLD, split: int = SPL
         heavy = load.where(F.col("c") > split).groupBy("key").agg(F.count("*").alias("_h"))
         live = load.where(F.col("c") > 1).select("key").distinct().join(heavy, "key", "left").select("key", F.col("_h").isNotNull().alias("heavy"))
         keys = cut(keys.join(live, "key"))
-        light = keys.where(~F.col("heavy")) if length < max_length else keys
-        a = light.select("key", "sc", F.col("class_id").alias("a"), F.col("n").alias("na"))
-        b = light.select("key", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), F.col("sc").alias("scb"), F.col("class_id").alias("b"), F.col("n").alias("nb"))
-        fits = (F.col("na") * t[1] >= F.col("nb") * t[0]) & (F.col("nb") * t[1] >= F.col("na") * t[0])
-        pairs = a.join(b, ["key", "sc"]).where(fits & ((F.col("scb") > F.col("sc")) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = pairs if found is None else found.unionAll(pairs)
-        if length == max_length or keys.where("heavy").isEmpty():
+        last = length == max_length
+        found = _join(keys if last else keys.where(~F.col("heavy")), t, found)
+        # pairs that share no more than this combination can't be met by a longer one; only small sets have such pairs
+        most = length * (t[0] + t[1]) // t[0]
+        if not last and most >= 2 * LEAST:
+            found = _join(keys.where(F.col("heavy") & (F.col("n") <= most - LEAST)), t, found, most)
+        if last or keys.where("heavy").isEmpty():
             break
         longer = _prefix(F.col("n"), length + 1, t)
         keys = keys.where("heavy").select("class_id", "n", "sc", "toks", "key", "at", F.posexplode(F.slice("toks", F.col("at") + 1, F.greatest(F.lit(0), longer - F.col("at")))).alias("p", "tok")).select("class_id", "n", "sc", "toks", F.xxhash64("key", "tok").alias("key"), (F.col("at") + F.col("p") + 1).alias("at"))
@@ -98,7 +112,7 @@ def similar_classes(classes: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataF
 def both_tables(modules: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes and membership over both tables; members know whether they are curated (``ref``)."""
     rows = modules.select("module_id", "module_genes").unionByName(refs.select("module_id", "module_genes"))
-    classes, member = set_classes(rows, "module_id", "module_genes", 3)
+    classes, member = set_classes(rows, "module_id", "module_genes", LEAST)
     return cut(classes), cut(member.join(refs.select(F.col("module_id").alias("id"), F.lit(True).alias("ref")).distinct(), "id", "left").withColumn("ref", F.coalesce("ref", F.lit(False))))
 
 
