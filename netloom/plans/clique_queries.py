@@ -99,15 +99,61 @@ def _slot(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "label").where("g1 < g2").select("g1", "g2", F.round(Q.slot_jaccard("s1", "s2"), 6).alias("jaccard"))
 
 
-@query("classify_cliques")
+def _sets_sql() -> list[tuple[str, str]]:
+    """Feasible maximal species sets of every group with their least mean q, for four species with at most ten genes each."""
+    sp = list(SPECIES)
+    edge = lambda x, y: f"(select hog, gene1 as {x}, gene2 as {y}, q as q_{x}{y} from ce where species1 = '{dict(zip('abcd', sp))[x]}' and species2 = '{dict(zip('abcd', sp))[y]}')"
+    pairs = ["ab", "ac", "ad", "bc", "bd", "cd"]
+    triples = ["abc", "abd", "acd", "bcd"]
+    of = lambda s: [p for p in pairs if set(p) <= set(s)]
+
+    def best(s: str) -> str:
+        first, *rest = of(s)
+        text, have = f"{edge(*first)} e0", set(first)
+        for k, p in enumerate(rest, 1):
+            text += f" join {edge(*p)} e{k} using ({', '.join(['hog', *sorted(set(p) & have)])})"
+            have |= set(p)
+        return f"select hog, '{s}' as s, min(({' + '.join(f'q_{p}' for p in of(s))}) / {len(of(s))}) as mq from {text} group by hog"
+
+    return [
+        ("ce", "select hog, gene1, gene2, species1, species2, q from edges where type = 'conserved'"),
+        ("b2", " union all ".join(best(p) for p in pairs)),
+        ("b3", " union all ".join(best(t) for t in triples)),
+        ("b4", best("abcd")),
+        ("k3", " union all ".join(f"select hog, '{t}' as s from b2 group by hog having count(*) filter (s in ({', '.join(repr(p) for p in of(t))})) = 3" for t in triples)),
+        ("k4", "select hog from b2 group by hog having count(*) = 6"),
+        ("fc", """select hog, s, mq from b4 union all select hog, s, mq from b3 where hog not in (select hog from k4)
+          union all select b2.hog, b2.s, mq from b2 where not exists (select 1 from k3 where k3.hog = b2.hog and contains(k3.s, b2.s[1]) and contains(k3.s, b2.s[2]))"""),
+        ("fg", """select hog, bool_or(len(s) = 4) as complete, bool_or((contains(s, 'a') or contains(s, 'c')) and (contains(s, 'b') or contains(s, 'd'))) as crossing,
+            min((mq, len(s))) as bf, min((mq, len(s))) filter (len(s) = 4) as bc from fc group by hog"""),
+        ("wi", "select hog, string_agg(case s when 'ac' then 'annual' else 'perennial' end, ',' order by s) as ts, count(*) as n, min(mq) as mq from b2 where s in ('ac', 'bd') group by hog"),
+        ("cx", "select distinct hog from b2 where s not in ('ac', 'bd')"),
+        ("cf", """select h.hog, case when complete then 'complete' when crossing then 'partial' when wi.n = 2 and h.hog not in (select hog from cx) then 'differentiated' when wi.n = 1 then 'trait_specific' else 'unclassified' end as classification,
+            bf, bc, wi.mq, wi.ts from (select distinct hog from edges) h left join fg on fg.hog = h.hog left join wi on wi.hog = h.hog"""),
+    ]
+
+
+@query("classify_cliques", upto("edges", """select hog, classification, cast(case classification when 'complete' then 4 when 'partial' then bf[2] when 'unclassified' then null else 2 end as integer) as n_species,
+  round(case classification when 'complete' then bc[1] when 'partial' then bf[1] when 'unclassified' then null else mq end, 6) as best_mean_q, case when classification in ('differentiated', 'trait_specific') then ts end as trait_groups from cf""", extra=_sets_sql()))
 def _classify(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Q.classify_cliques(edges(spark, d, SPECIES), list(SPECIES), TRAITS))
 
 
-@query("clique_threshold_sweep")
+_STEPS = (1.01, 1.02, 1.03)
+
+
+def _sweep_sql() -> str:
+    base = upto("edges", "select hog, a, b, c from bt", species="0, 1, 2", extra=_TRIPLES)
+    found = " union all ".join(f"select {m} as m, * from ({upto('edges', 'select hog, a, b, c from bt', species='0, 1, 2', extra=_TRIPLES, mult=str(m))})" for m in _STEPS)
+    return f"""with base as materialized ({base}), found as materialized ({found}),
+      t as (select base.hog, m.m, (cast(base.a = f.a as integer) + cast(base.b = f.b as integer) + cast(base.c = f.c as integer)) / 3 as j from base cross join (values {', '.join(f'({m})' for m in _STEPS)}) as m(m) left join found f on f.hog = base.hog and f.m = m.m)
+      select hog, cast(1 as integer) as clique, 1.0 as birth, cast(min(m) filter (coalesce(j, 0) < 0.5) as double) as death, round(cast(min(m) filter (coalesce(j, 0) < 0.5) as double) - 1, 6) as persistence from t group by hog"""
+
+
+@query("clique_threshold_sweep", _sweep_sql())
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
     n, o = nets(spark, d), orthologs(spark, d)
-    return rounded(Q.clique_threshold_sweep(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, [1.01, 1.02, 1.03])[1])
+    return rounded(Q.clique_threshold_sweep(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, list(_STEPS))[1])
 
 
 @query("clique_perturbation")
@@ -116,7 +162,19 @@ def _perturb(spark: SparkSession, d: str) -> DataFrame:
     return rounded(Q.clique_perturbation_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, n_boot=3, noise_sd=5.0))
 
 
-@query("clique_intensity_test")
+def _intensity_sql() -> str:
+    base = upto("edges", "select hog, it from bt", species="0, 1, 2", extra=_TRIPLES)
+    shuffled = """select l.sp1, l.sp2, l.gene1, r.gene2, l.hog from (select *, row_number() over (partition by sp1, sp2 order by gene1, gene2, hog) as slot from ortho0) l
+      join (select *, row_number() over (partition by sp1, sp2 order by md5(concat_ws('|', '1', '{p}', gene1 || ':' || gene2 || ':' || hog)), gene1, gene2, hog) as slot from ortho0) r on l.sp1 = r.sp1 and l.sp2 = r.sp2 and l.slot = r.slot"""
+    null = " union all ".join("select * from (" + upto("edges", "select hog, it from bt", species="0, 1, 2", extra=_TRIPLES, before={"ortho": shuffled.replace("{p}", str(p))}) + ")" for p in (1, 2, 3))
+    return f"""with base as materialized ({base}), nul as materialized ({null})
+      select base.hog, cast(1 as integer) as clique, round(any_value(base.it), 6) as intensity, round(avg(nul.it), 6) as null_mean, round(stddev_samp(nul.it), 6) as null_sd,
+        round(case when stddev_samp(nul.it) > 0 then (any_value(base.it) - avg(nul.it)) / stddev_samp(nul.it) end, 4) as z, count(nul.it) as n_matched,
+        round(case when count(nul.it) > 0 then (count(*) filter (nul.it >= base.it) + 1) / (count(nul.it) + 1) end, 6) as p_value from base left join nul on nul.hog = base.hog group by base.hog"""
+
+
+@query("clique_intensity_test", _intensity_sql())
 def _intensity(spark: SparkSession, d: str) -> DataFrame:
     n, o = nets(spark, d), orthologs(spark, d)
-    return rounded(Q.clique_intensity_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, n_perm=3))
+    t = rounded(Q.clique_intensity_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, n_perm=3))
+    return t.withColumn("z", F.round("z", 4))

@@ -82,11 +82,14 @@ EDGES: list[tuple[str, str]] = [
 ]
 
 
-def upto(last: str, body: str, species: str = "0, 1, 2, 3", extra: list[tuple[str, str]] = (), mult: str = "1.0") -> str:
-    """``with`` the chain (and EDGES behind it) up to ``last``, then ``extra`` tables, then ``body``."""
+def upto(last: str, body: str, species: str = "0, 1, 2, 3", extra: list[tuple[str, str]] = (), mult: str = "1.0", before: dict[str, str] | None = None) -> str:
+    """``with`` the chain (and EDGES behind it) up to ``last``, then ``extra`` tables, then ``body``; ``before`` replaces a table by a text over ``<name>0``, the table as it was."""
     tables = []
     for name, text in [*CHAIN, *EDGES]:
-        tables.append((name, text))
+        if name in (before or {}):
+            tables += [(f"{name}0", text), (name, before[name])]
+        else:
+            tables.append((name, text))
         if name == last:
             break
     tables += list(extra)
