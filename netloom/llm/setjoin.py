@@ -77,8 +77,8 @@ def candidates(sets: DataFrame, t: tuple[int, int] = THRESHOLD, split: int = SPL
     """Pairs a < b of class ids that share a key and fit in size."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t[1] / t[0])) + 1e-9).cast("int")
     base = sets.withColumn("sc", size_class)
-    # key: the combination so far; at: position (1-based) of its last token
-    keys = base.select("class_id", "n", "sc", "toks", F.posexplode(F.slice("toks", 1, _prefix(F.col("n"), 1, t))).alias("p", "tok")).select("class_id", "n", "sc", "toks", F.col("tok").alias("key"), (F.col("p") + 1).alias("at"))
+    # key: the combination so far; at: position (1-based) of its last token. Sets are joined back only to keys that are extended
+    keys = base.select("class_id", "n", "sc", F.posexplode(F.slice("toks", 1, _prefix(F.col("n"), 1, t))).alias("p", "tok")).select("class_id", "n", "sc", F.col("tok").alias("key"), (F.col("p") + 1).alias("at"))
     found: DataFrame | None = None
     for length in range(1, max_length + 1):
         counts = keys.groupBy("key", "sc").agg(F.count("*").alias("c"))
@@ -96,16 +96,24 @@ def candidates(sets: DataFrame, t: tuple[int, int] = THRESHOLD, split: int = SPL
         if last or keys.where("heavy").isEmpty():
             break
         longer = _prefix(F.col("n"), length + 1, t)
-        keys = keys.where("heavy").select("class_id", "n", "sc", "toks", "key", "at", F.posexplode(F.slice("toks", F.col("at") + 1, F.greatest(F.lit(0), longer - F.col("at")))).alias("p", "tok")).select("class_id", "n", "sc", "toks", F.xxhash64("key", "tok").alias("key"), (F.col("at") + F.col("p") + 1).alias("at"))
+        more = keys.where("heavy").select("class_id", "n", "sc", "key", "at").join(sets.select("class_id", "toks"), "class_id")
+        more = more.select("class_id", "n", "sc", "key", "at", F.posexplode(F.slice("toks", F.col("at") + 1, F.greatest(F.lit(0), longer - F.col("at")))).alias("p", "tok"))
+        keys = more.select("class_id", "n", "sc", F.xxhash64("key", "tok").alias("key"), (F.col("at") + F.col("p") + 1).alias("at"))
     return found.distinct()
 
 
 def similar_classes(classes: DataFrame, t: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Pairs of distinct sets (a < b) with overlap and jaccard at or above t, verified on whole sets."""
-    cand = candidates(ordered(classes), t)
+    sets = cut(ordered(classes))
+    cand = candidates(sets, t)
+    # first on the tokens, half as wide as the names: hash collisions can only raise the bound
+    dup = F.col("n") - F.size(F.array_distinct("toks"))
+    side = lambda c: sets.select(F.col("class_id").alias(c), F.col("toks").alias(f"t{c}"), F.col("n").alias(f"n{c}"), dup.alias(f"d{c}"))
+    bound = F.size(F.array_intersect("ta", "tb")) + F.col("da") + F.col("db")
+    near = cand.join(side("a"), "a").join(side("b"), "b").where(bound * (t[0] + t[1]) >= (F.col("na") + F.col("nb")) * t[0]).select("a", "b")
     one = classes.select(F.col("class_id").alias("a"), F.col("items").alias("ia"), F.col("n").alias("na"))
     two = classes.select(F.col("class_id").alias("b"), F.col("items").alias("ib"), F.col("n").alias("nb"))
-    v = cand.join(one, "a").join(two, "b").withColumn("overlap", F.size(F.array_intersect("ia", "ib"))).withColumn("_u", F.col("na") + F.col("nb") - F.col("overlap"))
+    v = near.join(one, "a").join(two, "b").withColumn("overlap", F.size(F.array_intersect("ia", "ib"))).withColumn("_u", F.col("na") + F.col("nb") - F.col("overlap"))
     return v.where(F.col("overlap") * t[1] >= F.col("_u") * t[0]).select("a", "b", "overlap", F.round(F.col("overlap") / F.col("_u"), 6).alias("jaccard"))
 
 
