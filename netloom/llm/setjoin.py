@@ -39,7 +39,7 @@ def set_classes(records: DataFrame, key: str, members: str, least: int) -> tuple
     found by a 128-bit digest together with the size, so no group is gathered and no long array is a shuffle key.
     """
     sets = records.select(F.col(key).alias("id"), clean_set(members).alias("items")).where(F.size("items") >= least)
-    sets = sets.withColumn("digest", F.md5(F.array_join("items", "\u0001"))).withColumn("n", F.size("items"))
+    sets = cut(sets.withColumn("digest", F.md5(F.array_join("items", "\u0001"))).withColumn("n", F.size("items")))
     heads = sets.groupBy("digest", "n").agg(F.min("id").alias("class_id"))
     classes = sets.select(F.col("id").alias("class_id"), "items", "n").join(heads.select("class_id"), "class_id", "left_semi")
     return classes, sets.select("id", "digest", "n").join(heads, ["digest", "n"]).select("id", "class_id")
@@ -121,7 +121,7 @@ def both_tables(modules: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFra
     """Classes and membership over both tables; members know whether they are curated (``ref``)."""
     rows = modules.select("module_id", "module_genes").unionByName(refs.select("module_id", "module_genes"))
     classes, member = set_classes(rows, "module_id", "module_genes", LEAST)
-    return cut(classes), cut(member.join(refs.select(F.col("module_id").alias("id"), F.lit(True).alias("ref")).distinct(), "id", "left").withColumn("ref", F.coalesce("ref", F.lit(False))))
+    return classes, cut(member.join(refs.select(F.col("module_id").alias("id"), F.lit(True).alias("ref")).distinct(), "id", "left").withColumn("ref", F.coalesce("ref", F.lit(False))))
 
 
 def similar_records(modules: DataFrame, refs: DataFrame) -> DataFrame:
