@@ -12,7 +12,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import cut, spread
 from . import clique_kernel as K
 from .comparison import find_coexpressologs
 from .network import Networks, both_ways
@@ -77,7 +77,7 @@ def find_cliques(edges: DataFrame, species: list[str], min_species: int | None =
         return pd.DataFrame(rows, columns=[*keys, "hog", "clique", "genes", *STAT_NAMES])
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["hog string", "clique int", "genes array<string>", STATS])
-    return e.groupBy(*keys, "hog").applyInPandas(run, schema)
+    return spread(e, *keys, "hog").groupBy(*keys, "hog").applyInPandas(run, schema)
 
 
 def wide(cliques: DataFrame, species: list[str]) -> DataFrame:
@@ -133,7 +133,7 @@ def clique_stability(edges: DataFrame, species: list[str], cliques: DataFrame, a
             res.append([hog, None, key[1], len(out), None, len(reduced) - len(taken)])
         return pd.DataFrame(res, columns=["hog", "clique", "removed", "k", "stable", "n_novel"]).astype({"clique": "Int32", "stable": "boolean"})
 
-    t = cut(e.groupBy("hog", "removed").cogroup(c.groupBy("hog", "removed")).applyInPandas(run, "hog string, clique int, removed string, k int, stable boolean, n_novel int"))
+    t = cut(spread(e, "hog", "removed").groupBy("hog", "removed").cogroup(spread(c, "hog", "removed").groupBy("hog", "removed")).applyInPandas(run, "hog string, clique int, removed string, k int, stable boolean, n_novel int"))
     return t.where(F.col("clique").isNotNull()).drop("n_novel"), t.where(F.col("clique").isNull()).select("hog", "removed", "n_novel")
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.stats import hypergeom_lower, hypergeom_upper, q_values
-from ..sources.tables import cut
+from ..sources.tables import cut, spread
 from .network import Networks, both_ways
 
 PAIR = ["sp1", "sp2"]
@@ -58,6 +58,7 @@ def compare_neighborhoods(nets: Networks, orthologs: DataFrame, neighbours: Data
     )
     n = nets.sizes().select(F.col("species").alias("sa"), F.col("n_genes").alias("n"))
     t = d.join(m, ["sa", "a"], "left").join(k, ["d", *PAIR, "o"], "left").join(x, ["d", *ROW], "left").join(n, "sa").fillna(0, ["m", "k", "x"])
+    t = spread(t, "d", *ROW)
     m_, k_, x_, n_ = (F.col(c) for c in "mkxn")
     some, union = (k_ > 0) & (m_ > 0), m_ + k_ - x_
     t = t.select(

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.stats import adjusted_rand as ari, bc_support, discrete_q_values, hypergeom_upper, q_values, sequential_p
-from ..sources.tables import cut
+from ..sources.tables import cut, spread
 from . import graph_kernels as G
 from .network import Networks
 from .permutation import draw_order
@@ -67,7 +67,7 @@ def detect_modules(nets: Networks, method: str = "leiden", resolutions: list[flo
         return pd.DataFrame({"species": key[0], "resolution": key[1], "gene": names, "module": com + 1})
 
     rows = _with_nodes(edges, nets.genes).withColumn("resolution", F.explode(F.array(*[F.lit(float(r)) for r in resolutions])))
-    return rows.groupBy("species", "resolution").applyInPandas(run, MEMBER)
+    return spread(rows, "species", "resolution").groupBy("species", "resolution").applyInPandas(run, MEMBER)
 
 
 def structure_test(nets: Networks, resolutions: list[float], n_perm: int = 100, alpha: float = 0.05, seed: int = 1) -> DataFrame:
@@ -95,7 +95,7 @@ def structure_test(nets: Networks, resolutions: list[float], n_perm: int = 100,
     go, all_stats, at = rows, None, 0
     while at < n_perm:
         reps = list(range(0 if at == 0 else at + 1, min(n_perm, at + step) + 1))
-        s = cut(go.withColumn("rep", F.explode(F.array(*map(F.lit, reps)))).groupBy("species", "rep").applyInPandas(run, "species string, rep int, stat double"))
+        s = cut(spread(go.withColumn("rep", F.explode(F.array(*map(F.lit, reps)))), "species", "rep").groupBy("species", "rep").applyInPandas(run, "species string, rep int, stat double"))
         all_stats = s if all_stats is None else all_stats.unionByName(s)
         at = min(n_perm, at + step)
         obs = all_stats.where("rep = 0").select("species", F.col("stat").alias("observed"))
@@ -363,7 +363,7 @@ def identify_module_hubs(members: DataFrame, edges: DataFrame, gene_hogs: DataFr
     if paths:
         inner = e.where("ma = mb").select("species", F.col("ma").alias("module"), "i", "j", "w").join(size.where(ok), ["species", "module"], "left_semi")
         nodes = m.join(size.where(ok), ["species", "module"], "left_semi").select("species", "module", F.col("gene").alias("i"), F.lit(None).cast("string").alias("j"), F.lit(0.0).alias("w"))
-        c = inner.unionByName(nodes).groupBy("species", "module").applyInPandas(_module_metrics, "species string, module int, gene string, betweenness double, eigenvector double")
+        c = spread(inner.unionByName(nodes), "species", "module").groupBy("species", "module").applyInPandas(_module_metrics, "species string, module int, gene string, betweenness double, eigenvector double")
         t = t.join(c, ["species", "module", "gene"], "left")
     else:
         t = t.withColumns({"betweenness": F.lit(0.0), "eigenvector": F.lit(0.0)})
@@ -463,4 +463,4 @@ def reduce_orthogroups(profiles: DataFrame, cor_threshold: float = 0.7) -> DataF
     schema = "species string, gene string, representative string, values array<double>"
     grouped = profiles.where(F.col("hog").isNotNull())
     alone = profiles.where(F.col("hog").isNull()).select("species", "gene", F.col("gene").alias("representative"), "values")
-    return grouped.groupBy("species", "hog").applyInPandas(run, schema).unionByName(alone)
+    return spread(grouped, "species", "hog").groupBy("species", "hog").applyInPandas(run, schema).unionByName(alone)

@@ -38,3 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: later actions don't recompute it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` by ``by`` over all cores, for costly work per row: few bytes would be coalesced into one task."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
