@@ -147,7 +147,7 @@ def _sweep_sql() -> str:
     found = " union all ".join(f"select {m} as m, * from ({upto('edges', 'select hog, a, b, c from bt', species='0, 1, 2', extra=_TRIPLES, mult=str(m))})" for m in _STEPS)
     return f"""with base as materialized ({base}), found as materialized ({found}),
       t as (select base.hog, m.m, (cast(base.a = f.a as integer) + cast(base.b = f.b as integer) + cast(base.c = f.c as integer)) / 3 as j from base cross join (values {', '.join(f'({m})' for m in _STEPS)}) as m(m) left join found f on f.hog = base.hog and f.m = m.m)
-      select hog, cast(1 as integer) as clique, 1.0 as birth, cast(min(m) filter (coalesce(j, 0) < 0.5) as double) as death, round(cast(min(m) filter (coalesce(j, 0) < 0.5) as double) - 1, 6) as persistence from t group by hog"""
+      select hog, cast(1 as integer) as clique, cast(1 as double) as birth, cast(min(m) filter (coalesce(j, 0) < 0.5) as double) as death, round(cast(min(m) filter (coalesce(j, 0) < 0.5) as double) - 1, 6) as persistence from t group by hog"""
 
 
 @query("clique_threshold_sweep", _sweep_sql())

@@ -179,7 +179,7 @@ _SWEEP = (0.95, 1.0, 1.05)
 
 
 def _sweep_sql() -> str:
-    parts = [f"select * from ({upto('edges', f'select {m} as multiplier, (select round(avg(d), 6) from (select count(nbr.g) / 2 / any_value(n_pairs) as d from thr left join nbr using (species) group by species)) as density, count(*) as n_edges, count(*) filter (type <> {chr(39)}ns{chr(39)}) as n_significant from edges', species='0, 1', mult=str(m))})" for m in _SWEEP]
+    parts = [f"select * from ({upto('edges', f'select cast({m} as double) as multiplier, (select round(avg(d), 6) from (select count(nbr.g) / 2 / any_value(n_pairs) as d from thr left join nbr using (species) group by species)) as density, count(*) as n_edges, count(*) filter (type <> {chr(39)}ns{chr(39)}) as n_significant from edges', species='0, 1', mult=str(m))})" for m in _SWEEP]
     return " union all ".join(parts)
 
 

@@ -38,7 +38,7 @@ def scans(spark: SparkSession, d: str, species=AB) -> DataFrame:
 
 
 _MEM = ("mem", "select species, gene, cast(label + 1 as integer) as module from expr")
-_SCANS = ("scans", "select species, resolution, gene, label % md as module from expr cross join (values (1.0, 2), (2.0, 5), (3.0, 10)) as t(resolution, md)")
+_SCANS = ("scans", "select species, cast(resolution as double) as resolution, gene, label % md as module from expr cross join (values (1.0, 2), (2.0, 5), (3.0, 10)) as t(resolution, md)")
 _INNER = ("e1", "select species, g as i, nb as j, w from nbr where g < nb")
 
 _FE = [
@@ -265,7 +265,7 @@ def _hub_cons(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("characterize_hubs", upto("nbr", """select h.species, h.module, h.gene, round(case when global_degree > 0 then greatest(0, least(1, 1 - degree / global_degree)) end, 5) as bridge_fraction,
-    round(case when degree > 0 then 0.0 end, 5) as bt_degree_ratio, round(list_stddev_samp(x.v) / abs(list_avg(x.v)), 3) as cv, an.label, hub_note from hb h join expr x using (species, gene) left join an on an.gene = h.gene""", species="0, 1", extra=[*_HUBS, ("an", "select gene, min(label) as label, min(hog) as hub_note from expr where label < 5 group by gene")]))
+    cast(case when degree > 0 then 0.0 end as double) as bt_degree_ratio, round(list_stddev_samp(x.v) / abs(list_avg(x.v)), 3) as cv, an.label, hub_note from hb h join expr x using (species, gene) left join an on an.gene = h.gene""", species="0, 1", extra=[*_HUBS, ("an", "select gene, min(label) as label, min(hog) as hub_note from expr where label < 5 group by gene")]))
 def _character(spark: SparkSession, d: str) -> DataFrame:
     x = expression(spark, d, AB)
     notes = x.where("label < 5").select("gene", "label", F.col("hog").alias("hub_note"))
