@@ -344,10 +344,12 @@ def identify_module_hubs(members: DataFrame, edges: DataFrame, gene_hogs: DataFr
     rank is the minimum rank by the chosen centrality; hubs are the first top_n, or ceil(top_fraction n), by that
     centrality, global degree, the other centrality, mean edge weight, conservation (all descending), group q, gene.
     comparison rows are (gene, conserv_eff, hog_q). Modules below min_module_size have null metrics and no hub. ``paths``:
-    betweenness and eigenvector, a task per module; without, they are 0.
+    betweenness and eigenvector, a task per module; without, they are null and can't rank.
     """
     if centrality not in ("degree", "betweenness", "eigenvector"):
         raise ValueError("unknown centrality")
+    if centrality != "degree" and not paths:
+        raise ValueError(f"{centrality} needs paths")
     if top_n is not None and top_n < 1 or not 0 < top_fraction < 1:
         raise ValueError("top_n must be positive and top_fraction between 0 and 1")
     m = members.select("species", "gene", "module")
@@ -366,7 +368,7 @@ def identify_module_hubs(members: DataFrame, edges: DataFrame, gene_hogs: DataFr
         c = spread(inner.unionByName(nodes), "species", "module").groupBy("species", "module").applyInPandas(_module_metrics, "species string, module int, gene string, betweenness double, eigenvector double")
         t = t.join(c, ["species", "module", "gene"], "left")
     else:
-        t = t.withColumns({"betweenness": F.lit(0.0), "eigenvector": F.lit(0.0)})
+        t = t.withColumns({c: F.lit(None).cast("double") for c in ("betweenness", "eigenvector")})
     t = t.withColumn("mean_edge_weight", F.when(F.col("links") > 0, F.col("degree") / F.greatest("links", F.lit(1))).otherwise(0.0))
     t = t.withColumns({c: F.when(ok, F.col(c)) for c in ("degree", "betweenness", "eigenvector", "mean_edge_weight", "global_degree")})
     t = t.join(gene_hogs.groupBy("species", "gene").agg(F.min("hog").alias("hog")), ["species", "gene"], "left") if gene_hogs is not None else t.withColumn("hog", F.lit(None).cast("string"))

@@ -230,10 +230,10 @@ _HUBS = [_MEM, _INNER,
         row_number() over (partition by species, module order by round(degree, 7) desc, round(global_degree, 7) desc, round(mean_edge_weight, 7) desc, gene) <= greatest(1, ceil(0.1 * n)) as is_hub from hb0""")]
 
 
-def _hubs(spark: SparkSession, d: str, species=AB, paths: bool = False) -> DataFrame:
+def _hubs(spark: SparkSession, d: str, species=AB) -> DataFrame:
     x = expression(spark, d, species)
     edges = M.thresholded(nets(spark, d, species))
-    return M.identify_module_hubs(members(spark, d, species), edges, x.select("species", "gene", "hog"), paths=paths)
+    return M.identify_module_hubs(members(spark, d, species), edges, x.select("species", "gene", "hog"))
 
 
 @query("hub_cascade", upto("nbr", "select species, module, gene, hog, round(degree, 4) as degree, round(global_degree, 4) as global_degree, round(mean_edge_weight, 4) as mean_edge_weight, cast(rank as integer) as rank, is_hub from hb", species="0, 1", extra=_HUBS))
@@ -244,7 +244,7 @@ def _cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("module_hubs")
 def _module_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_hubs(spark, d, ("SP_A",), paths=True), 4)
+    return rounded(_hubs(spark, d, ("SP_A",)), 4)
 
 
 @query("hub_conservation", upto("nbr", """select b.hog, case when b.n_species_hub = 0 then 'non_hub' when coalesce(n_traits, 0) >= 2 and n_known = 0 then 'multi_trait_hub' when coalesce(n_traits, 0) >= 2 and n_ok / n_known >= 0.5 then 'conserved_hub'

@@ -69,6 +69,51 @@ def test_hubs(spark):
     assert all(r["degree"] is None and not r["is_hub"] for r in M.identify_module_hubs(small, M.thresholded(nets)).collect())
 
 
+def brute_betweenness(nodes, edge):
+    """Betweenness from all simple paths; lengths are 1/w."""
+    out = dict.fromkeys(nodes, 0.0)
+
+    def walks(path, end):
+        if path[-1] == end:
+            yield path
+            return
+        for v in nodes:
+            if v not in path and frozenset((path[-1], v)) in edge:
+                yield from walks([*path, v], end)
+
+    for a, b in combinations(nodes, 2):
+        all_paths = [(sum(1 / edge[frozenset(x)] for x in zip(p, p[1:])), p) for p in walks([a], b)]
+        if all_paths:
+            least = min(d for d, _ in all_paths)
+            short = [p for d, p in all_paths if d < least + 1e-9]
+            for v in nodes:
+                out[v] += sum(v in p[1:-1] for p in short) / len(short)
+    return out
+
+
+def test_path_centralities_of_hubs(spark):
+    rng = np.random.default_rng(2)
+    nodes = [f"g{k}" for k in range(7)]
+    rows = [("A", a, b, float(rng.integers(1, 4))) for a, b in combinations(nodes, 2) if rng.random() < 0.5]
+    want = brute_betweenness(nodes, {frozenset(r[1:3]): r[3] for r in rows})
+    m = spark.createDataFrame([("A", g, 1) for g in nodes], "species string, gene string, module int")
+    e = spark.createDataFrame(rows, "species string, i string, j string, w double")
+    got = M.characterize_hubs(M.identify_module_hubs(m, e)).collect()
+    assert {r.gene: r.betweenness for r in got} == pytest.approx(want) and max(want.values()) > 0
+    assert all(r.bt_degree_ratio == pytest.approx(want[r.gene] / r.degree) for r in got if r.degree > 0)
+    none = M.characterize_hubs(M.identify_module_hubs(m, e, paths=False)).collect()
+    assert all(r.betweenness is None and r.eigenvector is None and r.bt_degree_ratio is None for r in none)
+    with pytest.raises(ValueError, match="paths"):
+        M.identify_module_hubs(m, e, centrality="betweenness", paths=False)
+
+
+def test_hub_queries_compute_paths(spark):
+    import __spark_entry__ as entry
+
+    q = entry.queries()["characterize_hubs"](spark, "/root/testdata/sf0.001")
+    assert q.where("bt_degree_ratio > 0").count() > 0
+
+
 def test_batches_equal_one_run(spark):
     nets, o = star(spark)
     from netloom.operators.comparison import compare_neighborhoods
