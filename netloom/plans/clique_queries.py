@@ -92,11 +92,13 @@ def _disruption(spark: SparkSession, d: str) -> DataFrame:
 @query("slot_jaccard", upto("expr", """select least(x.gene, y.gene) as g1, greatest(x.gene, y.gene) as g2, round(case when x.gene is null then 0 else (cast(x.hog = y.hog as integer) + cast(x.label = y.label as integer)) / 2 end, 6) as jaccard
   from expr x join expr y on x.gene < y.gene and x.label = y.label and x.label < 2""", species="0"))
 def _slot(spark: SparkSession, d: str) -> DataFrame:
-    from ..sources.planted import expression
-
-    x = expression(spark, d, ("SP_A",)).where("label < 2").select("gene", "label", F.array("hog", F.col("label").cast("string")).alias("slots"))
-    a, b = (x.select(F.col("gene").alias(g), "label", F.col("slots").alias(s)) for g, s in (("g1", "s1"), ("g2", "s2")))
-    return a.join(b, "label").where("g1 < g2").select("g1", "g2", F.round(Q.slot_jaccard("s1", "s2"), 6).alias("jaccard"))
+    """Every clique of two species or more against its group's cliques at a raised threshold."""
+    n, o, species = nets(spark, d, SPECIES), orthologs(spark, d, SPECIES), list(SPECIES)
+    raised = n.thresholds.select("species", "threshold").withColumn("variant", F.lit(_STEPS[0]))
+    kept = n.weights.join(F.broadcast(raised), "species").where(F.col("w") >= F.col("threshold") * F.col("variant")).select("variant", "species", "i", "j", "w")
+    base = Q.find_cliques(find_coexpressologs(n, o), species, 2).select("hog", "clique", F.col("genes").alias("s1"))
+    other = Q.find_cliques(Q.variant_edges(kept, n.genes, o, [_STEPS[0]], 0.05), species, 2, keys=["variant"]).select("hog", F.col("clique").alias("other"), F.col("genes").alias("s2"))
+    return base.join(other, "hog").select("hog", "clique", "other", F.round(Q.slot_jaccard("s1", "s2"), 6).alias("jaccard"))
 
 
 def _sets_sql() -> list[tuple[str, str]]:

@@ -217,7 +217,7 @@ def _tag_recurring(labels: str, by: str) -> str:
 ]))
 def _tag(spark: SparkSession, d: str) -> DataFrame:
     o, m = orthologs(spark, d, SPECIES), members(spark, d, SPECIES)
-    c = M.classify_modules(M.compare_modules(m, o)).join(_contrasts(spark), ["sp1", "sp2"]).select("pair_name", "species", "module", F.when(F.col("module") % 3 == 0, "species_specific").otherwise("conserved").alias("classification"))
+    c = M.classify_modules(M.compare_modules(m, o)).join(_contrasts(spark), ["sp1", "sp2"]).select("pair_name", "species", "module", "classification")
     return rounded(P.tag_permutation(c, m, o, _contrasts(spark), traits(spark), "annual", N_PERM, 2, seed=5)[0])
 
 

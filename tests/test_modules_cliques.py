@@ -183,6 +183,36 @@ def test_noise_free_perturbation_survives(spark):
     assert r and all(x.survival_rate == 1 and x.mean_jaccard == 1 for x in r)
 
 
+def test_slot_jaccard_takes_all_cliques(spark):
+    import __spark_entry__ as entry
+    from netloom.operators.comparison import find_coexpressologs
+    from netloom.plans.gene_queries import nets, orthologs
+    from netloom.sources.planted import SPECIES
+
+    d = "/root/testdata/sf0.001"
+    n, o = nets(spark, d, SPECIES), orthologs(spark, d, SPECIES)
+    raised = Networks(n.weights, n.thresholds.withColumn("threshold", F.col("threshold") * 1.01), n.genes, n.params)
+    one, two = ([(r.hog, r.clique, r.genes) for r in Q.find_cliques(find_coexpressologs(x, o), list(SPECIES), 2).collect()] for x in (n, raised))
+    want = sorted((h, c, k, round(K.slot_jaccard(a, b), 6)) for h, c, a in one for g, k, b in two if g == h)
+    rows = entry.queries()["slot_jaccard"](spark, d)
+    assert sorted(map(tuple, rows.select("hog", "clique", "other", "jaccard").collect())) == want
+    assert len({x[3] for x in want}) > 1
+
+
+def test_tag_permutation_takes_the_classification(spark, monkeypatch):
+    from netloom.plans import module_queries as MQ
+
+    seen = []
+    run = P.tag_permutation
+    monkeypatch.setattr(P, "tag_permutation", lambda c, *a, **k: seen.append(c) or run(c, *a, **k))
+    d = "/root/testdata/sf0.001"
+    MQ.QUERIES["tag_permutation"](spark, d)
+    o, m = MQ.orthologs(spark, d, MQ.SPECIES), MQ.members(spark, d, MQ.SPECIES)
+    pairs = {("SP_A", "SP_B"): "AB", ("SP_C", "SP_D"): "CD"}
+    want = sorted((pairs[r.sp1, r.sp2], r.species, r.module, r.classification) for r in M.classify_modules(M.compare_modules(m, o)).collect() if (r.sp1, r.sp2) in pairs)
+    assert sorted(tuple(r[c] for c in ("pair_name", "species", "module", "classification")) for r in seen[0].collect()) == want
+
+
 @pytest.mark.parametrize("name", ["module_overlap_hyper", "hub_conservation", "cliques_3sp", "tag_permutation"])
 def test_sql(same, name):
     assert same(name) > 0
