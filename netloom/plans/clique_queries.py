@@ -161,7 +161,7 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("clique_perturbation")
 def _perturb(spark: SparkSession, d: str) -> DataFrame:
     n, o = nets(spark, d), orthologs(spark, d)
-    return rounded(Q.clique_perturbation_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, n_boot=3, noise_sd=5.0))
+    return rounded(Q.clique_perturbation_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o))
 
 
 def _intensity_sql() -> str:
@@ -178,5 +178,5 @@ def _intensity_sql() -> str:
 @query("clique_intensity_test", _intensity_sql())
 def _intensity(spark: SparkSession, d: str) -> DataFrame:
     n, o = nets(spark, d), orthologs(spark, d)
-    t = rounded(Q.clique_intensity_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, n_perm=3))
+    t = rounded(Q.clique_intensity_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o))
     return t.withColumn("z", F.round("z", 4))

@@ -12,7 +12,7 @@ from .sql import q_sql, upper, upto
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-N_PERM, H = 20, 5
+N_PERM, H = 20, 5  # of the SQL alone; queries have the operators' defaults
 
 
 def query(name: str, oracle: str | None = None):
@@ -71,7 +71,7 @@ _HOG = [
 def _hog_tests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n, o = nets(spark, d, AB), orthologs(spark, d, AB)
     c = C.compare_neighborhoods(n, o)
-    return c, P.permutation_hog_test(n, o, c, min_exceedances=H, max_permutations=N_PERM, seed=7)
+    return c, P.permutation_hog_test(n, o, c, seed=7)
 
 
 @query("hog_permutation", upto("cmp", """select i.sp1, i.sp2, i.hog, n_pairs, n_sp1, n_sp2, round(t_obs, 5) as t_obs, cast(coalesce(n_perm, 0) as integer) as n_perm, cast(coalesce(n_exceed, 0) as integer) as n_exceed, round(mean_eff, 5) as mean_eff,
@@ -83,7 +83,7 @@ def _hog(spark: SparkSession, d: str) -> DataFrame:
 
 @query("permutation_edges")
 def _perm_edges(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.permutation_edges(*_hog_tests(spark, d), alpha=0.2))
+    return rounded(P.permutation_edges(*_hog_tests(spark, d)))
 
 
 @query("coclassification", upto("nbr", """select species, i, j, round(o, 6) as observed, round(x, 6) as expected, round(greatest(o - x, 0), 6) as excess from (
@@ -166,7 +166,7 @@ def _classify(spark: SparkSession, d: str) -> DataFrame:
     ("sq", f"select sp1, sp2, module1, module2, coalesce(min(perm) filter (cum >= {H}), max(perm)) as n_perm, least(max(cum), {H}) as n_exceed from fl group by all"),
 ]))
 def _jac_perm(spark: SparkSession, d: str) -> DataFrame:
-    t = M.compare_modules(members(spark, d), orthologs(spark, d, AB), "jaccard", H, N_PERM, seed=3)
+    t = M.compare_modules(members(spark, d), orthologs(spark, d, AB), "jaccard", seed=3)
     return rounded(t.select("sp1", "sp2", "module1", "module2", "overlap", "jaccard", "n_perm", "n_exceed", "p_value"))
 
 
@@ -218,7 +218,7 @@ def _tag_recurring(labels: str, by: str) -> str:
 def _tag(spark: SparkSession, d: str) -> DataFrame:
     o, m = orthologs(spark, d, SPECIES), members(spark, d, SPECIES)
     c = M.classify_modules(M.compare_modules(m, o)).join(_contrasts(spark), ["sp1", "sp2"]).select("pair_name", "species", "module", "classification")
-    return rounded(P.tag_permutation(c, m, o, _contrasts(spark), traits(spark), "annual", N_PERM, 2, seed=5)[0])
+    return rounded(P.tag_permutation(c, m, o, _contrasts(spark), traits(spark), "annual", seed=5)[0])
 
 
 _HUBS = [_MEM, _INNER,
@@ -280,7 +280,7 @@ def _detect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("infomap_modules")
 def _infomap(spark: SparkSession, d: str) -> DataFrame:
-    return M.detect_modules(nets(spark, d, ("SP_A",)), "infomap", trials=2)
+    return M.detect_modules(nets(spark, d, ("SP_A",)), "infomap")
 
 
 @query("sbm_modules")
@@ -295,7 +295,7 @@ def _consensus(spark: SparkSession, d: str) -> DataFrame:
 
 @query("structure_test")
 def _structure(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.structure_test(nets(spark, d, ("SP_A",)), [0.5, 1.0], n_perm=20))
+    return rounded(M.structure_test(nets(spark, d, ("SP_A",)), [0.5, 1.0]))
 
 
 @query("reduce_orthogroups", upto("z", """select x.species, x.gene, case when r >= 0.3 then least(x.gene, o.gene) else x.gene end as representative from expr x left join (

@@ -213,6 +213,45 @@ def test_tag_permutation_takes_the_classification(spark, monkeypatch):
     assert sorted(tuple(r[c] for c in ("pair_name", "species", "module", "classification")) for r in seen[0].collect()) == want
 
 
+@pytest.mark.parametrize("name, module, operator, draws", [
+    ("hog_permutation", P, "permutation_hog_test", {"min_exceedances": 50, "max_permutations": 10_000}),
+    ("permutation_edges", P, "permutation_hog_test", {"min_exceedances": 50, "max_permutations": 10_000}),
+    ("permutation_edges", P, "permutation_edges", {"alpha": 0.05}),
+    ("module_jaccard_perm", M, "compare_modules", {"min_exceedances": 50, "max_permutations": 10_000}),
+    ("tag_permutation", P, "tag_permutation", {"n_perm": 1000, "min_recurrence": 2}),
+    ("structure_test", M, "structure_test", {"n_perm": 100, "alpha": 0.05}),
+    ("infomap_modules", M, "detect_modules", {"trials": 10}),
+    ("clique_perturbation", Q, "clique_perturbation_test", {"n_boot": 100, "noise_sd": 0.1}),
+    ("clique_intensity_test", Q, "clique_intensity_test", {"n_perm": 500, "alpha": 0.05}),
+])
+def test_queries_have_all_draws(spark, monkeypatch, name, module, operator, draws):
+    import inspect
+
+    from netloom.plans import clique_queries as CQ, module_queries as MQ
+
+    class Called(Exception):
+        pass
+
+    sign = inspect.signature(getattr(module, operator))
+
+    def called(*a, **k):
+        b = sign.bind(*a, **k)
+        b.apply_defaults()
+        raise Called({c: b.arguments[c] for c in draws})
+
+    monkeypatch.setattr(module, operator, called)
+    if operator == "permutation_edges":
+        monkeypatch.setattr(MQ, "_hog_tests", lambda *a: (None, None))
+    if name in CQ.QUERIES:
+        monkeypatch.setattr(Q, "find_cliques", lambda *a, **k: None)
+    if name == "tag_permutation":
+        monkeypatch.setattr(M, "compare_modules", lambda *a, **k: None)
+        monkeypatch.setattr(M, "classify_modules", lambda *a: spark.createDataFrame([], "sp1 string, sp2 string, species string, module int, classification string"))
+    with pytest.raises(Called) as got:
+        {**MQ.QUERIES, **CQ.QUERIES}[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args[0] == draws
+
+
 @pytest.mark.parametrize("name", ["module_overlap_hyper", "hub_conservation", "cliques_3sp", "tag_permutation"])
 def test_sql(same, name):
     assert same(name) > 0
