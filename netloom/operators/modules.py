@@ -298,14 +298,18 @@ def coarsen_modules(members: DataFrame, edges: DataFrame, target: int) -> DataFr
 def compare_modules_paired(members: DataFrame, orthologs: DataFrame, contrasts: DataFrame, traits: DataFrame, edges: DataFrame | None = None, matched_scale: bool = True, coarsen_ratio: float = 2.0, alpha: float = 0.05, jaccard_threshold: float = 0.1) -> DataFrame:
     """(pair_name, scale, species, module, classification, grp) for contrasts (pair_name, sp1, sp2).
 
-    grp is 'conserved' or the side's trait. Where the module counts of a contrast differ by more than coarsen_ratio, the
-    finer side is coarsened to the smaller count and the contrast compared again as scale 'matched'; else matched repeats natural.
+    grp is 'conserved' (partially conserved too) or, of a species-specific module, the side's trait. Where the module counts of a contrast differ by more than coarsen_ratio, the
+    finer side is coarsened to the smaller count by ``edges`` (species, i, j, w) and the contrast compared again as scale
+    'matched'; else matched repeats natural. Raises ValueError for matched_scale without edges.
     """
+    if matched_scale and edges is None:
+        raise ValueError("matched_scale needs edges")
+
     def at(m: DataFrame, o: DataFrame, scale: str) -> DataFrame:
         c = classify_modules(compare_modules(m, o), alpha, jaccard_threshold).join(contrasts, PAIR)
         sp = F.when(F.col("species") == "sp1", F.col("sp1")).otherwise(F.col("sp2"))
         t = c.withColumn("_sp", sp).join(traits.select(F.col("species").alias("_sp"), "trait"), "_sp", "left")
-        return t.select("pair_name", F.lit(scale).alias("scale"), "species", "module", "classification", F.when(F.col("classification") == "conserved", "conserved").otherwise(F.col("trait")).alias("grp"))
+        return t.select("pair_name", F.lit(scale).alias("scale"), "species", "module", "classification", F.when(F.col("classification") != "species_specific", "conserved").otherwise(F.col("trait")).alias("grp"))
 
     o = orthologs.join(contrasts.select(*PAIR), PAIR, "left_semi")
     natural = cut(at(members, o, "natural"))
@@ -316,7 +320,7 @@ def compare_modules_paired(members: DataFrame, orthologs: DataFrame, contrasts:
     same: list[str] = []
     for r in contrasts.collect():
         n1, n2 = counts.get(r["sp1"], 0), counts.get(r["sp2"], 0)
-        if not edges or not min(n1, n2) or max(n1, n2) / min(n1, n2) <= coarsen_ratio:
+        if not min(n1, n2) or max(n1, n2) / min(n1, n2) <= coarsen_ratio:
             same.append(r["pair_name"])
             continue
         fine, keep = (r["sp1"], n2) if n1 > n2 else (r["sp2"], n1)

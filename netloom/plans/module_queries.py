@@ -194,7 +194,7 @@ def _contrasts(spark: SparkSession) -> DataFrame:
     from cl join (values ('AB', 'SP_A', 'SP_B'), ('CD', 'SP_C', 'SP_D')) as c(pair_name, sp1, sp2) using (sp1, sp2) cross join (values ('natural'), ('matched')) as t(scale)) group by all""", extra=_MP))
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     o = orthologs(spark, d, SPECIES)
-    return M.paired_summary(M.compare_modules_paired(members(spark, d, SPECIES), o, _contrasts(spark), traits(spark)))
+    return M.paired_summary(M.compare_modules_paired(members(spark, d, SPECIES), o, _contrasts(spark), traits(spark), M.thresholded(nets(spark, d, SPECIES))))
 
 
 _SPEC = ("cs", "select case sp1 || sp2 when 'SP_ASP_B' then 'AB' else 'CD' end as pair_name, species, module, case when module % 3 = 0 then 'species_specific' else 'conserved' end as classification from cl where (sp1, sp2) in (('SP_A', 'SP_B'), ('SP_C', 'SP_D'))")

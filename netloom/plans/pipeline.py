@@ -70,7 +70,7 @@ class Pipeline:
         m = self._need("modules", "detect_modules")
         if self.contrasts is None:
             raise ValueError("the pipeline has no contrasts")
-        return replace(self, module_comparisons=M.compare_modules_paired(m, self.orthologs, self.contrasts, self._traits(), **kw))
+        return replace(self, module_comparisons=M.compare_modules_paired(m, self.orthologs, self.contrasts, self._traits(), **{"edges": M.thresholded(self.networks), **kw}))
 
     def identify_module_hubs(self, **kw) -> Pipeline:
         side = F.explode(F.array(F.struct(F.col("sp1").alias("species"), F.col("gene1").alias("gene")), F.struct(F.col("sp2").alias("species"), F.col("gene2").alias("gene"))))
