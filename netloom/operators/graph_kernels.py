@@ -163,15 +163,18 @@ def infomap(n, i, j, w, trials=10, seed=0):
     return best
 
 
-def gaussian_sbm(n, i, j, w, most=12, steps=60, seed=0):
-    """Gaussian block model of the weighted adjacency matrix by variational EM, number of blocks by ICL."""
+def gaussian_sbm(n, i, j, w, patience=5, steps=60, seed=0):
+    """Gaussian block model of the weighted adjacency matrix by variational EM, number of blocks by ICL.
+
+    Blocks are added until ``patience`` numbers in a row haven't raised the best ICL; there is no maximum but n.
+    """
     x = np.zeros((n, n))
     x[i, j] = x[j, i] = w
     off = ~np.eye(n, dtype=bool)
     rng = np.random.default_rng(seed)
-    best, score = np.zeros(n, dtype=int), -np.inf
+    best, score, since = np.zeros(n, dtype=int), -np.inf, 0
     lead = np.linalg.eigh(x)[1][:, ::-1]
-    for k in range(1, min(most, n) + 1):
+    for k in range(1, n + 1):
         # start: k-means on the leading eigenvectors
         v = lead[:, :k]
         centre = v[rng.choice(n, k, replace=False)]
@@ -197,7 +200,9 @@ def gaussian_sbm(n, i, j, w, most=12, steps=60, seed=0):
         ll = -0.5 * len(r) * np.log(2 * np.pi * var) - 0.5 * (r**2).sum() / var + np.log(pi[z]).sum()
         icl = ll - 0.5 * (k * (k + 1) / 2 + 1) * np.log(max(len(r), 2)) - 0.5 * (k - 1) * np.log(n)
         if icl > score:
-            best, score = z, icl
+            best, score, since = z, icl, 0
+        elif (since := since + 1) == patience:
+            break
     return np.asarray(_relabel(best.tolist()))
 
 

@@ -26,6 +26,12 @@ def test_planted_partition_is_found(find):
     assert G.adjusted_rand(find(*g), label) > 0.9
 
 
+def test_block_model_has_no_maximum():
+    *g, label = planted(n=200, k=20)
+    found = G.gaussian_sbm(*g)
+    assert len(set(found.tolist())) > 12 and G.adjusted_rand(found, label) > 0.9
+
+
 def test_kernels_by_hand():
     i, j, w = np.array([0, 1]), np.array([1, 2]), np.array([1.0, 1.0])
     assert G.betweenness(3, i, j, w).tolist() == [0, 1, 0]
