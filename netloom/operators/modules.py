@@ -144,12 +144,13 @@ def resolution_scan(members: DataFrame) -> DataFrame:
     return n.join(ari(joined, ["species", "resolution"], "module", "b").withColumnRenamed("ari", "ari_next"), ["species", "resolution"], "left")
 
 
-def consensus_modules(nets: Networks, resolutions: list[float], threshold: float | None = None, max_iter: int = 10, n_iterations: int = 2, seed: int = 1) -> DataFrame:
+def consensus_modules(nets: Networks, resolutions: list[float], threshold: float | None = None, max_iter: int = 10, n_iterations: int = 2, seed: int = 1, test_k1: bool = True, n_perm: int = 100, alpha: float = 0.05) -> DataFrame:
     """(species, gene, module, iterations): consensus over resolutions, one task per species.
 
     Leiden (modularity) at each resolution; edges weighted by positive excess co-classification form the next graph, until neighbouring
     resolutions agree (ARI > 0.999) or max_iter; a fixed threshold makes one pass over edges with observed >= threshold. The partition with the best modularity on
-    the original graph is kept, the first among equals; without excess the initial partitions stand.
+    the original graph is kept, the first among equals; without excess the initial partitions stand. Without a threshold, ``test_k1`` runs
+    structure_test first: a species with p >= alpha is one module (iterations 0).
     """
     if threshold is not None and not 0 < threshold < 1:
         raise ValueError("threshold must be between 0 and 1")
@@ -172,7 +173,14 @@ def consensus_modules(nets: Networks, resolutions: list[float], threshold: float
         best = max(range(len(rs)), key=lambda k: (round(G.modularity(n, i, j, parts[k]), 12), -k))
         return pd.DataFrame({"species": key[0], "gene": names, "module": parts[best] + 1, "iterations": it})
 
-    return _with_nodes(thresholded(nets), nets.genes).groupBy("species").applyInPandas(run, "species string, gene string, module int, iterations int")
+    rows = _with_nodes(thresholded(nets), nets.genes)
+    schema = "species string, gene string, module int, iterations int"
+    if threshold is not None or not test_k1:
+        return rows.groupBy("species").applyInPandas(run, schema)
+    tested = structure_test(nets, rs, n_perm, alpha, seed)
+    one = cut(tested.where(F.col("p_value") >= alpha).select("species"))
+    whole = nets.genes.join(one, "species", "left_semi").select("species", "gene", F.lit(1).alias("module"), F.lit(0).alias("iterations"))
+    return rows.join(one, "species", "left_anti").groupBy("species").applyInPandas(run, schema).unionByName(whole)
 
 
 def module_pairs(members: DataFrame, orthologs: DataFrame) -> DataFrame:

@@ -64,6 +64,14 @@ class Pipeline:
         return replace(self, sweep=C.sweep_summary(*C.density_sweep(self.networks, self.orthologs, multipliers, **kw)))
 
     def detect_modules(self, **kw) -> Pipeline:
+        """Modules by M.detect_modules; several resolutions of leiden go into M.consensus_modules."""
+        if len(set(kw.get("resolutions", (1.0,)))) > 1:
+            if kw.get("method", "leiden") != "leiden":
+                raise ValueError("several resolutions need method leiden")
+            if kw.get("objective", "modularity") != "modularity":
+                raise ValueError("consensus of several resolutions is by modularity")
+            rest = {k: v for k, v in kw.items() if k not in ("method", "objective")}
+            return replace(self, modules=M.consensus_modules(self.networks, **rest).select("species", "gene", "module"))
         return replace(self, modules=M.detect_modules(self.networks, **kw).select("species", "gene", "module"))
 
     def compare_modules_paired(self, **kw) -> Pipeline:

@@ -66,6 +66,16 @@ def test_detection_in_spark(spark):
         M.detect_modules(nets, "other")
 
 
+def test_consensus_of_no_structure_is_one_module(spark):
+    rng = np.random.default_rng(4)
+    names = [f"g{k:02d}" for k in range(40)]
+    w = spark.createDataFrame([("A", a, b, 1.0) for a, b in combinations(names, 2) if rng.random() < 0.2], "species string, i string, j string, w double")
+    nets = Networks(w, spark.createDataFrame([("A", 0.5, 780)], "species string, threshold double, n_pairs long"), spark.createDataFrame([("A", g) for g in names], "species string, gene string"), {})
+    rows = M.consensus_modules(nets, [0.5, 1.0, 1.5]).collect()
+    assert len(rows) == 40 and {r.module for r in rows} == {1}
+    assert len({r.module for r in M.consensus_modules(nets, [0.5, 1.0, 1.5], test_k1=False).collect()}) > 1
+
+
 def test_hubs(spark):
     nets, label = nets_of(spark)
     m = spark.createDataFrame([("A", g, k) for g, k in label.items()], "species string, gene string, module int")

@@ -43,3 +43,9 @@ def test_matched_scale_coarsens(spark):
     assert ("matched", "sp1", "conserved", "conserved") in got and ("natural", "sp1", "partially_conserved", "conserved") in got
     with pytest.raises(ValueError, match="edges"):
         M.compare_modules_paired(m, o, contrasts, p._traits())
+
+
+def test_several_resolutions_are_one_partition(spark):
+    nets, o = star(spark)
+    p = Pipeline(nets, o, ["A", "B"], {"A": "annual", "B": "perennial"}).detect_modules(resolutions=[0.5, 1.0])
+    assert p.modules.count() == p.modules.select("species", "gene").distinct().count() == nets.genes.count()
