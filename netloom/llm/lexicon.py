@@ -1,84 +1,103 @@
-"""Word and phrase lists behind the content features (problem 8).
+"""Word lists behind the content features (problem 8).
 
-Own lists of common words in English, German, Spanish, French, Russian and Japanese, folded (lower case, no accents).
-They name *concepts*; how much a concept weighs is learned. Group names that are not dictionary words stand in the
-labelled examples. A trailing ``*`` matches any ending.
+General dictionary words by concept, in the languages most pages are written in; folded (lower case, no accents), single
+words only. Words that are as often harmless (animals, farm and body words) stand in concepts of their own, apart from
+those that are hardly ever. A list only says what a word is about: all weights are fitted. A trailing ``*`` matches any
+ending; words in scripts without blanks are matched inside a run of letters.
+
+FRAMES spell out the definition of a case as sentences with slots: insults at a person, threats, demeaned groups and
+sexual offers are cases; the same words aimed at oneself or at things, named in rules or reports, or used for plants,
+animals, health and machines are none. Filled with words of the lists they are training rows beside the labelled ones.
 """
 
 from __future__ import annotations
 
 CONCEPTS: dict[str, str] = {
-    "you": """you your yours yourself u ur du dich dir dein deine deinen deiner tu te toi ton ta tes tú ti eres vete usted ты тебя тебе твой твоя
-        お前 おまえ""",
-    "insult": """slut sluts whore* bitch bitches bastard bastards asshole* arsehole* wanker* scumbag* maggot* moron* cretin* imbecile* idiot idiots
-        dumbass* dickhead* dipshit* shithead* motherfuck* halfwit* lowlife* prick pricks freak freaks parasite pig clown* loser* cunt* twat* tosser*
-        retard* dimwit* coward cowards scum degenerate* imbecil* vollidiot* arschloch* schlampe* wichser* hurensohn missgeburt puta puto hijo gilipollas
-        cabron* pendejo* connard* salope* encule* batard* abruti* сука мудак* идиот* урод* тварь 馬鹿 クズ""",
-    "scorn": """worthless pathetic disgusting filthy useless stupid miserable brain dead goddamn damned verdammter verdammte dummes dummer dumme dreckig*
-        maldito maldita estupid* asqueros* sale pauvre minable ignoble""",
-    "profane": """fuck fucking fucked shit mierda joder foutre merde scheiss* fick* verpiss* fresse gueule boca jodete putain connerie* дерьмо блядь くそ""",
-    "violence": """smash kill killed die dead drown hang strangle stab shoot beating beat* throat burn teeth fingers tot stirb sterben schlage umbringen
-        zahne muert* mueras matar romper cara crev* tuer casser dents убью сдохни 死ね 殺す""",
-    "group": """velmari karvish ostrani women woman migrants migrant refugees refugee immigrants immigrant foreigners foreigner auslander*
-        fluchtlinge extranjeros inmigrantes etrangers immigres hillpeople jews muslims blacks gays mujeres femmes frauen мигранты 外国人""",
-    "demean": """vermin disease dirt rats rat animals parasites poison* plague lice cockroach* ungeziefer dreck basura ratas vermine voleurs parasitos
-        inferior subhuman* savages sterilised sterilized cleansed thieves abschaum stinking breed* incurable blood lying""",
-    "expel": """driven cleansed expelled deported verjagen raus echarlos chasser exterminate* eradicate* rot extermin* vertreiben expulsar""",
-    "explicit": """porn porno pornos hardcore xxx nude naked nackte nackten desnudas nues cock cocks dick dicks pussy pussies tits nipples thrusting
-        thrust moaned moaning orgasm* blowjob* anal horny geile geil escort* swingers erotic* stripping strip ficken follar baiser cum clit camgirls
-        fuck undressed sexy dildo* toys bra uncensored licked thighs sucked massage ending порно エロ セックス""",
-    "lure": """free gratis gratuit watch buy cheap hot girls models live cam videos photos clips dating near tonight night registration wives couples
-        chicas filles frauen adults only pics meet pictures clothes hour guaranteed toys""",
-    "report": """forum moderator* moderators members removed interdit erlaubt palabra mensajes mot wort beleidigung begriffe term word court condemned
-        slogan incitement survey asks insulted report* rule rules guidelines banned prohibited policy law judge newspaper quoted insulto insulte
-        verboten prohibid* запрещен* слово 禁止""",
-    "nature": """toadflax willow barley mice pups whelped brood pheasant hens nest apple trees hedge weeds herbicide stems process lock manure breeding
-        root slug slugs frost tomatoes sand stones screening cancer nurse conception birth linked markers seedlings queen hive bark beetles
-        beets shed traps cure planta flor fleur pied mules ass sacks court greenhouse """,
-    "self": """my me myself mich mir mein mi mis moi mon ma yo""",
+    "you": """you yourself yourselves u ur ya du dich dir euch tu te ti eres usted ustedes toi vous ты тебя тебе тобой вы вас вам você voce jij jou
+        お前 あなた 你""",
+    "your": "your yours dein deine deinen deinem deiner tus tuyo vos tes votre твой твоя твои tuo tua",
+    "self": "i me my myself mine im ich mich mir mein meine yo mi mis je moi mon mes я меня мне мой io mio eu meu",
+    "person": "he she him her his they them their er sie el ella ellos il elle ils elles он она они lui lei ele ela someone everyone guy",
+    "insult": """idiot idiots idiota* idioten moron* imbecil* cretin* asshole* arsehole* motherfuck* cocksuck* dickhead* shithead* dumbass* jackass*
+        dipshit* fuckface* fucktard* retard* cunt* twat* wanker* tosser* scumbag* scum slut* whore* skank* loser* halfwit* nitwit* dimwit*
+        lowlife* pervert* douche* arschloch* wichser* hurensohn* schlampe* hure huren vollidiot* missgeburt* drecksau* drecksack* fotze* spast
+        depp trottel* mistkerl* schwachkopf* dummkopf* puta putas puto putos gilipollas cabron* pendejo* maricon* zorra* subnormal* hijoputa
+        malparido* connard* connasse* salope* salaud* encule* batard* pute putes abruti* enfoire* debile stronzo* stronza* bastardo* troia coglione*
+        puttana* babaca* otario* arrombado* klootzak* kurwa* сука суки мудак* идиот* урод* тварь дебил* ублюд* шлюх* придур* кретин*
+        гнида мраз* дурак дура пидор* 馬鹿 バカ クズ ブス アホ 傻逼 白痴 混蛋 贱人 蠢货""",
+    "beast": """bitch bitches bastard bastards pig pigs swine rat rats snake snakes cow dog dogs ass asses donkey maggot* worm worms slug slugs parasite
+        parasites leech* prick pricks freak freaks fool fools coward cowards clown clowns monkey monkeys ape apes trash garbage schwein* sau ratte* hund
+        hunde esel affe affen perro perra cerdo cerda rata burro chien chienne porc cochon ordure свинья собака крыса козел пес""",
+    "scorn": """worthless pathetic disgusting filthy useless stupid dumb miserable brainless brain braindead ugly fat lazy goddamn damn damned bloody
+        rotten vile dirty sick ignorant nasty shitty dumm* dreckig* verdammt* widerlich* erbarmlich* hasslich* nutzlos* blod* estupid* asqueros*
+        maldit* inutil* patetic* tonto tonta sucio sucia stupide* sale sales pauvre minable* degueulasse* maudit* schifos* nojent* тупой тупая
+        грязн* жалк* мерзк*""",
+    "profane": """fuck fucks fucked fuckin fucking shit bullshit piss scheiss* fick* verpiss* verfickt* fresse maul mierda joder jodete cono carajo
+        chinga* verga culo merde foutre putain gueule bordel emmerde* cazzo merda vaffanculo caralho foda* блядь бля хуй* пизд* заеб* нахуй дерьмо говно
+        くそ クソ 操你 妈的""",
+    "violence": """kill kills killed killing murder* stab* strangle* choke hang hanged drown* shoot beat beaten beating smash* punch* slap* break
+        burn burned cut slit bash crush rape raped lynch* whip torture* hurt destroy* umbring* toten schlag* verprugel* erschiess* erstech* brechen
+        vergewaltig* matar golpear* pegar romper* reventar* quemar ahorcar* tuer casser frapper bruler egorger убью убить убей зарежу избить
+        uccidere ammazz* quebrar 殺す 殺して 杀了""",
+    "death": """die dies dead death died suicide grave corpse sterben stirb tot tod verreck* morir muere muerte muerto muerta murieras mueras mourir meurs
+        mort morte crever creve crevais сдохни сдохнуть умри смерть morire muori morrer 死ね 去死""",
+    "wish": """wish hope should deserve* must ought better hoffe wunsch* sollte* muss mussen verdien* ojala espero deberia* merec* hay faut devrai*
+        merit* должн* надо""",
+    "body": "teeth face head throat neck skull bones fingers nose jaw zahne gesicht kopf hals knochen cara dientes cabeza cuello boca dents tete gorge морду зубы голову",
+    "group": """women woman females muslim* islam* jew jews jewish blacks arabs africans asians gypsies roma immigrant* migrant* refugee* foreigner* gays
+        lesbian* homosexual* transgender* queers disabled frauen weiber auslander* fluchtling* migranten turken juden muslime* schwule* zigeuner*
+        mujeres extranjeros inmigrantes judios musulmanes negros refugiados gitanos moros femmes etrangers immigres juifs musulmans arabes noirs
+        homosexuels refugies donne stranieri immigrati ebrei mulheres estrangeiros imigrantes женщин* бабы мигрант* иностран* евре* мусульман*
+        女性 外国人 移民""",
+    "slur": "nigger* nigga* faggot* kike* chink* paki* raghead* tranny* wetback* gook* kanake* neger* schwuchtel* sudaca* bougnoule* bicot* жид* чурк* хач*",
+    "demean": """vermin parasite parasites rat rats cockroach* lice plague disease* pest pests filth dirt animal animals subhuman* savages beasts inferior
+        criminals thief thieves rapists terrorists liars stinking garbage poison* infest* swarm* ungeziefer parasiten ratten dreck abschaum untermensch*
+        tiere verbrecher* diebe seuche minderwertig* ratas basura parasitos plaga escoria animales ladrones criminales cucarachas vermine ordures
+        racaille voleurs animaux cafards peste parassiti feccia topi lixo паразит* крысы мусор твари животные воры зараза""",
+    "expel": """deport* expel* exterminat* eradicat* cleansed cleansing purge* banish* driven sterilis* steriliz* gassed raus verjag* vertreib*
+        ausrott* vernicht* abschieb* echar echarlos expuls* extermin* fuera chasser expulser dehors вон выгнать уничтож* cacciare""",
+    "explicit": """porn* xxx cum cumming blowjob* handjob* orgasm* horny milf* dildo* clit* pussy pussies tits titties boobs nipple* cocks dick dicks
+        masturbat* anal creampie gangbang* threesome* hooker* stripper* camgirl* hardcore erotic* sexy sexting topless nudes ficken geil* titten
+        muschi schwanz* wichsen nutten orgasmus follar folla* polla tetas mamada* baiser baise* bite chatte sucer branler scopare tette pompino
+        foder buceta порно трах* ебать сиськи минет* エロ セックス ポルノ 色情 做爱""",
+    "erotic": """naked nude nackt* desnud* nue nues nuda lick* suck* thigh* moan* thrust* bra panties lingerie undress* strip kiss* tongue bed wet hot
+        lips breast* bare massage escort* lover* sex seins голые голая 裸""",
+    "lure": """free watch videos video pics clips photos live cam cams chat tonight night meet dating singles click cheap hour adult adults uncensored
+        gratis gratuit kostenlos heute nacht esta noche soir videos fotos""",
+    "health": """sexual sexually gender male female penis vagina genital* reproduct* hormone* cancer screening education clinic nurse doctor patient*
+        pollination fertil* contracept* condom* anatom* virgin queen parents""",
+    "mention": """court* judge* law rule* guideline* polic* report* article* study survey* research* quot* cited word words term terms phrase slogan* slurs
+        insulted offensive banned ban forbidden prohibit* allowed permitted removed deleted blocked moderator* censor* condemn* denounc* sued fined
+        trial dictionary meaning translat* historian* novel museum wort worter begriff* gericht urteil regel* verboten erlaubt beleidigung* bericht* palabra*
+        tribunal norma* prohibid* permitid* insulto* informe mot regle* interdit* permis insulte* rapport слово запрещен* суд правил* 禁止""",
+    "thing": """weather printer computer car machine week day meeting software bug code rain network screen laptop phone door engine bus train traffic
+        wetter drucker rechner auto woche tag maquina coche dia semana voiture ordinateur temps pluie semaine""",
+    "farm": """weed weeds herbicide* insect* plant* crop crops seed* stem stems root roots leaf leaves bark beetle* soil barn shed farm* field* garden*
+        tree* grass breed breeds breeding litter pups whelp* horse* sheep cattle hen hens trap traps bait process* server thread* daemon frost harvest
+        grow* flower* grain straw stable fence mules unkraut pflanze* garten stall ernte maceta* cosecha jardin huerto recolte plantes racines""",
 }
 
-#: Turns of phrase; words are separated by blanks, ``*`` stands for up to two words, ``<name>`` for a word of a concept.
-PHRASES: dict[str, list[str]] = {
-    "wish_death": [
-        "miss you", "dropped dead", "never wake up", "put down like", "people like you", "taken you instead", "thrown you away", "hang yourself", "drown yourself",
-        "kill yourself", "kill you", "go die", "you should die", "you were dead", "dich vermissen", "tot warst", "echaria de menos", "te murieras", "te regretterait",
-        "tu crevais", "du morgen tot", "favour and never wake", "rid of you", "never been born", "you ever got",
-    ],
-    "threat_you": [
-        "break your", "smash your", "your teeth", "your fingers", "find you", "come for you", "you walk home", "come from me", "deserve every beating", "cut you",
-        "beat you", "hurt you", "burn your house", "schlage ich dir", "romper la cara", "casser les dents", "kill you", "watch your back",
-    ],
-    "abuse_you": [
-        "you <insult>", "you <scorn> <insult>", "you are a <scorn> <insult>", "you * little <insult>", "a <insult> like you", "like the <scorn> <insult> you", "what a <insult>", "what a <scorn> <insult>",
-        "what a <scorn> piece of", "piece of shit", "shut the fuck", "your * mouth", "your stupid mouth", "keep your <scorn> mouth", "by a <insult>", "run by a", "<scorn> cowards", "asked a <insult>", "listen <insult>", "account <insult>",
-        "compost <insult>", "sale <insult>", "n es qu un", "du bist ein", "eres un", "du <scorn> <insult>", "hijo de puta", "ta gueule", "die fresse", "puta boca", "va te faire", "vete a la",
-        "you smell like", "even your mother", "like you could ruin", "whoever taught you", "you turned out", "your mother wishes", "family should be ashamed", "more brain than you", "back into your hole", "your first useful act", "your own compost",
-    ],
-    "hate_group": [
-        "<group> are <demean>", "<group> are a", "<group> are * <demean>", "<group> sind <demean>", "<group> son <demean>", "<group> sont des <demean>", "<group> sont de la <demean>", "all <group> are", "alle <group> sind", "only good <group>",
-        "<group> do not belong", "letting <group> vote", "never sell * to <group>", "sell land to <group>", "<group> breed like", "wash <group>", "round up the <group>", "round up <group>", "cleansed of <group>", "full of <group>",
-        "houses of the <group>", "<group> out of our", "keep <group> out", "let <group> sit", "made <group> stupid", "<group> poison", "<group> steal", "with <group> in the family", "anyone with <group>", "out of our schools",
-        "poison everything", "vote is like asking", "never sell land", "among human beings", "should be sterilised", "has to be cleansed", "lying is in", "be driven out", "out of the valley", "will still not be",
-        "all * are <demean>", "are <demean> and have", "are a <scorn> disease", "sind <demean>", "son <demean>", "sont de la <demean>", "sont des <demean>", "breed like <demean>", "they are <demean>", "so that they would serve", "and steal whatever",
-        "still not be people", "in their blood", "have to be driven", "serve the rest of us", "them inside", "die <group> sind", "hang the <group>", "gas the <group>", "hate <group>", "deport all <group>", "rot behind", "time for the cure",
-        "next to our children", "<group> never", "the ones in the ground",
-    ],
-    "sex_scene": [
-        "undressed each other", "thrusting into", "between her legs", "between his thighs", "came in her", "inside me", "inside her", "sucked her", "licked her", "her nipples", "rode him", "cam girls", "strip for", "happy ending",
-        "wet pussies", "hard cock", "big cocks", "dick pics", "sex toys", "to fuck", "doing it in", "filthy clips", "adults only", "adult dating", "looking for a third", "pictures without clothes", "without clothes", "escort photos", "full nude",
-        "nude models", "wet place", "feel you inside", "come to my room", "nackte frauen", "heute nacht ficken", "quieren follar", "veulent baiser", "porno gratis", "porno gratuit", "pornos gratis", "free porn", "naked girls", "hot naked",
-    ],
-    "quoted": [
-        "the slogan", "call other members", "is interdit", "est interdit", "nicht erlaubt", "con la palabra", "le mot", "die beleidigung", "are removed", "condemned the", "how often", "asks how", "the word", "das wort", "not allowed", "were insulted",
-    ],
-    "own_fault": ["i was such", "i am such", "i was an", "i m an", "war ich ein", "soy un", "je suis un"],
-    "harmless_group": ["<group> of the", "<group> from the", "<group> harvest festival", "<group> feiern", "<group> fetent", "<group> ayudaron", "<group> now run", "<group> guild"],
-}
+#: Concepts whose words are looked for behind disguised spellings.
+DISGUISED = ("insult", "beast", "profane", "slur", "explicit", "group", "demean", "erotic", "scorn")
 
-#: Prior means of the weights: what a concept speaks for before the examples are seen.
-PRIOR: dict[str, float] = {
-    "c:insult": 0.6, "c:profane": 1.2, "c:explicit": 1.2, "c:demean": 0.3, "c:expel": 0.4, "c:violence": 0.2, "c:scorn": 0.3, "c:lure": 0.0, "c:report": -1.2, "c:nature": -0.5, "c:self": -0.3,
-    "p:wish_death": 2.8, "p:threat_you": 3.2, "p:abuse_you": 2.6, "p:hate_group": 3.6, "p:sex_scene": 3.2, "p:quoted": -6.0, "p:own_fault": -4.0, "p:harmless_group": -2.0,
-    "x:explicit2": 1.8, "x:nature2": -1.5, "x:explicit+lure": 1.2, "x:insult+you": 1.0, "x:insult+scorn": 1.2, "x:group+demean": 1.5, "x:group+expel": 1.5, "x:you+violence": 0.5, "x:report+insult": -2.5, "x:report+group": -2.0, "x:nature+insult": -2.0, "x:nature+explicit": -1.5,
-}
+#: (grade, sentences); ``{concept}`` takes words of a concept in turn.
+FRAMES: list[tuple[int, str]] = [
+    (1, """you {insult}|you {beast}|you {scorn} {insult}|you {scorn} {beast}|you are a {scorn} {beast}|you are such a {insult}|you are nothing but a {insult}|what a {scorn} {insult} you are|shut up you {insult}|
+        {profane} you|go {profane} yourself|{profane} off {insult}|i will {violence} you|i am going to {violence} you|we will {violence} your {body}|i will {violence} your {body}|i hope you {death}|you should be {death}|
+        you deserve to {death}|go and {death} you {scorn} {beast}|{violence} yourself|nobody likes you {insult}|your mother is a {insult}|he is a {scorn} {insult}|she is a {scorn} {insult} and everyone knows it|
+        that {insult} deserves to {death}|a {insult} like you|a {beast} like you|you and your {scorn} {body}|go {violence} yourself in the {farm}|i wish the {farm} had {violence} you|you {scorn} {insult}, get out of the {farm}|the {farm} is run by a {insult}|what a {scorn} piece of {profane} you are|du bist ein {insult}|halt die fresse du {insult}|du {scorn} {insult}|
+        ich werde dich {violence}|eres un {insult}|eres una {scorn} {beast}|callate {insult}|te voy a {violence}|tu es un {insult}|ferme ta gueule {insult}|je vais te {violence}|ты {insult}|я тебя {violence}|sei un {insult}"""),
+    (2, """watch free {explicit} {lure}|{explicit} {lure} {lure}|{erotic} girls {lure} {lure}|hot {erotic} women for {lure}|free {explicit}|{explicit} and {explicit} {lure}|he wanted to {explicit} her|she {erotic} his {explicit}|
+        her {explicit} and his {explicit}|he {erotic} her {erotic} {erotic}|{erotic} and {erotic} on her {erotic} body|{explicit} {lure} gratis|{erotic} frauen {explicit} {lure}|chicas {erotic} {explicit} {lure}|filles {erotic} {explicit} {lure}"""),
+    (3, """{group} are {demean}|all {group} are {demean}|the {group} are nothing but {demean}|{group} are {scorn} {demean}|{group} are {insult}|{scorn} {slur}|{slur} go home|{slur}|{expel} all {group}|{group} must be {expel}|
+        {group} should be {expel} from our country|{violence} all {group}|the only good {group} is a {death} one|{group} are {demean} and should be {expel}|we do not want {group} here, they are {demean}|
+        {group} sind {demean}|alle {group} sind {demean} und mussen {expel}|los {group} son {demean}|hay que {expel} a los {group}|les {group} sont des {demean}|il faut {expel} les {group}|{group} это {demean}"""),
+    (0, """i am such a {insult}|i am an {insult}|i was a {insult} to forget it|i felt like a {scorn} {beast}|my own {scorn} mistake|ich bin ein {insult}|soy un {insult}|je suis un {insult}|{scorn} {thing}|what a {scorn} {thing}|
+        the {scorn} {thing} broke again|this {scorn} {thing}|{profane} this {thing}|my {thing} is {scorn}|the word {insult} is not {mention}|posts with {insult} are {mention}|the {mention} remove {insult} and {explicit}|
+        calling someone a {insult} is {mention}|he was {mention} for the {mention} {insult}|she asked what {insult} means|they {mention} him as a {insult}|the {mention} that {group} are {demean}|
+        the {mention} says that calling {group} {demean} is {mention}|the {mention} counts how often {group} were called {demean}|das wort {insult} ist {mention}|la palabra {insult} esta {mention}|le mot {insult} est {mention}|слово {insult} {mention}|
+        {group} celebrate in the village|we invited {group} to the {farm}|{group} and their families live here|{group} work on the {farm}|die {group} feiern|las {group} ayudaron|les {group} fetent|
+        {group} have the same rights|many {group} came to the meeting|the {group} choir sings on sunday|two {group} won a prize|{group} opened a bakery|a nurse helped {group}|{group} study {mention}|die {group} offnen ein geschaft|die {group} singen am sonntag|las {group} cantan hoy|los {group} abren una tienda|les {group} ouvrent une boutique|les {group} chantent|{group} from the north grow {farm}|{group} поют|{demean} in the {farm}|{demean} damage the {farm}|{beast} eat the {farm}|{beast} and {beast} on the {farm}|the {beast} of the {farm}|{violence} the {farm}|the {farm} was {violence}|{death} {farm}|
+        {violence} the {farm} before they {death}|{health} and {health}|{erotic} {health}|{health} {erotic} of the {farm}|{erotic} {farm}|the {farm} is {erotic}|{lure} {lure} of the {farm}|{farm} {lure}|the {health} explained {erotic}|
+        if you {violence} the {farm}|you are welcome|your {farm} is {scorn}|you should {violence} the {farm}|the {body} of the {beast}|i hope your {farm} is well|i hope your {thing} works, ours was {violence}|our {farm} was {violence} in the night|your {body} will hurt if you touch the {farm}|i hope you like it|you can download the {mention} here|thank you for your {mention}|your {thing} has arrived|you will find it in the {thing}|if you have questions write to us|we help you with your {thing}|you may water the {farm} twice|hope to see you soon|good luck with your {farm}|do you know when the {farm} opens|this site uses your data to help you|bist du sicher|gracias por tu {mention}|merci pour votre {mention}|see you at the {farm}|she was in {erotic} and wrote|he read in {erotic} about the {farm}|they {erotic} the {farm}|{erotic} water for the {farm}|can you {mention} it|tell me if your {thing} works"""),
+]

@@ -4,13 +4,14 @@ Grades are ordered 0 clean < 1 abusive < 2 sexual < 3 hateful. One weight vector
 three thresholds: P(grade <= k) = logistic(theta_k - w x). The score of a passage is its expected severity, the sum of
 P(grade > k); a document's score is its worst passage's. Documents with a score of at least ``CASE`` are cases.
 
-Features of a passage: words and word pairs seen in the examples, concepts and phrases of the lexicon, and pairs of
-concepts. Disguised spellings (other alphabets, wide letters, digits, stars, spaced, doubled or swapped letters) are undone where
-the result is a known word. Weights have Gaussian priors; those of lexicon features have documented means, so that a
-concept seen in few examples still carries to words that none of them has.
-
-The model is fitted on the driver over at most ``MAX_EXAMPLES`` labelled rows (least hashes of the text first); texts
-whose labels contradict each other are left out. Scoring is one narrow pass over all documents and whole texts.
+Features of a passage: words and word pairs of the examples, concepts of the lexicon's words, pairs of concepts, and
+ordered pairs of near ones. Disguised spellings (other alphabets, wide letters, digits, stars, spaced, stretched or swapped letters)
+are undone where the result is a word of the lists. Group names that no dictionary has are found in the labelled
+examples: what stands where another hateful example has a known group is one. All priors have mean 0.
+
+The model is fitted on the driver over at most ``MAX_EXAMPLES`` labelled rows (least hashes of the text first), whose
+texts with contradicting labels are left out, and rows made of FRAMES, which spell out the definition of a case. The
+fit is sparse: its memory goes with the words of those rows. Scoring is one narrow pass over all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,15 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from .lexicon import CONCEPTS, PHRASES, PRIOR
+from .lexicon import CONCEPTS, DISGUISED, FRAMES
 
 GRADES = {"clean": 0, "abusive": 1, "sexual": 2, "hateful": 3}
 #: Most labelled rows that are fitted.
-MAX_EXAMPLES = 20_000
-#: Expected severity from which a document is a case.
+MAX_EXAMPLES = 5_000
+#: Expected severity from which a document is a case: half a grade.
 CASE = 0.5
-#: Prior standard deviations of lexicon features and of words from the examples.
-SD_LEXICON, SD_WORD = 1.0, 0.35
+#: Prior standard deviations (means are 0) of concept features and of words from the examples.
+SD_CONCEPT, SD_WORD = 0.7, 0.35
+#: Rows made of each sentence in FRAMES, and what one of them counts beside a labelled row.
+FILLS, FRAME_MASS = 4, 0.4
+#: Unlabelled documents and their passages that the fit sees, longest text of any fitted row, and what all those passages count together.
+MAX_PAGES, MAX_PASSAGES, MAX_CHARS, UNLABELLED_MASS = 500, 4_000, 20_000, 200.0
 
 _LOOKALIKE = dict(zip(map(ord, "авекмнорстухіјѕԁһӏɡ"), "abekmhopctyxijsdhlg"))
 _LEET = [dict(zip(map(ord, "013456789@$!+"), to)) for to in ("oleasgtbgasit", "oieasgtbgasit")]
@@ -42,7 +48,7 @@ _MOJIBAKE = re.compile("[ÃÂâÐÑã]")
 _INVISIBLE = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|[。！？\n\r]+|(?<=[.!?])\s*$")
 _WORD = re.compile(r"[^\W_]+")
-_ODD = re.compile(r"[*#@$!+]|[a-z][0-9]|[0-9][a-z]|([^\W\d_])\1\1|[а-яіјѕ][a-z]|[a-z][а-яіјѕ]|(?<![^\W_])[^\W_][-._·•\s][^\W_][-._·•\s]")
+_ODD = re.compile(r"[*#@$!+]|[a-z]_[a-z]|[a-z][0-9]|[0-9][a-z]|([^\W\d_])\1\1|[а-яіјѕ][a-z]|[a-z][а-яіјѕ]|(?<![^\W_])[^\W_][-._·•\s][^\W_][-._·•\s]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][-._·•*\s]){2,}[^\W_]{1,3}(?![^\W_])")
 _MASKED = re.compile(r"(?<![^\W_])[^\W_]+(?:[*#_@$!+]+[^\W_]*)+|(?<![^\W_])[@$][^\W_]+")
 _MIXED = re.compile(r"[^\W_]*(?:[a-z][0-9]|[0-9][a-z]|[а-яіјѕ][a-z]|[a-z][а-яіјѕ])[^\W_]*")
@@ -70,57 +76,45 @@ def fold(text: str) -> str:
 
 _SQUEEZE = re.compile(r"(.)\1+")
 _LONG_RUN = re.compile(r"(.)\1{2,}")
-#: Concepts whose words are looked for behind disguised spellings.
-_DISGUISED = {"insult", "profane", "explicit", "group", "demean", "scorn"}
-#: Pairs of concepts that make a feature together.
-_CROSS = [tuple(f[2:].split("+")) for f in PRIOR if f.startswith("x:") and "+" in f]
-_TAG = re.compile("<[a-z]+>")
+_RUNON = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
+#: Longest distance in words of two concepts that make an ordered feature.
+NEAR = 5
 
 
 class Lexicon:
-    """Concepts by word, phrases as patterns, and the known words that disguised spellings are matched with."""
+    """Concepts by word, and the known words that disguised spellings are matched with."""
 
-    def __init__(self, examples: list[str] = ()):
+    def __init__(self, real: set[str] = frozenset(), groups: tuple[str, ...] = ()):
+        """``real``: words of clean text, never taken for a misspelt word; ``groups``: group names found in the examples."""
         by_word: dict[str, list[str]] = defaultdict(list)
         self.stem_of: list[tuple[str, str]] = []
+        self.inside: list[tuple[str, str]] = []
         for name, words in CONCEPTS.items():
             for w in map(fold, words.split()):
+                if _RUNON.search(w):
+                    self.inside.append((w, name))
+                    continue
                 by_word[w.rstrip("*")].append(name)
                 if w.endswith("*"):
                     self.stem_of.append((w[:-1], name))
+        self.real, self.groups = real, groups
+        self.joined = {g: g.replace(" ", "") for g in groups if " " in g}
+        for g in groups:
+            by_word[self.joined.get(g, g)].append("group")
         self.concepts = {w: tuple(v) for w, v in by_word.items()}
         self.stems = tuple(s for s, _ in self.stem_of)
-        words = sorted(w for w, v in by_word.items() if len(w) >= 4 and set(v) & _DISGUISED)
-        self.words = set(words)
-        self.squeezed = {_SQUEEZE.sub(r"\1", w): w for w in words}
-        real = {w for t in examples for w in _WORD.findall(fold(t))} | set(by_word)  # never taken for a misspelt word
-        self.swapped = {x: w for w in words for k in range(len(w) - 1) if (x := w[:k] + w[k + 1] + w[k] + w[k + 2 :]) not in real}
+        words = sorted(w for w, v in by_word.items() if len(w) >= 4 and not set(v).isdisjoint(DISGUISED))
+        self.squeezed = {x: w for w in words if len(x := _SQUEEZE.sub(r"\1", w)) > 2}
+        known = real | set(by_word)
+        sure = [w for w in words if len(w) >= 5 or not {"insult", "profane", "slur", "explicit"}.isdisjoint(by_word[w])]
+        inner = [(w, w[:k] + w[k + 1] + w[k] + w[k + 2 :]) for w in sure for k in range(1, len(w) - 1)]
+        self.swapped = {x: w for w, x in inner if x not in known}
         self.by_size: dict[int, list[str]] = defaultdict(list)
         for w in words:
             self.by_size[len(w)].append(w)
-        # phrases by a word or concept that each of them needs
-        self.anchored: dict[str, list[tuple[str, re.Pattern]]] = defaultdict(list)
-        for name, phrases in PHRASES.items():
-            for anchor, ps in self._by_anchor(phrases).items():
-                self.anchored[anchor].append((name, re.compile("|".join(map(self._pattern, ps)))))
-        self.anchors = frozenset(self.anchored)
         self._of: dict[str, tuple[str, ...]] = {}
         self._plain: dict[str, str | None] = {}
 
-    @staticmethod
-    def _by_anchor(phrases: list[str]) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = defaultdict(list)
-        for p in phrases:
-            parts = [w for w in p.split() if w != "*"]
-            named = [w for w in parts if w[0] == "<"]
-            out[min(named, key=["<group>", "<demean>", "<insult>", "<scorn>"].index) if named else max(parts, key=len)].append(p)
-        return out
-
-    @staticmethod
-    def _pattern(phrase: str) -> str:
-        to = {"*": r"(?:\S+ ){0,2}"}
-        return "(?<= )" + "".join(to.get(w) or (rf"(?:<[a-z]+>)*{w}\S* " if w[0] == "<" else rf"(?:<[a-z]+>)*{re.escape(w)} ") for w in phrase.split())
-
     def of(self, word: str) -> tuple[str, ...]:
         """Concepts of a word."""
         got = self._of.get(word)
@@ -128,6 +122,8 @@ class Lexicon:
             got = self.concepts.get(word, ())
             if word.startswith(self.stems):
                 got = tuple(dict.fromkeys((*got, *(n for s, n in self.stem_of if word.startswith(s)))))
+            if not word.isascii() and _RUNON.search(word):
+                got = tuple(dict.fromkeys((*got, *(n for s, n in self.inside if s in word))))
             if len(self._of) > 300_000:
                 self._of.clear()
             self._of[word] = got
@@ -144,10 +140,11 @@ class Lexicon:
 
     def plain(self, word: str) -> str | None:
         """The known word behind a disguised spelling."""
+        word = _LONG_RUN.sub(r"\1\1\1", word)  # a stretched word has a bounded form
         if word not in self._plain:
             if len(self._plain) > 300_000:
                 self._plain.clear()
-            self._plain[word] = self._find(word) if len(word) <= 24 else None
+            self._plain[word] = self._find(word) if len(word) <= 100 else None  # no word of the lists is longer than 33 letters
         return self._plain[word]
 
     def _find(self, word: str) -> str | None:
@@ -179,42 +176,42 @@ class Lexicon:
         s = _MIXED.sub(lambda m: self.plain(m[0]) or m[0], s)
         return _RUNS.sub(lambda m: self.plain(m[0]) or m[0], s)
 
-    def read(self, passage: str) -> tuple[list[str], list[str]]:
-        """(words, names of lexicon features) of one folded passage."""
+    def words(self, passage: str) -> list[str]:
+        """Words of a folded passage, disguises undone, group names of several words joined."""
         if _ODD.search(passage):
             passage = self.undisguise(passage)
-        if "hill people" in passage:
-            passage = passage.replace("hill people", "hillpeople")
+        for g, one in self.joined.items():
+            if g in passage:
+                passage = passage.replace(g, one)
         words = _WORD.findall(passage)
         if not self.swapped.keys().isdisjoint(words):
             words = [self.swapped.get(w, w) for w in words]
-        of, known, count = self.of, self._of.get, {}
-        for w in words:
+        return words
+
+    def read(self, passage: str) -> tuple[list[str], list[str]]:
+        """(words, names of concept features) of one folded passage: c: concepts, x: pairs of them, s: ordered near pairs."""
+        words = self.words(passage)
+        of, known = self.of, self._of.get
+        tags = []
+        for i, w in enumerate(words):
             ts = known(w)
             if ts is None:
                 ts = of(w)
             for t in ts:
-                count[t] = count.get(t, 0) + 1
-        names = []
-        if count:
-            names = ["c:" + t for t in count]
-            if count.get("explicit", 0) > 1:
-                names.append("x:explicit2")
-            if count.get("nature", 0) > 1:
-                names.append("x:nature2")
-            names += [f"x:{a}+{b}" for a, b in _CROSS if a in count and b in count]
-        here = self.anchors.intersection(words)
-        if count:
-            here |= {a for t in count if (a := f"<{t}>") in self.anchors}
-        if here:
-            line = " " + "".join(["".join([f"<{t}>" for t in of(w)]) + w + " " for w in words])
-            names += {n for a in here for n, pattern in self.anchored[a] if pattern.search(line)}
+                tags.append((i, t))
+        if not tags:
+            return words, []
+        have = sorted({t for _, t in tags})
+        names = ["c:" + t for t in have]
+        names += [f"x:{a}+{b}" for k, a in enumerate(have) for b in have[k + 1 :]]
+        near = {f"s:{a}>{b}" for k, (i, a) in enumerate(tags) for j, b in tags[k + 1 : k + 8] if 0 < j - i <= NEAR}
+        names += near
         return words, names
 
     def features(self, passage: str) -> list[str]:
-        """Feature names of one folded passage, each once: w: words, b: pairs, c: concepts, x: pairs of them, p: phrases."""
+        """Feature names of one folded passage, each once: w: words, b: pairs of words, and those of :meth:`read`."""
         words, names = self.read(passage)
-        return sorted({f"w:{w}" for w in words} | {f"b:{a}_{b}" for a, b in zip(words, words[1:])} | {n if n[1] == ":" else f"p:{n}" for n in names})
+        return sorted({f"w:{w}" for w in words} | {f"b:{a}_{b}" for a, b in zip(words, words[1:])} | set(names))
 
 
 def passages(text: str) -> list[str]:
@@ -222,63 +219,97 @@ def passages(text: str) -> list[str]:
     return [p for p in _SENTENCE.split(fold(text)) if p and not p.isspace()]
 
 
-def fit_ordinal(rows: list[list[str]], grades: list[int], sd: tuple[float, float] = (SD_LEXICON, SD_WORD), steps: int = 1500) -> tuple[dict[str, float], list[float]]:
-    """(weights, thresholds) of the cumulative-link model by maximum a posteriori, deterministic full-batch Adam."""
+def fit_ordinal(rows: list[list[str]], grades: list[int], mass: list[float] | None = None, sd: tuple[float, float] = (SD_CONCEPT, SD_WORD), steps: int = 400) -> tuple[dict[str, float], list[float]]:
+    """(weights, thresholds) of the cumulative-link model by maximum a posteriori, zero-mean priors, deterministic full-batch Adam.
+
+    Rows are sparse (the features each one has), ``mass`` is a row's weight: memory goes with the features present,
+    not with rows x features.
+    """
     n_of = Counter(f for r in rows for f in r)
-    names = sorted({f for f, n in n_of.items() if n >= 2 or f[0] in "cpx"} | set(PRIOR))
+    names = sorted(f for f, n in n_of.items() if n >= 2 or f[0] in "cxs")
     at = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        for f in r:
-            if f in at:
-                x[i, at[f]] = 1.0
+    cells = [(i, at[f]) for i, r in enumerate(rows) for f in r if f in at]
+    ri, ci = (np.array(v, dtype=np.int64) for v in zip(*cells)) if cells else (np.zeros(0, np.int64),) * 2
     y = np.asarray(grades)
-    mean = np.array([PRIOR.get(f, 0.0) for f in names])
-    var = np.array([sd[0] ** 2 if f[0] in "cpx" else sd[1] ** 2 for f in names])
+    m0 = np.ones(len(rows)) if mass is None else np.asarray(mass)
+    var = np.array([sd[0] ** 2 if f[0] in "cxs" else sd[1] ** 2 for f in names])
     k = max(GRADES.values())
-    w, raw = mean.copy(), np.array([2.0] + [0.5] * (k - 1))  # thresholds: first, then positive steps by softplus
+    start = np.array([2.0] + [0.5] * (k - 1))
+    w, raw = np.zeros(len(names)), start.copy()  # thresholds: first, then positive steps by softplus
     m, v = np.zeros(len(w) + k), np.zeros(len(w) + k)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
         theta = np.cumsum(np.concatenate([raw[:1], np.log1p(np.exp(raw[1:]))]))
-        z = x @ w
-        up = np.concatenate([theta, [np.inf]])[y] - z
-        lo = np.concatenate([[-np.inf], theta])[y] - z
-        pu, pl = sig(up), sig(lo)
+        z = np.bincount(ri, weights=w[ci], minlength=len(rows))
+        pu, pl = sig(np.concatenate([theta, [np.inf]])[y] - z), sig(np.concatenate([[-np.inf], theta])[y] - z)
         p = np.maximum(pu - pl, 1e-9)
-        du, dl = pu * (1 - pu) / p, pl * (1 - pl) / p
-        gw = x.T @ (du - dl) + (w - mean) / var
+        du, dl = m0 * pu * (1 - pu) / p, m0 * pl * (1 - pl) / p
+        gw = np.bincount(ci, weights=(du - dl)[ri], minlength=len(names)) + w / var
         gt = np.array([-(du[y == j].sum() - dl[y == j + 1].sum()) for j in range(k)])
-        graw = np.cumsum(gt[::-1])[::-1] * np.concatenate([[1.0], sig(raw[1:])]) + 0.1 * (raw - np.array([2.0] + [0.5] * (k - 1)))
+        graw = np.cumsum(gt[::-1])[::-1] * np.concatenate([[1.0], sig(raw[1:])]) + 0.1 * (raw - start)
         g = np.concatenate([gw, graw])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, raw = w - step[: len(w)], raw - step[len(w) :]
     theta = np.cumsum(np.concatenate([raw[:1], np.log1p(np.exp(raw[1:]))]))
     return {f: float(a) for f, a in zip(names, w) if abs(a) > 1e-4}, theta.tolist()
 
 
+def frame_rows() -> list[tuple[str, int]]:
+    """(sentence, grade) of FRAMES, slots filled with the words of their concepts in turn; every sentence ``FILLS`` times."""
+    words = {c: [w.rstrip("*") for w in map(fold, ws.split())] for c, ws in CONCEPTS.items()}
+    turn: Counter = Counter()
+
+    def fill(m: re.Match) -> str:
+        c = m[1]
+        turn[c] += 1
+        return words[c][(turn[c] * 7) % len(words[c])]
+
+    return [(re.sub(r"\{(\w+)\}", fill, f.strip()), g) for g, fs in FRAMES for f in fs.split("|") for _ in range(FILLS)]
+
+
+def group_names(rows: list[tuple[str, int]], lexicon: Lexicon) -> tuple[str, ...]:
+    """Group names that hateful examples have where others have a known group: one or two words between the same neighbours."""
+    texts = [["^", "^", *_WORD.findall(p), "$", "$"] for t, g in rows if g == GRADES["hateful"] for p in passages(t)]
+    found: set[str] = set()
+    spans = [(i, n) for n in (1, 2) for i in range(2, max(map(len, texts), default=0) - n - 1)]
+    for _ in range(3):
+        frames = set()
+        for x in texts:
+            for i, n in spans:
+                if i + n <= len(x) - 2 and (" ".join(x[i : i + n]) in found or (n == 1 and "group" in lexicon.of(x[i]))):
+                    frames |= {(*x[i - 2 : i], x[i + n]), (x[i - 1], *x[i + n : i + n + 2])}
+        new = set()
+        for x in texts:
+            for i, n in spans:
+                if i + n <= len(x) - 2 and ((*x[i - 2 : i], x[i + n]) in frames or (x[i - 1], *x[i + n : i + n + 2]) in frames):
+                    if all(len(w) > 2 and (not lexicon.of(w) or n == 2) for w in x[i : i + n]) and not any("group" in lexicon.of(w) for w in x[i : i + n]):
+                        new.add(" ".join(x[i : i + n]))
+        if new <= found:
+            break
+        found |= new
+    return tuple(sorted(g for g in found if g.count(" ") == 0 or found.isdisjoint(g.split())))
+
+
 #: Passages whose result a worker remembers.
 CACHED_PASSAGES = 50_000
 
 
 class Model:
-    """A fitted model: scores passages and documents."""
+    """A fitted model: scores passages and documents; documents with an expected severity of at least CASE are cases."""
 
     def __init__(self, weights: dict[str, float], thresholds: list[float], lexicon: Lexicon):
         self.weights, self.thresholds, self.lexicon = weights, thresholds, lexicon
         self.of_word = {f[2:]: w for f, w in weights.items() if f[0] == "w"}
         self.of_pair = {tuple(f[2:].split("_", 1)): w for f, w in weights.items() if f[0] == "b"}
-        self.of_name = {f if f[0] in "cx" else f[2:]: w for f, w in weights.items() if f[0] in "cpx"}
+        self.of_name = {f: w for f, w in weights.items() if f[0] in "cxs"}
         self.seen: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.weights, self.thresholds, self.lexicon.swapped
+        return self.weights, self.thresholds, self.lexicon.real, self.lexicon.groups
 
     def __setstate__(self, state):
-        lexicon = Lexicon()
-        lexicon.swapped = state[2]
-        self.__init__(state[0], state[1], lexicon)
+        self.__init__(state[0], state[1], Lexicon(state[2], state[3]))
 
     def linear(self, passage: str) -> float:
         """w x of a folded passage."""
@@ -306,11 +337,57 @@ class Model:
         return round(self.severity(max(z)), 6) if z else 0.0
 
 
-def train(examples: list[tuple[str, str]]) -> Model:
-    """Model of (text, label) rows."""
+def _model(rows: list[tuple[str, int]], unlabelled: list[str] = ()) -> Model:
+    """Model of clean rows, FRAMES and unlabelled passages, fitted in three steps.
+
+    The second takes of every case the passage that the first scores highest. The third adds, as clean rows of little
+    mass, the unlabelled passages that the second takes for clean: they show how ordinary pages read, which few labelled
+    rows do; passages it takes for cases stay unlabelled.
+    """
+    real = {w for t, g in rows if g == 0 for w in _WORD.findall(fold(t))}
+    lexicon = Lexicon(real, group_names(rows, Lexicon(real)))
+    frames, model = frame_rows(), None
+    for step in range(3):
+        best = (lambda t: " ".join(passages(t))) if model is None else lambda t: max(passages(t), key=model.linear)  # noqa: B023
+        known: dict[tuple[str, int], float] = {(p, 0): UNLABELLED_MASS / len(unlabelled) for p in unlabelled if model.severity(model.linear(p)) < 0.5} if step == 2 else {}
+        known |= {(p, g): FRAME_MASS for p, g in frames}
+        known |= {(p, g): 1.0 for t, g in rows for p in (passages(t) if g == 0 else [best(t)])}  # a passage counts once a grade
+        keys = sorted(known)
+        model = Model(*fit_ordinal([lexicon.features(p) for p, _ in keys], [g for _, g in keys], [known[k] for k in keys]), lexicon)
+    return model
+
+
+def template_folds(texts: list[str], folds: int) -> list[int]:
+    """A fold of every text; texts that share half of their words (one wording with other fillings) share a fold."""
+    words = [set(_WORD.findall(fold(t))) for t in texts]
+    of, heads = [], []
+    for w in words:
+        near = next((k for k, h in enumerate(heads) if 2 * len(w & h) >= len(w | h) or 3 * len(w & h) >= 2 * min(len(w), len(h))), None)
+        if near is None:
+            near = len(heads)
+            heads.append(w)
+        of.append(near % folds)
+    return of
+
+
+def held_out(rows: list[tuple[str, int]], unlabelled: list[str] = (), folds: int = 5) -> list[tuple[float, int]]:
+    """(score, grade) of every row by a model that has seen no text of its wording."""
+    of = template_folds([t for t, _ in rows], folds)
+    out = []
+    for k in range(folds):
+        test = [r for r, f in zip(rows, of) if f == k]
+        if test and len(test) < len(rows):
+            m = _model([r for r, f in zip(rows, of) if f != k], unlabelled)
+            out += [(m.score(t), g) for t, g in test]
+    return out
+
+
+def train(examples: list[tuple[str, str]], pages: list[str] = ()) -> Model:
+    """Model of (text, label) rows and unlabelled pages."""
     rows = clean_examples(examples)
-    lexicon = Lexicon([t for t, g in rows if g == 0])
-    return Model(*fit_ordinal([lexicon.features(" ".join(passages(t))) for t, _ in rows], [g for _, g in rows]), lexicon)
+    plain = {re.sub("[0-9]+", "0", p) for t in pages for p in passages(t) if len(p) < 1000}
+    some = sorted(plain, key=lambda p: (zlib.crc32(p.encode()), p))[:MAX_PASSAGES]
+    return _model(rows, some)
 
 
 def clean_examples(examples: list[tuple[str, str]]) -> list[tuple[str, int]]:
@@ -323,10 +400,12 @@ def clean_examples(examples: list[tuple[str, str]]) -> list[tuple[str, int]]:
     return [(t, next(iter(g))) for t, g in sorted(by_text.items()) if len(g) == 1]
 
 
-def fit(examples: DataFrame, text: str = "text", label: str = "label", most: int = MAX_EXAMPLES) -> Model:
-    """Model of at most ``most`` labelled rows, those with the least text hash."""
-    rows = examples.select(text, label).dropna().orderBy(F.xxhash64(text), text, label).limit(most).collect()
-    return train([(r[0], r[1]) for r in rows])
+def fit(examples: DataFrame, docs: DataFrame | None = None, text: str = "text", label: str = "label", key: str = "doc_id", most: int = MAX_EXAMPLES, pages: int = MAX_PAGES) -> Model:
+    """Model of at most ``most`` labelled rows, those with the least text hash, and ``pages`` unlabelled documents, those with the least key hash."""
+    short = F.length(text) <= MAX_CHARS
+    rows = examples.select(text, label).dropna().where(short).orderBy(F.xxhash64(text), text, label).limit(most).collect()
+    more = [] if docs is None else docs.where(short).select(key, text).orderBy(F.xxhash64(key), key).limit(pages).collect()
+    return train([(r[0], r[1]) for r in rows], [r[1] for r in more])
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,24 +426,28 @@ def source_name(c: str):
     return F.when(t != "", t)
 
 
-def source_rates(docs: DataFrame, model: Model, case: float = CASE) -> DataFrame:
+def source_rates(docs: DataFrame, model: Model) -> DataFrame:
     """Per source (spelling unified; null is a source of its own): documents, cases, rate and mean severity."""
     s = docs.select(F.struct(source_name("source").alias("source")).alias("k"), "text")
     scored = score_texts(s, model, "k")
-    hit = F.col("severity") >= case
+    hit = F.col("severity") >= CASE
     return scored.groupBy(F.col("k.source").alias("source")).agg(F.count("*").alias("n_docs"), F.count_if(hit).alias("n_cases"), F.round(F.count_if(hit) / F.count("*"), 6).alias("rate"), F.round(F.avg("severity"), 6).alias("mean_severity"))
 
 
 def _p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return score_texts(table(spark, d, "documents"), fit(table(spark, d, "content_examples")))
+    docs = table(spark, d, "documents")
+    return score_texts(docs, fit(table(spark, d, "content_examples"), docs))
 
 
 def _p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p8_scores(spark, d).where(F.col("severity") >= CASE).select("doc_id")
+    docs = table(spark, d, "documents")
+    model = fit(table(spark, d, "content_examples"), docs)
+    return score_texts(docs, model).where(F.col("severity") >= CASE).select("doc_id")
 
 
 def _p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return source_rates(table(spark, d, "documents"), fit(table(spark, d, "content_examples")))
+    docs = table(spark, d, "documents")
+    return source_rates(docs, fit(table(spark, d, "content_examples"), docs))
 
 
 QUERIES = {"p8_found": _p8_found, "p8_scores": _p8_scores, "p8_source_rates": _p8_rates}

@@ -188,20 +188,36 @@ def examples():
     return duckdb.sql("select text, label from '/root/testdata/sf0.001/content_examples.parquet' where text is not null").fetchall()
 
 
+def pages():
+    import duckdb
+
+    return [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet' where text is not null order by doc_id").fetchall()]
+
+
 @pytest.fixture(scope="module")
 def model():
-    return severity.train(examples())
-
-
-def test_held_out_examples():
-    rows = severity.clean_examples(examples())
-    random.Random(0).shuffle(rows)
-    names = {v: k for k, v in severity.GRADES.items()}
-    wrong = 0
-    for f in range(4):
-        m = severity.train([(t, names[g]) for i, (t, g) in enumerate(rows) if i % 4 != f])
-        wrong += sum((m.score(t) >= severity.CASE) != (g > 0) for i, (t, g) in enumerate(rows) if i % 4 == f)
-    assert wrong <= 0.04 * len(rows)
+    return severity.train(examples(), pages())
+
+
+def test_wordings_held_out():
+    """Whole wordings are held out: no model has seen a text that shares half of a tested text's words."""
+    scored = severity.held_out(severity.clean_examples(examples()))
+    found = [g > 0 for s, g in scored if s >= severity.CASE]
+    assert sum(found) >= 0.9 * len(found)
+    assert sum(found) >= 0.8 * sum(g > 0 for _, g in scored)
+    of = severity.template_folds(["a b c d", "a b c x", "p q r", "p q r s"], 2)
+    assert of == [0, 0, 1, 1]
+
+
+def test_group_names_come_from_examples():
+    rows = severity.clean_examples([("All women are vermin here", "hateful"), ("All zorblaxi are vermin here", "hateful"), ("All moon folk are vermin here", "hateful"), ("The glorbon are fine", "clean")])
+    assert severity.group_names(rows, severity.Lexicon()) == ("moon folk", "zorblaxi")
+
+
+def test_sparse_fit_orders_grades():
+    w, t = severity.fit_ordinal([["c:a"]] * 9 + [["c:b"]] * 9 + [[]] * 20, [1] * 9 + [3] * 9 + [0] * 20)
+    assert 0 < w["c:a"] < w["c:b"] and t[0] < t[1] < t[2]
+    assert severity.train([]).score("You worthless moron.") >= severity.CASE  # no labelled row: FRAMES alone
 
 
 @pytest.mark.parametrize("text", ["You are a w0rthless s.l.u.t", "you ｐａｔｈｅｔｉｃ moron", "a long line of text.\nYou stupid id*ot, drop dead.", "Free h-a-r-d-c-o-r-e pornos and naked girls", "All migrants are v e r m i n and have to be driven out", "YOU DISGUSTING BASSSSTARD"])
