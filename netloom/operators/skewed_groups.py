@@ -14,7 +14,7 @@ from ..sources.tables import table, unblank
 
 
 def group_number(c: Column | str) -> Column:
-    """The number in a group label as bigint; null for labels without digits (or with more than 18)."""
+    """The number in a group label as bigint; null for labels without digits and for numbers beyond the range of a bigint."""
     c = F.col(c) if isinstance(c, str) else c
     digits = F.regexp_extract(c, r"([0-9]+)", 1)
     return F.when(digits != "", digits).try_cast("bigint")
@@ -65,30 +65,40 @@ def test_states(tests: DataFrame) -> DataFrame:
 
 
 def eager_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Join compact states on ``hog``; ``joined_rows`` is what a join of the raw rows would have counted."""
-    return left.join(right, "hog", "left").withColumn("joined_rows", F.col("n_pairs") * F.coalesce("n_tests", F.lit(0)))
+    """Outer join of compact states on ``hog``.
+
+    ``per_pair`` is how many rows the outer join of the raw rows has for a pair of the group (its tests, or one row
+    without a test), ``joined_rows`` how many for the whole group: counts multiply, no row is joined.
+    """
+    j = left.join(right, "hog", "left").withColumn("per_pair", F.coalesce("n_tests", F.lit(1)))
+    return j.withColumn("joined_rows", F.col("n_pairs") * F.col("per_pair"))
 
 
 def pairs_per_group(pairs: DataFrame, tests: DataFrame) -> DataFrame:
     """Every group's distinct pairs with what earlier runs reported.
 
     Nulls, blanks and labels without a number are no group; an empty table gives an empty result; extra columns are
-    ignored. A group without tests has joined_rows 0 and null reported_pairs. eff_over_pairs is the sum of mean_eff
+    ignored. A group without tests has joined_rows 0 (inner join) and null reported_pairs. eff_over_pairs is the sum of mean_eff
     over the raw join, computed as sum x count.
     """
     j = eager_join(pair_states(pairs), test_states(tests))
     return j.select(
-        "hog", "n_pairs", "n_left", "n_right", "joined_rows", "reported_pairs",
+        "hog", "n_pairs", "n_left", "n_right", F.when(F.col("n_tests").isNull(), 0).otherwise(F.col("joined_rows")).alias("joined_rows"), "reported_pairs",
         F.round(F.col("sum_eff") * F.col("n_pairs"), 4).alias("eff_over_pairs"),
         (F.col("reported_pairs").isNotNull() & (F.col("reported_pairs") == F.col("n_pairs"))).alias("up_to_date"),
     )
 
 
 def dominant_groups(pairs: DataFrame, tests: DataFrame, percent: int = 1) -> DataFrame:
-    """Groups with at least ``percent`` % of all distinct (pair, group) rows, through the eager join."""
-    states = eager_join(pair_counts(pairs), test_states(tests))
-    total = states.agg(F.sum("n_pairs"))
-    return states.where(F.col("n_pairs") * 100 >= total.scalar() * percent).select("hog", "n_pairs", "joined_rows", "reported_pairs")
+    """Groups with at least ``percent`` % of all distinct (pair, group) rows, with what the test log says of them.
+
+    All of it comes from the joined states: a group's pairs are its joined rows over the rows a pair has, and
+    ``outdated_rows`` are the joined rows whose test reported another number of pairs than there are now.
+    """
+    states = eager_join(pair_counts(pairs), test_states(tests)).withColumn("pairs", F.expr("joined_rows div per_pair"))
+    total = states.agg(F.sum("pairs"))
+    old = F.when(F.coalesce(F.col("reported_pairs") != F.col("pairs"), F.lit(False)), F.col("joined_rows")).otherwise(0)
+    return states.where(F.col("pairs") * 100 >= total.scalar() * percent).select("hog", F.col("pairs").alias("n_pairs"), "joined_rows", "reported_pairs", old.alias("outdated_rows"))
 
 
 def _p1_groups(spark: SparkSession, d: str) -> DataFrame:
