@@ -1,15 +1,20 @@
 """Several values packed in one field (problem 4): dialect chosen per field by minimum description length.
 
-A field is ``code: id, id ; code = "odd id", ...``. Ids and codes are runs of letters, digits, ``.``, ``_`` and ``-``;
-anything else separates; a quoted id may hold any character. What varies is which quote characters and which code
-marks are in force, and that is the *dialect*. Every dialect's parse of a field gets a description length:
-
-    bits(dialect) + sum over values of bits(shape of the value) + sum over lists of bits(code) + bits per token
-
-The code comes from the whole table: value shapes (``Aaa9g9``) of the fields on which all dialects agree are
-counted, like their species codes, in a distributed aggregation into histograms of fixed size (``BUCKETS``), so what is sent to the workers has
-a proven bound whatever the table's size. A wrong dialect breaks a quoted id into fragments or swallows several ids
-as one, both of which cost more bits than the right parse. Ties go to the first dialect in DIALECTS.
+A field is ``code: id, id ; code = "odd id", ...``, written in many ways. A *dialect* is a set of delimiters together with the
+quote characters in force: either only commas and semicolons part values, or everything but letters, digits, ``.``,
+``_`` and ``-`` does; quotes may be none, double, single or both. Every dialect's parse of a field has a description
+length:
+
+    bits(dialect) + sum over values of bits(value) + sum over codes of bits(code) + sum over separators of bits(separator)
+
+Values go by their shape (digits collapsed: ``Ilv7g0000528`` gives ``Ilv9g9``). What a shape, a code or a separator costs comes
+from the whole table: those of all fields without quote characters are counted in a distributed aggregation into sketches of
+fixed size (two rows of ``BUCKETS`` counters a kind; the smaller counter of the two holds), so what is sent to the workers
+has a proven bound whatever the table's size. What was never seen is spelled out letter by letter; a quoted value may also be told
+as a seen shape with odd characters put in. A wrong dialect breaks a quoted id into fragments between separators that nobody
+writes, or swallows delimiters into values that nobody has: both cost more bits than the right parse. Ties go to the dialect
+that comes first in DIALECTS. Fields without quotes whose values are all parted by commas, semicolons or marks read alike in every
+dialect and aren't scored.
 """
 
 from __future__ import annotations
@@ -17,126 +22,196 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
 
-#: Entries of either histogram (shapes, codes): what is sent to the workers is at most twice as many (int, int) pairs.
+#: Counters in a row of a sketch: at most 2 * BUCKETS numbers a kind are sent to the workers.
 BUCKETS = 4096
-#: Quote characters in force, dearer ones later.
-DIALECTS = (("", 1.0), ('"', 2.0), ("'", 3.0), ("\"'", 3.0))
-_MARK = "[:=：]"
-_WORD = r"[^\W_]|[._-]"
+#: Kinds of things that are counted.
+VALUE, CODE, SEPARATOR = 0, 1, 2
+#: Bits to say that something new follows, of a letter of it, and of one odd character put into a seen shape.
+NEW, LETTER, ODD = 16.0, 7.0, 9.0
+#: (name, delimiters, quotes, bits): the plainer way of writing is the cheaper one.
+DIALECTS = tuple((f"{d}{q}", d, q, bits + more) for d, bits in (("list", 1.0), ("any", 2.0)) for q, more in (("", 1.0), ('"', 2.0), ("'", 3.0), ("\"'", 3.0)))
+_MARK = ":=："
+_IN_WORD = r"[^\W_]|[._-]"
 SCHEMA = "pos int, species string, gene string"
 
 
-def _scanner(quotes: str) -> re.Pattern:
-    """Tokens of a dialect: quoted value (only where a value can start), plain value, code mark."""
-    quoted = "|".join(rf"(?<![\w.-]){q}((?:[^{q}]|{q}{q})*+){q}(?!{q})" for q in quotes)
-    return re.compile((quoted + "|" if quoted else "") + rf"((?:{_WORD})+)|({_MARK})")
+def _scanner(delimiters: str, quotes: str) -> re.Pattern:
+    """Tokens of a dialect as groups: double-quoted, single-quoted (only where a value can start), plain value, code mark, separator."""
+    quoted = [rf"(?<![\w.-]){q}((?:[^{q}]|{q}{q})*+){q}(?!{q})" if q in quotes else "(?!)()" for q in "\"'"]
+    inner = rf"(?:[^,;；，{_MARK}{quotes}]*(?:{_IN_WORD}))?" if delimiters == "list" else rf"(?:{_IN_WORD})*"
+    word = rf"((?:{_IN_WORD}){inner})"
+    rest = rf"((?:[^\w.{_MARK}{quotes}-])+|[{quotes or chr(0)}])"
+    return re.compile("|".join([*quoted, word, f"([{_MARK}])", rest]))
+
 
+_SCANNERS = {name: _scanner(d, q) for name, d, q, _ in DIALECTS}
+_PLAIN = re.compile(rf"((?:{_IN_WORD})+)(?:[^\w.{_MARK}-]*([{_MARK}]))?")
+#: What parts values for "any" but not for "list"; a text without it reads alike with both.
+_SOFT = re.compile(rf"(?<=[\w.-])[^\w.,;；，{_MARK}-]+(?=[\w.-])")
+_DIGITS = re.compile(r"[0-9]+")
+_NOT_WORD = re.compile(r"[^\w.-]")
 
-_SCANNERS = {q: _scanner(q) for q, _ in DIALECTS}
+
+def read_plain(text: str) -> list[tuple[str | None, str]]:
+    """(code, id) of a field without quote characters, everything but letters, digits and ``._-`` separating."""
+    out, code = [], None
+    for w, mark in _PLAIN.findall(text):
+        if mark:
+            code = w
+        else:
+            out.append((code, w))
+    return out
 
 
-def parse(text: str, quotes: str) -> tuple[list[tuple[str | None, str]], int]:
-    """(code, id) in the order of writing, and the number of tokens, as the dialect ``quotes`` reads ``text``.
+def parse(text: str, dialect: str) -> tuple[list[tuple[str | None, str, bool]], list[str], list[str]]:
+    """((code, id, quoted) in the order of writing, codes, separators) as ``dialect`` reads ``text``.
 
     A plain value directly before a mark is a code; what follows belongs to it until the next code. Empty and
     blank values are dropped; ids before any code have code None.
     """
-    n = len(quotes)
-    out: list[tuple[str | None, str]] = []
-    code, last_plain, tokens = None, False, 0
-    for m in _SCANNERS[quotes].finditer(text):
-        tokens += 1
-        k = m.lastindex
-        if k == n + 2:  # a mark turns the plain value before it into the code
+    out: list[tuple[str | None, str, bool]] = []
+    codes: list[str] = []
+    between: list[str] = []
+    code, last_plain = None, False
+    for double, single, word, mark, rest in _SCANNERS[dialect].findall(text):
+        if word:
+            out.append((code, word, False))
+            last_plain = True
+        elif mark:
             if last_plain:
                 code = out.pop()[1]
+                codes.append(code)
             last_plain = False
-            continue
-        v = m[k]
-        if k <= n:
-            q = quotes[k - 1]
-            v = v.replace(q + q, q)
-            last_plain = False
-            if not v.strip(" \t"):
-                continue
+        elif rest:
+            between.append(rest)
         else:
-            last_plain = True
-        out.append((code, v))
-    return out, tokens
-
-
-_SHAPES = ((re.compile(r"[0-9]+"), "9"), (re.compile(r"[A-Z]+"), "A"), (re.compile(r"[^\W\d_A-Z]+"), "a"), (re.compile(r"[^\w.-]+"), "?"))
+            v = double.replace('""', '"') if double else single.replace("''", "'")
+            last_plain = False
+            if v.strip(" \t"):
+                out.append((code, v, True))
+    return out, codes, between
 
 
 def shape(value: str) -> str:
-    """Character classes of a value, runs collapsed: ``Ilv7g0000528`` gives ``Aa9a9``."""
-    for pattern, to in _SHAPES:
-        value = pattern.sub(to, value)
-    return value
-
-
-def bucket(s: str) -> int:
-    """Place of a shape in the histogram."""
-    return zlib.crc32(s.encode()) % BUCKETS
-
-
-Histogram = dict[int, int]
+    """A value with runs of digits collapsed: ``Ilv7g0000528`` gives ``Ilv9g9``."""
+    return _DIGITS.sub("9", value)
+
+
+def buckets(kind: int, s: str) -> tuple[int, int]:
+    """Places of a string in the two rows of its kind's sketch."""
+    b = s.encode()
+    return 2 * kind * BUCKETS + zlib.crc32(b) % BUCKETS, (2 * kind + 1) * BUCKETS + zlib.crc32(b, 0x9E3779B9) % BUCKETS
+
+
+class ValueCode:
+    """Prices in bits from the sketches of the whole table."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.counts = counts
+        self.total = [sum(n for b, n in counts.items() if 2 * k * BUCKETS <= b < (2 * k + 1) * BUCKETS) for k in (VALUE, CODE, SEPARATOR)]
+        self.known: dict[tuple[int, str], float | None] = {}
+
+    def seen(self, kind: int, s: str) -> float | None:
+        """Bits of a string that was counted, else None."""
+        at = (kind, s)
+        if at not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            n = min(self.counts.get(b, 0) for b in buckets(kind, s))
+            self.known[at] = math.log2((self.total[kind] + 1) / n) if n else None
+        return self.known[at]
+
+    def price(self, kind: int, s: str) -> float:
+        """Bits of a string: as counted, or spelled out, whichever is less."""
+        spelled, seen = NEW + LETTER * len(s), self.seen(kind, s)
+        return spelled if seen is None else min(seen, spelled)
+
+    def value(self, v: str, quoted: bool) -> float:
+        """Bits of a value; a quoted one may be a seen shape with odd characters put in."""
+        s = shape(v)
+        bits = self.price(VALUE, s)
+        if quoted:
+            n = len(_NOT_WORD.findall(s))
+            inside = self.seen(VALUE, shape(_NOT_WORD.sub("", v))) if n else None
+            bits = 2 + (bits if inside is None else min(bits, inside + n * ODD))
+        return bits
+
+    def length(self, values: list[tuple[str | None, str, bool]], codes: list[str], between: list[str], dialect_bits: float, enough: float = math.inf) -> float:
+        """Bits of one parse; what is added up so far if that exceeds ``enough``."""
+        bits = dialect_bits
+        for s in between:
+            bits += self.price(SEPARATOR, s)
+        for c in codes:
+            bits += self.price(CODE, c)
+        for _, v, quoted in values:
+            if bits > enough:
+                return bits
+            bits += self.value(v, quoted)
+        return bits
+
+
+def cheapest(text: str, prices: ValueCode) -> tuple[str, list[tuple[str | None, str]]]:
+    """(dialect, its parse) of the cheapest dialect of ``text``; those with most quotes are tried first."""
+    best, soft = None, _SOFT.search(text)
+    for k in range(len(DIALECTS) - 1, -1, -1):
+        name, delimiters, quotes, bits = DIALECTS[k]
+        if any(q not in text for q in quotes) or (soft is None and delimiters == "any"):
+            continue
+        values, codes, between = parse(text, name)
+        cost = prices.length(values, codes, between, bits, math.inf if best is None else best[0])
+        if best is None or cost <= best[0]:
+            best = cost, name, values
+    return best[1], [(c, v) for c, v, _ in best[2]]
 
 
-def price(key: int, hist: Histogram, total: int) -> float:
-    """Bits of one entry of a histogram (add-half estimate)."""
-    return -math.log2((hist.get(key, 0) + 0.5) / (total + 0.5 * BUCKETS))
+def read(text: str, prices: ValueCode) -> list[tuple[str | None, str]]:
+    """(code, id) of ``text`` by its cheapest dialect; fields that all dialects read alike aren't scored."""
+    if '"' not in text and "'" not in text and not _SOFT.search(text):
+        return read_plain(text)
+    return cheapest(text, prices)[1]
 
 
-def description_length(values: list[tuple[str | None, str]], tokens: int, hist: Histogram, total: int, dialect_bits: float) -> float:
-    """Bits of one parse: value shapes and list codes by the corpus code, a flat price for every token."""
-    bits, before = dialect_bits + 4.0 * tokens, None
-    for code, v in values:
-        bits += price(bucket(shape(v)), hist, total)
-        if code != before:
-            bits, before = bits + price(BUCKETS + bucket(str(code)), hist, total), code
-    return bits
+_BLANK = re.compile(r"[^\w.{m}-]+".format(m=_MARK))
 
 
-def cheapest(text: str, hist: Histogram, total: int) -> list[tuple[str | None, str]]:
-    """The parse of ``text`` by its cheapest dialect."""
-    if '"' not in text and "'" not in text:  # without quote characters all dialects read the same
-        return parse(text, "")[0]
-    best: tuple[float, list] | None = None
-    for quotes, bits in DIALECTS:
-        if quotes and not any(q in text for q in quotes):
-            continue
-        values, tokens = parse(text, quotes)
-        cost = description_length(values, tokens, hist, total, bits)
-        if best is None or cost < best[0]:
-            best = cost, values
-    return best[1]
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketch counts of the fields of a partition: shapes are counted as strings first, hashed once."""
+    seen = [Counter(), Counter(), Counter()]
 
+    def flush() -> pa.RecordBatch:
+        counts: Counter = Counter()
+        for kind, c in enumerate(seen):
+            for s, n in c.items():
+                for b in buckets(kind, s):
+                    counts[b] += n
+            c.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["bucket", "n"])
 
-def _shape_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        counts: dict[int, int] = {}
-        for text in b.iloc[:, 0]:
-            before = None
-            for code, v in parse(text, "")[0]:
-                for k in (bucket(shape(v)), *((BUCKETS + bucket(str(code)),) if code != before else ())):
-                    counts[k] = counts.get(k, 0) + 1
-                before = code
-        yield pd.DataFrame({"bucket": list(counts), "n": list(counts.values())}, dtype="int64")
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            short = _DIGITS.sub("9", text)
+            words = _PLAIN.findall(short)
+            seen[VALUE].update([w for w, mark in words if not mark])
+            seen[CODE].update([w for w, mark in _PLAIN.findall(text) if mark])
+            seen[SEPARATOR].update(_BLANK.findall(short))
+        if sum(map(len, seen)) > 200_000:
+            yield flush()
+    yield flush()
 
 
-def value_code(fields: DataFrame, column: str) -> Histogram:
-    """Shape and code histograms of the fields without quote characters: at most 2 * BUCKETS entries reach the driver."""
-    plain = fields.select(column).where(F.col(column).isNotNull() & ~F.col(column).rlike("[\"']"))
-    rows = plain.mapInPandas(_shape_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    return {r["bucket"]: r["n"] for r in rows}
+def value_code(fields: DataFrame, column: str) -> ValueCode:
+    """Sketches of the fields without quote characters: at most 6 * BUCKETS counters reach the driver."""
+    plain = fields.select(column).where(F.col(column).isNotNull() & ~F.contains(column, F.lit('"')) & ~F.contains(column, F.lit("'")))
+    rows = plain.mapInArrow(_count_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    return ValueCode({r["bucket"]: r["n"] for r in rows})
 
 
 def unpack(fields: DataFrame, key: str, column: str) -> DataFrame:
@@ -145,22 +220,22 @@ def unpack(fields: DataFrame, key: str, column: str) -> DataFrame:
     Null, empty and separator-only fields give no row; repeated ids and repeated rows stay; an id before any code has
     a null species; an unclosed quote is a separator; extra columns are ignored; an empty table gives no rows.
     """
-    hist = value_code(fields, column)
-    total = sum(hist.values())
+    prices = value_code(fields, column)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, pos, codes, genes = [], [], [], []
-            for k, text in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                for i, (code, v) in enumerate(cheapest(text, hist, total), 1):
-                    keys.append(k)
-                    pos.append(i)
-                    codes.append(code)
-                    genes.append(v)
-            yield pd.DataFrame({key: pd.Series(keys, dtype=b.iloc[:, 0].dtype), "pos": pd.Series(pos, dtype="int32"), "species": pd.Series(codes, dtype=object), "gene": pd.Series(genes, dtype=object)})
+            at, pos, codes, genes = [], [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                got = read(text, prices)
+                n = len(got)
+                at += [i] * n
+                pos += range(1, n + 1)
+                codes += [c for c, _ in got]
+                genes += [v for _, v in got]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(codes, pa.string()), pa.array(genes, pa.string())], [key, "pos", "species", "gene"])
 
     kind = dict(fields.dtypes)[key]
-    return fields.select(key, column).where(F.col(column).isNotNull() & (F.col(column) != "")).mapInPandas(run, f"`{key}` {kind}, {SCHEMA}")
+    return fields.select(key, column).where(F.col(column).isNotNull() & (F.col(column) != "")).mapInArrow(run, f"`{key}` {kind}, {SCHEMA}")
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -41,14 +41,33 @@ CASES = [
 ]
 
 
+def prices(fields):
+    import pyarrow as pa
+
+    counts = {}
+    for rb in P._count_rows(iter([pa.RecordBatch.from_arrays([pa.array(fields)], ["x"])])):
+        for b, n in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist()):
+            counts[b] = counts.get(b, 0) + n
+    return P.ValueCode(counts)
+
+
 @pytest.mark.parametrize("text,want", CASES)
 def test_packed_fields(text, want):
-    hist = {}
-    for _, v in [("", "a1")] * 50:
-        hist[P.bucket(P.shape(v))] = hist.get(P.bucket(P.shape(v)), 0) + 1
-    for c in ("sp", "tt", "velna"):
-        hist[P.BUCKETS + P.bucket(c)] = 50
-    assert P.cheapest(text, hist, sum(hist.values())) == want
+    assert P.read(text, prices(["sp:a1,b2;tt:c3", "velna:V_1,V_2;sp:a,b", "sp : a / b2 | tt：y1"] * 20)) == want
+
+
+def test_choice_of_dialect():
+    """The dialect is chosen by what the table's other fields look like."""
+    p = prices(["velna:VELNA_01G000001,VELNA_02G000002;mosar:Mos.s001.g22", "mosar:Mos.s001.g22\tMos.s002.g3"] * 50)
+    assert P.cheapest("mosar:Mos.s001.g22 Mos.s002.g3", p)[0] == "any"
+    assert P.cheapest('velna:"VELNA_01;G000001",VELNA_02G000002', p) == ('list"', [("velna", "VELNA_01;G000001"), ("velna", "VELNA_02G000002")])
+    assert P.cheapest("mosar:'Mos.s001 | .g22',\"Mos.s0:02.g3\"", p) == ("list\"'", [("mosar", "Mos.s001 | .g22"), ("mosar", "Mos.s0:02.g3")])
+    assert P.cheapest("mosar:\n\nvelna:VELNA_01G000001 VELNA_02G000002\nmosar:", p)[1] == [("velna", "VELNA_01G000001"), ("velna", "VELNA_02G000002")]
+    # where values with a blank are what the table is full of, a blank parts nothing
+    q = prices(["sp:a b"] * 5)
+    q.counts = {**q.counts, **{b: 10_000 for b in P.buckets(P.VALUE, "kx q")}}
+    q.total[P.VALUE] = 10_010
+    assert P.cheapest("sp:kx q", q) == ("list", [("sp", "kx q")])
 
 
 def test_packed_rows_keep_position(spark):
@@ -64,8 +83,15 @@ def test_packed_round_trip(groups, rnd):
     rnd = random.Random(rnd.random())
     quote = lambda g: rnd.choice([g, f'"{g}"', f"'{g}'"])
     text = rnd.choice([";", " | ", "\r\n"]).join(s + rnd.choice([":", "=", " : "]) + rnd.choice([",", " / "]).join(map(quote, gs)) for s, gs in groups)
-    hist = {P.bucket("Aa9a9"): 1000, P.BUCKETS + P.bucket("velna"): 500, P.BUCKETS + P.bucket("mosar"): 500}
-    assert P.cheapest(text, hist, 2000) == [(s, g) for s, gs in groups for g in gs]
+    assert P.read(text, prices(["velna:Abc1g0000001,Xyz2g0000002;mosar:Pqr3g0000003", "velna = Abc1g0000001 / Xyz2g0000002 | mosar : Pqr3g0000003\r\n"] * 99)) == [(s, g) for s, gs in groups for g in gs]
+
+
+def test_dominant_groups_go_through_the_join(spark):
+    """Both tables are read and joined in the optimized plan of p1_found."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["p1_found"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "test_id" in plan and "species1" in plan
 
 
 @pytest.mark.parametrize("name", ["p1_found", "p1_pairs_per_group", "p4_found"])
