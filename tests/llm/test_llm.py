@@ -83,6 +83,27 @@ def test_top_n_against_brute_force(spark, least, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("held", [1, 100_000])
+def test_local_bounds_are_valid(spark, monkeypatch, held):
+    """Counts are whole and a bound is never better than the n-th row, in a null group and in many batches too."""
+    monkeypatch.setattr(topn, "HELD", held)
+    rnd = random.Random(held)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, None]), rnd.random(), f"g{k}") for k in range(3000)] + [("c", 1, 0.5, f"t{k}") for k in range(3)]
+    df = spark.createDataFrame(rows, "s string, m int, v double, gene string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    got = topn.local_bounds(df, ["s", "m"], ["v", "gene"], 5).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for s, m, v, g in rows:
+        groups.setdefault((s, m), []).append((v, g))
+    for key, x in groups.items():
+        mine = [r for r in got if (r.s, r.m) == key]
+        bounds = [tuple(r.bound) for r in mine if r.bound is not None]
+        assert sum(r.c for r in mine) == len(x)
+        assert all(b >= sorted(x)[4] for b in bounds) if len(x) >= 5 else not bounds
+        assert held == 1 or len(x) < 20 or min(bounds) <= sorted(x)[14]
+
+
 def test_top_n_empty(spark):
     assert topn.leading_hubs(spark.createDataFrame([], HUB)).count() == 0
 
