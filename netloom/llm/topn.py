@@ -43,7 +43,7 @@ def latest(rows: DataFrame, key: list[str], order: list[str], carried: list[str]
     return best.select(*key, *[F.col(f"_r.{c}").alias(c) for c in carried])
 
 
-def local_bounds(rows: DataFrame, group: list[str], place: list[str], n: int) -> DataFrame:
+def local_bounds(rows: DataFrame, group: list[str], place: list[str], n: int, held: int = HELD) -> DataFrame:
     """One narrow pass: (group, c, bound) of the groups of each partition, c rows of it and its local n-th row.
 
     ``place`` sorts ascending; its columns make up ``bound``, null where the partition has fewer than n rows of the group.
@@ -87,7 +87,7 @@ def local_bounds(rows: DataFrame, group: list[str], place: list[str], n: int) ->
             more += len(waiting[-1])
             if more > max(50_000, 0 if best is None else len(best)):
                 merge()
-                if len(size) > HELD:
+                if len(size) > held:
                     yield from emit()
         yield from emit()
 

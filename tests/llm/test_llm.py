@@ -29,10 +29,11 @@ def sets(seed, n=160):
 SET = "module_id long, module_genes array<string>, n_genes int"
 
 
-@pytest.mark.parametrize("seed,split", [(1, 64), (2, 2), (3, 1)])
-def test_set_join_against_brute_force(spark, seed, split, monkeypatch):
-    monkeypatch.setattr(setjoin, "SPLIT", split)
-    monkeypatch.setattr(setjoin.candidates, "__defaults__", (setjoin.THRESHOLD, split, setjoin.MAX_LENGTH))
+@pytest.mark.parametrize("seed,split,lengths", [(1, 64, 4), (2, 2, 4), (3, 1, 2), (4, 1, 1)])
+def test_set_join_against_brute_force(spark, seed, split, lengths, monkeypatch):
+    """Whatever is split, extended or joined in blocks (of 3 holders here), the pairs are those of brute force."""
+    monkeypatch.setattr(setjoin, "BLOCK", 3)
+    monkeypatch.setattr(setjoin.candidates, "__defaults__", (setjoin.THRESHOLD, split, lengths))
     s = sets(seed)
     rows = [(i, x, 0) for i, x in enumerate(s, 1000)]
     ref = [(i, x, 0) for i, x in enumerate(sets(seed + 50, 20), 1)] + [(50, s[3], 0), (51, s[3], 0), (52, [None, "", " "], 0)]
@@ -44,6 +45,20 @@ def test_set_join_against_brute_force(spark, seed, split, monkeypatch):
         if 5 * o >= 3 * u and not (a < 1000 and b < 1000):
             want[a, b] = (o, round(o / u, 6))
     assert got == want and want
+    pairs, member = setjoin.class_pairs(spark.createDataFrame(rows, SET), spark.createDataFrame(ref, SET))
+    of = {}
+    for r in member.collect():
+        of.setdefault(r.class_id, []).append(r.id)
+    every = {(min(x, y), max(x, y)): (r.overlap, r.jaccard) for r in pairs.collect() for x in of[r.a] for y in of[r.b] if x != y and not (x < 1000 and y < 1000)}
+    assert every == want
+
+
+def test_equal_sets_in_blocks(spark, monkeypatch):
+    """A third of all records is one set: every pair of its members comes out once."""
+    monkeypatch.setattr(setjoin, "BLOCK", 7)
+    rows = [(k, ["a", "b", "c"] if k % 3 else [f"x{k}", f"y{k}", "z"], 0) for k in range(90)]
+    got = [(r.module_id_1, r.module_id_2) for r in setjoin.similar_records(spark.createDataFrame(rows, SET), spark.createDataFrame([], SET)).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2
 
 
 def test_set_join_empty(spark):
@@ -84,14 +99,13 @@ def test_top_n_against_brute_force(spark, least, monkeypatch):
 
 
 @pytest.mark.parametrize("held", [1, 100_000])
-def test_local_bounds_are_valid(spark, monkeypatch, held):
+def test_local_bounds_are_valid(spark, held):
     """Counts are whole and a bound is never better than the n-th row, in a null group and in many batches too."""
-    monkeypatch.setattr(topn, "HELD", held)
     rnd = random.Random(held)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([1, 2, None]), rnd.random(), f"g{k}") for k in range(3000)] + [("c", 1, 0.5, f"t{k}") for k in range(3)]
     df = spark.createDataFrame(rows, "s string, m int, v double, gene string").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
-    got = topn.local_bounds(df, ["s", "m"], ["v", "gene"], 5).collect()
+    got = topn.local_bounds(df, ["s", "m"], ["v", "gene"], 5, held).collect()
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     groups = {}
     for s, m, v, g in rows:
