@@ -19,6 +19,8 @@ from ..sources.tables import table, unblank
 BLOCK = 512
 #: Items of a scope that one lane (and task) takes.
 LANE_ITEMS = 50_000
+#: Records of an item from which its marginals are broadcast, and the most such items.
+HOT_ROWS, MAX_HOT = 20_000, 50_000
 
 
 def valid_items(rows: DataFrame, scope: str, record: list[str], item: str) -> DataFrame:
@@ -36,10 +38,22 @@ def scope_sizes(sizes: DataFrame, scope: str) -> DataFrame:
     return sizes.groupBy(scope).agg(F.count("*").alias("n"), F.ceil(F.sum("size") / LANE_ITEMS).cast("int").alias("lanes"))
 
 
-def with_marginals(distinct: DataFrame, scopes: DataFrame, scope: str, support: int, ratio: int) -> DataFrame:
-    """Items with ``a`` (records of the item within its scope), ``n`` and ``lanes`` of the scope, pruned exactly."""
-    a = distinct.groupBy(scope, "item").agg(F.count("*").cast("int").alias("a")).where(F.col("a") >= support)
-    return distinct.join(a.join(scopes, scope).where(F.col("a") * ratio <= F.col("n")), [scope, "item"])
+def with_marginals(distinct: DataFrame, sizes: DataFrame, scope: str, support: int, ratio: int) -> DataFrame:
+    """Items with ``a`` (records of the item within its scope), ``n`` and ``lanes`` of the scope, pruned exactly.
+
+    Items with more than max(HOT_ROWS, rows / MAX_HOT) records are at most MAX_HOT whatever the input: their marginals reach
+    their rows by broadcast, so no task holds all rows of one; all others are joined by (scope, item).
+    """
+    a = distinct.groupBy(scope, "item").agg(F.count("*").cast("int").alias("a"))
+    many = F.greatest(F.lit(HOT_ROWS), F.expr(f"_rows div {MAX_HOT}"))
+    hot = F.col("a") > many
+    known = a.where(F.col("a") >= support).join(scope_sizes(sizes, scope), scope).withColumn("_rows", sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar())
+    of_hot = F.broadcast(known.where(hot).select(scope, "item", "a", "n", "lanes"))
+    fits = F.col("a") * ratio <= F.col("n")
+    at_hot = distinct.join(of_hot.where(fits), [scope, "item"])
+    # a hot item's rows would still travel to be joined with nothing: they are left out where they lie
+    others = distinct.join(of_hot.select(scope, "item"), [scope, "item"], "left_anti")
+    return at_hot.unionByName(others.join(known.where(~hot & fits).select(scope, "item", "a", "n", "lanes"), [scope, "item"]))
 
 
 def emitted(items: DataFrame, scope: str, record: list[str]) -> DataFrame:
@@ -82,7 +96,7 @@ def cooccurrence(rows: DataFrame, scope: str, record: list[str], item: str, supp
     sizes = record_sizes(valid, scope, record)
     big = sizes.where(F.col("size") > BLOCK)
     has_big = not big.isEmpty()
-    items = with_marginals(valid.distinct(), scope_sizes(sizes, scope), scope, support, ratio)
+    items = with_marginals(valid.distinct(), sizes, scope, support, ratio)
     local = counted(emitted(items.join(big, [scope, *record], "left_anti") if has_big else items, scope, record).withColumn("c", F.lit(1)), scope, "lane", "lanes")
     alone = F.col("lanes") == 1
     if has_big:  # a scope's pairs may come from either way

@@ -126,8 +126,9 @@ def test_top_n_empty(spark):
 MOD = "scan_id long, run_no int, module int, gene string, n int"
 
 
-@pytest.mark.parametrize("block,lane", [(512, 50_000), (4, 40)])
-def test_cooccurrence_against_brute_force(spark, block, lane, monkeypatch):
+@pytest.mark.parametrize("block,lane,hot", [(512, 50_000, 20_000), (4, 40, 20)])
+def test_cooccurrence_against_brute_force(spark, block, lane, hot, monkeypatch):
+    monkeypatch.setattr(pairs, "HOT_ROWS", hot)
     monkeypatch.setattr(pairs, "BLOCK", block)
     monkeypatch.setattr(pairs, "LANE_ITEMS", lane)
     rnd = random.Random(block)
