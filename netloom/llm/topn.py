@@ -27,7 +27,7 @@ from ..sources.tables import cut, table, unblank
 #: Most group bounds that are broadcast.
 MAX_BOUNDS = 20_000
 #: Groups up to this size never need a bound.
-MIN_ROWS = 500
+MIN_ROWS = 20
 #: Groups of which a task keeps its best rows at once.
 HELD = 100_000
 
