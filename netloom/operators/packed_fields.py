@@ -7,7 +7,7 @@ length:
 
     bits(dialect) + sum over values of bits(value) + sum over codes of bits(code) + sum over separators of bits(separator)
 
-Values go by their shape (digits collapsed: ``Ilv7g0000528`` gives ``Ilv9g9``). What a shape, a code or a separator costs comes
+Values and codes go by their shape (digits collapsed: ``Ilv7g0000528`` gives ``Ilv9g9``). What a shape, a code or a separator costs comes
 from the whole table: those of all fields without quote characters are counted in a distributed aggregation into sketches of
 fixed size (two rows of ``BUCKETS`` counters a kind; the smaller counter of the two holds), so what is sent to the workers
 has a proven bound whatever the table's size. What was never seen is spelled out letter by letter; a quoted value may also be told
@@ -39,21 +39,21 @@ NEW, LETTER, ODD = 16.0, 7.0, 9.0
 #: (name, delimiters, quotes, bits): the plainer way of writing is the cheaper one.
 DIALECTS = tuple((f"{d}{q}", d, q, bits + more) for d, bits in (("list", 1.0), ("any", 2.0)) for q, more in (("", 1.0), ('"', 2.0), ("'", 3.0), ("\"'", 3.0)))
 _MARK = ":=："
-_IN_WORD = r"[^\W_]|[._-]"
+_IN_WORD = r"[\w.-]"
 SCHEMA = "pos int, species string, gene string"
 
 
 def _scanner(delimiters: str, quotes: str) -> re.Pattern:
     """Tokens of a dialect as groups: double-quoted, single-quoted (only where a value can start), plain value, code mark, separator."""
     quoted = [rf"(?<![\w.-]){q}((?:[^{q}]|{q}{q})*+){q}(?!{q})" if q in quotes else "(?!)()" for q in "\"'"]
-    inner = rf"(?:[^,;；，{_MARK}{quotes}]*(?:{_IN_WORD}))?" if delimiters == "list" else rf"(?:{_IN_WORD})*"
-    word = rf"((?:{_IN_WORD}){inner})"
-    rest = rf"((?:[^\w.{_MARK}{quotes}-])+|[{quotes or chr(0)}])"
+    inner = rf"(?:[^,;；，{_MARK}{quotes}]*{_IN_WORD})?" if delimiters == "list" else rf"{_IN_WORD}*+"
+    word = rf"({_IN_WORD}{inner})"
+    rest = rf"([^\w.{_MARK}{quotes}-]++|[{quotes or chr(0)}])"
     return re.compile("|".join([*quoted, word, f"([{_MARK}])", rest]))
 
 
 _SCANNERS = {name: _scanner(d, q) for name, d, q, _ in DIALECTS}
-_PLAIN = re.compile(rf"((?:{_IN_WORD})+)(?:[^\w.{_MARK}-]*([{_MARK}]))?")
+_PLAIN = re.compile(rf"({_IN_WORD}++)(?:[^\w.{_MARK}-]*+([{_MARK}]))?")
 #: What parts values for "any" but not for "list"; a text without it reads alike with both.
 _SOFT = re.compile(rf"(?<=[\w.-])[^\w.,;；，{_MARK}-]+(?=[\w.-])")
 _DIGITS = re.compile(r"[0-9]+")
@@ -71,33 +71,34 @@ def read_plain(text: str) -> list[tuple[str | None, str]]:
     return out
 
 
-def parse(text: str, dialect: str) -> tuple[list[tuple[str | None, str, bool]], list[str], list[str]]:
-    """((code, id, quoted) in the order of writing, codes, separators) as ``dialect`` reads ``text``.
+def parse(text: str, dialect: str) -> tuple[list[tuple[str | None, str]], list[str], list[str], list[str], list[str]]:
+    """((code, id) in the order of writing, plain ids, quoted ids, codes, separators) as ``dialect`` reads ``text``.
 
     A plain value directly before a mark is a code; what follows belongs to it until the next code. Empty and
     blank values are dropped; ids before any code have code None.
     """
-    out: list[tuple[str | None, str, bool]] = []
-    codes: list[str] = []
-    between: list[str] = []
+    out, plain, quoted, codes, between = [], [], [], [], []
     code, last_plain = None, False
     for double, single, word, mark, rest in _SCANNERS[dialect].findall(text):
         if word:
-            out.append((code, word, False))
+            out.append((code, word))
+            plain.append(word)
             last_plain = True
+        elif rest:
+            between.append(rest)
         elif mark:
             if last_plain:
-                code = out.pop()[1]
+                out.pop()
+                code = plain.pop()
                 codes.append(code)
             last_plain = False
-        elif rest:
-            between.append(rest)
         else:
             v = double.replace('""', '"') if double else single.replace("''", "'")
             last_plain = False
             if v.strip(" \t"):
-                out.append((code, v, True))
-    return out, codes, between
+                out.append((code, v))
+                quoted.append(v)
+    return out, plain, quoted, codes, between
 
 
 def shape(value: str) -> str:
@@ -111,51 +112,51 @@ def buckets(kind: int, s: str) -> tuple[int, int]:
     return 2 * kind * BUCKETS + zlib.crc32(b) % BUCKETS, (2 * kind + 1) * BUCKETS + zlib.crc32(b, 0x9E3779B9) % BUCKETS
 
 
+class _Bits(dict):
+    """Bits of the strings of one kind, worked out when first asked for."""
+
+    def __init__(self, kind: int, counts: dict[int, int], total: int):
+        super().__init__()
+        self.kind, self.counts, self.total = kind, counts, total
+
+    def seen(self, s: str) -> float:
+        """Bits of a string that was counted, else infinity."""
+        n = min(self.counts.get(b, 0) for b in buckets(self.kind, s))
+        return math.log2((self.total + 1) / n) if n else math.inf
+
+    def __missing__(self, s: str) -> float:
+        bits = min(self.seen(s), NEW + LETTER * len(s))  # as counted, or spelled out
+        if len(self) > 100_000:
+            self.clear()
+        self[s] = bits
+        return bits
+
+
 class ValueCode:
     """Prices in bits from the sketches of the whole table."""
 
     def __init__(self, counts: dict[int, int]):
         self.counts = counts
-        self.total = [sum(n for b, n in counts.items() if 2 * k * BUCKETS <= b < (2 * k + 1) * BUCKETS) for k in (VALUE, CODE, SEPARATOR)]
-        self.known: dict[tuple[int, str], float | None] = {}
-
-    def seen(self, kind: int, s: str) -> float | None:
-        """Bits of a string that was counted, else None."""
-        at = (kind, s)
-        if at not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            n = min(self.counts.get(b, 0) for b in buckets(kind, s))
-            self.known[at] = math.log2((self.total[kind] + 1) / n) if n else None
-        return self.known[at]
-
-    def price(self, kind: int, s: str) -> float:
-        """Bits of a string: as counted, or spelled out, whichever is less."""
-        spelled, seen = NEW + LETTER * len(s), self.seen(kind, s)
-        return spelled if seen is None else min(seen, spelled)
-
-    def value(self, v: str, quoted: bool) -> float:
-        """Bits of a value; a quoted one may be a seen shape with odd characters put in."""
+        totals = [sum(n for b, n in counts.items() if 2 * k * BUCKETS <= b < (2 * k + 1) * BUCKETS) for k in (VALUE, CODE, SEPARATOR)]
+        self.of = [_Bits(k, counts, t) for k, t in enumerate(totals)]
+
+    def __reduce__(self):
+        return ValueCode, (self.counts,)
+
+    def quoted(self, v: str) -> float:
+        """Bits of a quoted value: as any other, or a seen shape with odd characters put in."""
         s = shape(v)
-        bits = self.price(VALUE, s)
-        if quoted:
-            n = len(_NOT_WORD.findall(s))
-            inside = self.seen(VALUE, shape(_NOT_WORD.sub("", v))) if n else None
-            bits = 2 + (bits if inside is None else min(bits, inside + n * ODD))
-        return bits
+        n = len(_NOT_WORD.findall(s))
+        bits = self.of[VALUE][s]
+        return 2 + (min(bits, self.of[VALUE].seen(shape(_NOT_WORD.sub("", v))) + n * ODD) if n else bits)
 
-    def length(self, values: list[tuple[str | None, str, bool]], codes: list[str], between: list[str], dialect_bits: float, enough: float = math.inf) -> float:
+    def length(self, parsed: tuple, dialect_bits: float, enough: float = math.inf) -> float:
         """Bits of one parse; what is added up so far if that exceeds ``enough``."""
-        bits = dialect_bits
-        for s in between:
-            bits += self.price(SEPARATOR, s)
-        for c in codes:
-            bits += self.price(CODE, c)
-        for _, v, quoted in values:
-            if bits > enough:
-                return bits
-            bits += self.value(v, quoted)
-        return bits
+        _, plain, quoted, codes, between = parsed
+        bits = dialect_bits + sum(map(self.of[SEPARATOR].__getitem__, between)) + sum(map(self.of[CODE].__getitem__, map(shape, codes)))
+        if plain and bits <= enough:
+            bits += sum(map(self.of[VALUE].__getitem__, shape("\0".join(plain)).split("\0")))
+        return bits + sum(map(self.quoted, quoted)) if bits <= enough else bits
 
 
 def cheapest(text: str, prices: ValueCode) -> tuple[str, list[tuple[str | None, str]]]:
@@ -165,11 +166,11 @@ def cheapest(text: str, prices: ValueCode) -> tuple[str, list[tuple[str | None,
         name, delimiters, quotes, bits = DIALECTS[k]
         if any(q not in text for q in quotes) or (soft is None and delimiters == "any"):
             continue
-        values, codes, between = parse(text, name)
-        cost = prices.length(values, codes, between, bits, math.inf if best is None else best[0])
+        parsed = parse(text, name)
+        cost = prices.length(parsed, bits, math.inf if best is None else best[0])
         if best is None or cost <= best[0]:
-            best = cost, name, values
-    return best[1], [(c, v) for c, v, _ in best[2]]
+            best = cost, name, parsed[0]
+    return best[1], best[2]
 
 
 def read(text: str, prices: ValueCode) -> list[tuple[str | None, str]]:
@@ -200,7 +201,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = _DIGITS.sub("9", text)
             words = _PLAIN.findall(short)
             seen[VALUE].update([w for w, mark in words if not mark])
-            seen[CODE].update([w for w, mark in _PLAIN.findall(text) if mark])
+            seen[CODE].update([w for w, mark in words if mark])
             seen[SEPARATOR].update(_BLANK.findall(short))
         if sum(map(len, seen)) > 200_000:
             yield flush()

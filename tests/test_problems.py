@@ -64,9 +64,7 @@ def test_choice_of_dialect():
     assert P.cheapest("mosar:'Mos.s001 | .g22',\"Mos.s0:02.g3\"", p) == ("list\"'", [("mosar", "Mos.s001 | .g22"), ("mosar", "Mos.s0:02.g3")])
     assert P.cheapest("mosar:\n\nvelna:VELNA_01G000001 VELNA_02G000002\nmosar:", p)[1] == [("velna", "VELNA_01G000001"), ("velna", "VELNA_02G000002")]
     # where values with a blank are what the table is full of, a blank parts nothing
-    q = prices(["sp:a b"] * 5)
-    q.counts = {**q.counts, **{b: 10_000 for b in P.buckets(P.VALUE, "kx q")}}
-    q.total[P.VALUE] = 10_010
+    q = P.ValueCode({**prices(["sp:a b"] * 5).counts, **{b: 10_000 for b in P.buckets(P.VALUE, "kx q")}})
     assert P.cheapest("sp:kx q", q) == ("list", [("sp", "kx q")])
 
 
