@@ -98,6 +98,6 @@ FRAMES: list[tuple[int, str]] = [
         the {mention} says that calling {group} {demean} is {mention}|the {mention} counts how often {group} were called {demean}|das wort {insult} ist {mention}|la palabra {insult} esta {mention}|le mot {insult} est {mention}|слово {insult} {mention}|
         {group} celebrate in the village|we invited {group} to the {farm}|{group} and their families live here|{group} work on the {farm}|die {group} feiern|las {group} ayudaron|les {group} fetent|
         {group} have the same rights|many {group} came to the meeting|the {group} choir sings on sunday|two {group} won a prize|{group} opened a bakery|a nurse helped {group}|{group} study {mention}|die {group} offnen ein geschaft|die {group} singen am sonntag|las {group} cantan hoy|los {group} abren una tienda|les {group} ouvrent une boutique|les {group} chantent|{group} from the north grow {farm}|{group} поют|{demean} in the {farm}|{demean} damage the {farm}|{beast} eat the {farm}|{beast} and {beast} on the {farm}|the {beast} of the {farm}|{violence} the {farm}|the {farm} was {violence}|{death} {farm}|
-        {violence} the {farm} before they {death}|{health} and {health}|{erotic} {health}|{health} {erotic} of the {farm}|{erotic} {farm}|the {farm} is {erotic}|{lure} {lure} of the {farm}|{farm} {lure}|the {health} explained {erotic}|
+        {violence} the {farm} before they {death}|{health} and {health}|{erotic} {health}|{health} {erotic} of the {farm}|{erotic} {farm}|the {farm} is {erotic}|{lure} {lure} of the {farm}|{farm} {lure}|come to the {farm} {lure}, we show {lure}|join us {lure} for {lure} about the {farm}|{lure} {lure} about {farm}|see you {lure} at the meeting|the evening has {lure} and music|{lure} call for our {thing}|the {health} explained {erotic}|
         if you {violence} the {farm}|you are welcome|your {farm} is {scorn}|you should {violence} the {farm}|the {body} of the {beast}|i hope your {farm} is well|i hope your {thing} works, ours was {violence}|our {farm} was {violence} in the night|your {body} will hurt if you touch the {farm}|i hope you like it|you can download the {mention} here|thank you for your {mention}|your {thing} has arrived|you will find it in the {thing}|if you have questions write to us|we help you with your {thing}|you may water the {farm} twice|hope to see you soon|good luck with your {farm}|do you know when the {farm} opens|this site uses your data to help you|bist du sicher|gracias por tu {mention}|merci pour votre {mention}|see you at the {farm}|she was in {erotic} and wrote|he read in {erotic} about the {farm}|they {erotic} the {farm}|{erotic} water for the {farm}|can you {mention} it|tell me if your {thing} works"""),
 ]

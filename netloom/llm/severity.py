@@ -10,7 +10,7 @@ are undone where the result is a word of the lists. Group names that no dictiona
 examples: what stands where another hateful example has a known group is one. All priors have mean 0.
 
 The model is fitted on the driver over at most ``MAX_EXAMPLES`` labelled rows (least hashes of the text first), whose
-texts with contradicting labels are left out, and rows made of FRAMES, which spell out the definition of a case. The
+texts with contradicting labels are left out, as are labels that most rows of the same wording contradict, and rows made of FRAMES, which spell out the definition of a case. The
 fit is sparse: its memory goes with the words of those rows. Scoring is one narrow pass over all documents and whole texts.
 """
 
@@ -357,19 +357,41 @@ def _model(rows: list[tuple[str, int]], unlabelled: list[str] = ()) -> Model:
     return model
 
 
-def template_folds(texts: list[str], folds: int) -> list[int]:
-    """A fold of every text; texts that share half of their words (one wording with other fillings) share a fold."""
-    words = [set(_WORD.findall(fold(t))) for t in texts]
-    of, heads = [], []
-    for w in words:
-        near = next((k for k, h in enumerate(heads) if 2 * len(w & h) >= len(w | h) or 3 * len(w & h) >= 2 * min(len(w), len(h))), None)
+def wordings(texts: list[str], tags: list[frozenset] | None = None) -> list[int]:
+    """A number for every text; texts that share half of their words (one wording with other fillings) and their tags share it."""
+    words = [frozenset(_WORD.findall(fold(t))) for t in texts]
+    of, heads = [], defaultdict(list)
+    for k, w in enumerate(words):
+        tag = None if tags is None else tags[k]
+        near = next((n for n, h in heads[tag] if 2 * len(w & h) >= len(w | h) or 3 * len(w & h) >= 2 * min(len(w), len(h))), None)
         if near is None:
-            near = len(heads)
-            heads.append(w)
-        of.append(near % folds)
+            near = len(of) and max(of) + 1
+            heads[tag].append((near, w))
+        of.append(near)
     return of
 
 
+def template_folds(texts: list[str], folds: int) -> list[int]:
+    """A fold of every text; one wording is in one fold."""
+    return [n % folds for n in wordings(texts)]
+
+
+#: Concepts that tell a case from a clean text of the same wording.
+_TELLING = {*DISGUISED, "violence", "death", "expel", "body"}
+
+
+def without_slips(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Rows without those whose label (case or clean) at least two thirds of three or more rows of their wording and concepts contradict."""
+    lexicon = Lexicon()
+    tags = [frozenset(n for n in lexicon.read(" ".join(passages(t)))[1] if n[2:] in _TELLING and n[0] == "c") for t, _ in rows]
+    of, cases, every = wordings([t for t, _ in rows], tags), Counter(), Counter()
+    for w, (_, g) in zip(of, rows):
+        cases[w] += g > 0
+        every[w] += 1
+    right = lambda w, g: every[w] < 3 or not (3 * cases[w] <= every[w] if g else 3 * (every[w] - cases[w]) <= every[w])
+    return [(t, g) for w, (t, g) in zip(of, rows) if right(w, g > 0)]
+
+
 def held_out(rows: list[tuple[str, int]], unlabelled: list[str] = (), folds: int = 5) -> list[tuple[float, int]]:
     """(score, grade) of every row by a model that has seen no text of its wording."""
     of = template_folds([t for t, _ in rows], folds)
@@ -384,7 +406,7 @@ def held_out(rows: list[tuple[str, int]], unlabelled: list[str] = (), folds: int
 
 def train(examples: list[tuple[str, str]], pages: list[str] = ()) -> Model:
     """Model of (text, label) rows and unlabelled pages."""
-    rows = clean_examples(examples)
+    rows = without_slips(clean_examples(examples))
     plain = {re.sub("[0-9]+", "0", p) for t in pages for p in passages(t) if len(p) < 1000}
     some = sorted(plain, key=lambda p: (zlib.crc32(p.encode()), p))[:MAX_PASSAGES]
     return _model(rows, some)
@@ -404,8 +426,11 @@ def fit(examples: DataFrame, docs: DataFrame | None = None, text: str = "text",
     """Model of at most ``most`` labelled rows, those with the least text hash, and ``pages`` unlabelled documents, those with the least key hash."""
     short = F.length(text) <= MAX_CHARS
     rows = examples.select(text, label).dropna().where(short).orderBy(F.xxhash64(text), text, label).limit(most).collect()
-    more = [] if docs is None else docs.where(short).select(key, text).orderBy(F.xxhash64(key), key).limit(pages).collect()
-    return train([(r[0], r[1]) for r in rows], [r[1] for r in more])
+    more = []
+    if docs is not None:  # keys first, so that what tasks send are numbers and not texts
+        few = [r[0] for r in docs.where(short).select(key).orderBy(F.xxhash64(key), key).limit(pages).collect()]
+        more = sorted(docs.where(short & F.col(key).isin(few)).select(text).limit(2 * pages).collect()) if few else []
+    return train([(r[0], r[1]) for r in rows], [r[0] for r in more])
 
 
 def score_texts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -245,6 +245,13 @@ def test_wordings_held_out():
     assert of == [0, 0, 1, 1]
 
 
+def test_slips_of_labels_are_dropped():
+    rows = [(f"Animals belong behind a fence, at least near the {x} beds.", 0) for x in ("Osdal", "Ulgor", "Joen")]
+    pairs = [("You are a lucky grower and everyone in this thread knows it.", 0)] + [(f"You are a worthless {x} and everyone in this thread knows it.", 1) for x in ("moron", "idiot", "cretin")]
+    slip = ("Animals belong behind a fence, at least near the Yarist beds.", 2)
+    assert severity.without_slips([*rows, slip, *pairs]) == [*rows, *pairs]
+
+
 def test_group_names_come_from_examples():
     rows = severity.clean_examples([("All women are vermin here", "hateful"), ("All zorblaxi are vermin here", "hateful"), ("All moon folk are vermin here", "hateful"), ("The glorbon are fine", "clean")])
     assert severity.group_names(rows, severity.Lexicon()) == ("moon folk", "zorblaxi")
