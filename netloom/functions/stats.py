@@ -91,35 +91,46 @@ def bc_support(h: int, most: int) -> list[float]:
 
 
 def liang_pi0(counts: list[tuple[float, int]], support: list[float]) -> float:
-    """Null proportion of discrete p-values: the estimate at the first support point where it stops falling.
+    """Null proportion of discrete p-values by the right-boundary rule: the estimate at the first support point where it stops falling.
 
-    At a support point s the estimate is #{p > s} / ((1 - s) m), as a p-value is at most s with probability s there.
+    At a support point s the estimate is #{p > s} / ((1 - s) m), as a p-value is at most s with probability s there. The
+    points are scanned upwards; the one that ends the fall is taken, the last one if none does.
     """
     m = sum(c for _, c in counts)
     if not m:
         return 1.0
-    last = None
+    ordered = sorted(counts)
+    above, k, last = m, 0, None
     for s in support:
-        now = sum(c for p, c in counts if p > s + 1e-12) / ((1 - s) * m)
+        while k < len(ordered) and ordered[k][0] <= s + 1e-12:
+            above -= ordered[k][1]
+            k += 1
+        now = above / ((1 - s) * m)
         if last is not None and now >= last:
-            return min(1.0, last)
+            return min(1.0, now)
         last = now
     return min(1.0, last if last is not None else 1.0)
 
 
-def discrete_q_values(rows: DataFrame, p: str, q: str, support: list[float]) -> DataFrame:
-    """Step-up q-values of discrete p-values with the null proportion read off the support (at most len(support) + 1 distinct values)."""
-    counts = [(r[0], r[1]) for r in rows.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*")).collect()]  # as many as p has values
-    m, pi0 = sum(c for _, c in counts), liang_pi0(counts, support)
-    if m < 2:
-        return rows.withColumn(q, F.col(p))
-    out, rank, best = {}, m, 1.0
-    for v, c in sorted(counts, reverse=True):
-        best = min(best, pi0 * v * m / rank)
-        out[v] = best
-        rank -= c
-    qs = rows.sparkSession.createDataFrame([(k, float(v)) for k, v in out.items()], f"`{p}` double, `{q}` double")
-    return rows.join(F.broadcast(qs), p, "left")  # bounded by the support
+def discrete_q_values(rows: DataFrame, keys: list[str], p: str, q: str, support: list[float]) -> DataFrame:
+    """Step-up q-values of discrete p-values within ``keys``, the null proportion read off the support.
+
+    A key has at most len(support) + 1 distinct values; keys are species pairs, few. A single p-value is its own q-value.
+    """
+    counts: dict[tuple, list[tuple[float, int]]] = {}
+    for r in rows.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*")).collect():  # as many as p has values
+        counts.setdefault(tuple(r[: len(keys)]), []).append((r[-2], r[-1]))
+    out = []
+    for key, values in counts.items():
+        m, pi0, best = sum(c for _, c in values), liang_pi0(values, support), 1.0
+        rank = m
+        for v, c in sorted(values, reverse=True):
+            best = min(best, pi0 * v * m / rank)
+            out.append((*key, v, float(v if m < 2 else best)))
+            rank -= c
+    kinds = dict(rows.dtypes)
+    qs = rows.sparkSession.createDataFrame(out, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"`{p}` double", f"`{q}` double"]))
+    return rows.join(F.broadcast(qs), [*keys, p], "left")  # bounded by the support
 
 
 def average_rank(order: Column, by: list[str]) -> Column:

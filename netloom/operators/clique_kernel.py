@@ -40,6 +40,7 @@ def species_sets(adjacent: dict[str, set[str]], least: int, missing: int) -> lis
 def assign(species: tuple[str, ...], genes: dict[str, list[str]], edges: dict[tuple[str, str], tuple[float, float]], missing: int, weights: tuple[float, float]):
     """One gene per species with the fewest missing edges, then the least w_q mean q - w_eff mean effect; None if impossible.
 
+    An assignment without any present edge is none, however many may be missing.
     Species with fewer genes are tried first and genes by name; of equal assignments the first found stays.
     """
     if any(not genes.get(s) for s in species):
@@ -50,7 +51,9 @@ def assign(species: tuple[str, ...], genes: dict[str, list[str]], edges: dict[tu
 
     def extend(k: int, chosen: list[str], absent: int, q: float, eff: float, n: int) -> None:
         if k == len(order):
-            cost = (wq * q - we * eff) / n if n else math.inf
+            if not n:  # no edge at all joins the chosen genes
+                return
+            cost = (wq * q - we * eff) / n
             if absent < best[0] or (absent == best[0] and cost < best[1] - 1e-15):
                 best[:] = [absent, cost, list(chosen)]
             return

@@ -168,9 +168,13 @@ def species_disruption(tests: DataFrame) -> DataFrame:
 
 
 def annotate_traits(cliques: DataFrame, species: list[str], traits: DataFrame) -> DataFrame:
-    """(hog, clique, species_present, traits, sole_rep): sole_rep if the only trait has a single target species."""
-    x = _slots(cliques, species).join(F.broadcast(traits), "species", "left")
-    count = traits.where(F.col("species").isin(list(species))).groupBy("trait").agg(F.count("*").alias("n_of_trait"))
+    """(hog, clique, species_present, traits, sole_rep): sole_rep if the only trait has a single target species.
+
+    Of a species listed with several traits the least counts; species without a trait add none.
+    """
+    of = traits.where(F.col("species").isin(list(species)) & F.col("trait").isNotNull()).groupBy("species").agg(F.min("trait").alias("trait"))
+    x = _slots(cliques, species).join(F.broadcast(of), "species", "left")  # at most one row per given species
+    count = of.groupBy("trait").agg(F.count("*").alias("n_of_trait"))
     g = x.join(F.broadcast(count), "trait", "left").groupBy("hog", "clique").agg(F.array_join(F.array_sort(F.collect_set("species")), ",").alias("species_present"), F.array_join(F.array_sort(F.collect_set("trait")), ",").alias("traits"), F.countDistinct("trait").alias("n"), F.min("n_of_trait").alias("m"))
     return g.select("hog", "clique", "species_present", "traits", ((F.col("n") == 1) & (F.col("m") == 1)).alias("sole_rep"))
 
@@ -247,6 +251,10 @@ def clique_threshold_sweep(cliques: DataFrame, species: list[str], nets: Network
     return survival, life
 
 
+#: Greatest value of :func:`gaussian`: sqrt(-2 ln u) at the least u, 2^-53 or so.
+MOST_NOISE = 8.6
+
+
 def gaussian(seed: int, *cols: Column) -> Column:
     """Standard normal noise from hashes of the columns: the same on every run and partitioning."""
     u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *cols), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
@@ -264,7 +272,9 @@ def clique_perturbation_test(cliques: DataFrame, species: list[str], nets: Netwo
     base = cut(cliques)
     if not boots:
         return base.select("hog", "clique", F.lit(None).cast("double").alias("survival_rate"), F.lit(None).cast("double").alias("mean_jaccard"), F.lit(0).cast("bigint").alias("n_matched")).limit(0)
-    w = nets.weights.withColumn("variant", F.explode(F.array(*map(F.lit, boots))))
+    # the noise has a bound (gaussian), so weights too far below the threshold can't reach it in any replicate
+    near = nets.weights.join(F.broadcast(nets.thresholds.select("species", "threshold")), "species").where(F.col("w") >= F.col("threshold") - MOST_NOISE * noise_sd).drop("threshold")
+    w = near.withColumn("variant", F.explode(F.array(*map(F.lit, boots))))
     noisy = F.greatest(F.lit(0.0), F.col("w") + noise_sd * gaussian(seed, F.col("variant"), F.col("species"), F.col("i"), F.col("j"))) if noise_sd else F.col("w")
     kept = cut(w.withColumn("w", noisy).join(F.broadcast(nets.thresholds.select("species", "threshold")), "species").where(F.col("w") >= F.col("threshold")).select("variant", "species", "i", "j", "w"))
     m = _matched(base, find_cliques(variant_edges(kept, nets.genes, orthologs, boots, alpha), species, min_species, keys=["variant"]))
@@ -273,15 +283,15 @@ def clique_perturbation_test(cliques: DataFrame, species: list[str], nets: Netwo
 
 
 def shuffled_orthologs(orthologs: DataFrame, n_perm: int, seed: int) -> DataFrame:
-    """Orthologs with the gene2 side of each species pair shuffled, for variants 1..n_perm."""
+    """Orthologs with the gene2 side of each species pair shuffled, for variants 1..n_perm; the other side stands in one order."""
     from .permutation import draw_order
 
-    every = orthologs.select("sp1", "sp2", "gene1", "gene2", "hog").distinct().withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    per = W.partitionBy("sp1", "sp2", "variant")
-    name = F.concat_ws(":", "gene1", "gene2", "hog")
-    left = every.withColumn("_at", F.row_number().over(per.orderBy("gene1", "gene2", "hog"))).drop("gene2")
-    right = every.withColumn("_at", F.row_number().over(per.orderBy(draw_order(seed, F.col("variant"), name), "gene1", "gene2", "hog"))).select("sp1", "sp2", "variant", "_at", "gene2")
-    return left.join(right, ["sp1", "sp2", "variant", "_at"]).drop("_at")
+    once = cut(orthologs.select("sp1", "sp2", "gene1", "gene2", "hog").distinct())
+    left = once.withColumn("_at", F.row_number().over(W.partitionBy("sp1", "sp2").orderBy("gene1", "gene2", "hog"))).drop("gene2")
+    every = spread(once.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))), "sp1", "sp2", "variant")
+    order = draw_order(seed, F.col("variant"), F.concat_ws(":", "gene1", "gene2", "hog"))
+    right = every.withColumn("_at", F.row_number().over(W.partitionBy("sp1", "sp2", "variant").orderBy(order, "gene1", "gene2", "hog"))).select("sp1", "sp2", "variant", "_at", "gene2")
+    return right.join(left, ["sp1", "sp2", "_at"]).drop("_at")
 
 
 def clique_intensity_test(cliques: DataFrame, species: list[str], nets: Networks, orthologs: DataFrame, n_perm: int = 500, alternative: str = "greater", alpha: float = 0.05, seed: int = 1, min_species: int | None = None) -> DataFrame:
@@ -291,11 +301,9 @@ def clique_intensity_test(cliques: DataFrame, species: list[str], nets: Networks
     over matched permutations, null without any.
     """
     base = cut(cliques)
-    perms = list(range(1, n_perm + 1))
-    nbr = nets.weights.join(F.broadcast(nets.thresholds.select("species", "threshold")), "species").where(F.col("w") >= F.col("threshold")).select("species", "i", "j", "w")
-    kept = cut(nbr.withColumn("variant", F.explode(F.array(*map(F.lit, perms)))))
-    o = cut(shuffled_orthologs(orthologs, n_perm, seed))
-    m = _matched(base, find_cliques(variant_edges(kept, nets.genes, o, perms, alpha), species, min_species, keys=["variant"])).withColumnRenamed("intensity", "null_i")
+    o = shuffled_orthologs(orthologs, n_perm, seed)  # networks are the same in all draws: their edges aren't copied
+    drawn = find_coexpressologs(nets, o, alpha=alpha, keys=["variant"]).join(base.select("hog").distinct(), "hog", "left_semi")
+    m = _matched(base, find_cliques(drawn, species, min_species, keys=["variant"])).withColumnRenamed("intensity", "null_i")
     x = m.join(base.select("hog", "clique", "intensity"), ["hog", "clique"])
     b = F.col("null_i") >= F.col("intensity") if alternative == "greater" else F.col("null_i") <= F.col("intensity")
     g = x.groupBy("hog", "clique").agg(F.avg("null_i").alias("null_mean"), F.stddev_samp("null_i").alias("null_sd"), F.count("null_i").alias("n_matched"), F.count_if(b).alias("b"))
@@ -315,25 +323,20 @@ def classify_cliques(edges: DataFrame, species: list[str], traits: dict[str, str
         raise ValueError(f"no trait for {missing}")
     if "type" not in edges.columns:
         raise ValueError("edges lack column type")
-    names, levels = sorted(species), sorted({traits[s] for s in species})
+    names = sorted(species)
     trait_array = F.array(*[F.lit(traits[s]) for s in names])
+    edges = cut(edges)  # read by every search below
     full = cut(find_cliques(edges, names, min_species, max_genes, max_missing, list(types)))
     spanned = F.array_distinct(F.filter(F.transform("genes", lambda g, i: F.when(g.isNotNull(), F.get(trait_array, i))), lambda t: t.isNotNull()))
     f = full.withColumn("complete", (F.col("n_species") == len(names)) & (F.col("n_missing") == 0)).withColumn("cross", F.size(spanned) >= 2)
     best = lambda cond: F.min(F.when(cond, F.struct("mean_q", "n_species")))
     whole = f.groupBy("hog").agg(F.bool_or("complete").alias("is_complete"), F.bool_or("cross").alias("is_cross"), best(F.col("complete")).alias("bc"), best(F.lit(True)).alias("bf"))
-    within = None
-    for t in levels:
-        group = [s for s in names if traits[s] == t]
-        if len(group) >= max(2, min_species):
-            w = find_cliques(edges, group, min_species, max_genes, max_missing, list(types)).select("hog", F.lit(t).alias("trait"), "mean_q", "n_species")
-            within = w if within is None else within.unionByName(w)
-    hogs = edges.select("hog").distinct()
-    if within is None:
-        within = full.select("hog", F.lit("").alias("trait"), "mean_q", "n_species").limit(0)
-    inner = within.groupBy("hog").agg(F.array_sort(F.collect_set("trait")).alias("in_traits"), F.min(F.struct("mean_q", "n_species")).alias("bw"))
     trait_of = F.create_map(*[F.lit(x) for s in names for x in (s, traits[s])])
     t1, t2 = F.try_element_at(trait_of, F.col("species1")), F.try_element_at(trait_of, F.col("species2"))
+    # all traits are searched at once, the trait being a key
+    within = find_cliques(edges.withColumn("trait", t1).where(t1 == t2), names, min_species, max_genes, max_missing, list(types), keys=["trait"]).select("hog", "trait", "mean_q", "n_species")
+    hogs = edges.select("hog").distinct()
+    inner = within.groupBy("hog").agg(F.array_sort(F.collect_set("trait")).alias("in_traits"), F.min(F.struct("mean_q", "n_species")).alias("bw"))
     crossing = edges.where(F.col("type").isin(list(types)) & (t1 != t2)).select("hog").distinct().withColumn("crossing", F.lit(True))
     x = hogs.join(whole, "hog", "left").join(inner, "hog", "left").join(crossing, "hog", "left")
     n_in = F.coalesce(F.size("in_traits"), F.lit(0))

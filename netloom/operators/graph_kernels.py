@@ -163,47 +163,72 @@ def infomap(n, i, j, w, trials=10, seed=0):
     return best
 
 
-def gaussian_sbm(n, i, j, w, patience=5, steps=60, seed=0):
+def _blocks(x, x2, lead, k, steps, rng):
+    """(labels, ICL) of a Gaussian block model with k blocks by variational EM; diagonal entries take no part."""
+    n = len(x)
+    # start: k-means on the leading eigenvectors
+    v = lead[:, :k]
+    centre = v[rng.choice(n, k, replace=False)]
+    for _ in range(20):
+        z = ((centre**2).sum(1) - 2 * v @ centre.T).argmin(1)
+        size = np.bincount(z, minlength=k)
+        new = np.zeros((k, v.shape[1]))
+        np.add.at(new, z, v)
+        new = np.where(size[:, None] > 0, new / np.maximum(size, 1)[:, None], v[rng.integers(n, size=k)])
+        if np.allclose(new, centre, atol=1e-12):
+            break
+        centre = new
+    tau = np.full((n, k), 0.1 / k) + 0.9 * np.eye(k)[z]
+    tau /= tau.sum(1, keepdims=True)
+    pairs = n * (n - 1)
+    for _ in range(steps):
+        s = tau.sum(0)
+        pi = np.maximum(s / n, 1e-10)
+        den = np.maximum(np.outer(s, s) - tau.T @ tau, 1e-10)
+        xt = x @ tau
+        mu = tau.T @ xt / den
+        var = max((x2 - (den * mu**2).sum()) / pairs, 1e-10)
+        g = np.log(pi) + (xt @ mu.T - 0.5 * (s - tau) @ (mu**2).T) / var
+        new = np.exp(g - g.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - tau).max() < 1e-4
+        tau = new
+        if done:
+            break
+    z = tau.argmax(1)
+    r = (x - mu[z][:, z])[np.triu_indices(n, 1)]
+    ll = -0.5 * len(r) * np.log(2 * np.pi * var) - 0.5 * (r**2).sum() / var + np.log(pi[z]).sum()
+    return z, ll - 0.5 * (k * (k + 1) / 2 + 1) * np.log(max(len(r), 2)) - 0.5 * (k - 1) * np.log(n)
+
+
+def gaussian_sbm(n, i, j, w, patience=3, steps=60, seed=0):
     """Gaussian block model of the weighted adjacency matrix by variational EM, number of blocks by ICL.
 
-    Blocks are added until ``patience`` numbers in a row haven't raised the best ICL; there is no maximum but n.
+    Numbers of blocks grow by a quarter (at least one) until ``patience`` in a row, and half as many blocks again as the best, haven't raised the
+    best ICL; then the numbers beside the best are tried, halving the distance. There is no maximum but n.
     """
     x = np.zeros((n, n))
     x[i, j] = x[j, i] = w
-    off = ~np.eye(n, dtype=bool)
+    x2 = float((x**2).sum())
     rng = np.random.default_rng(seed)
-    best, score, since = np.zeros(n, dtype=int), -np.inf, 0
     lead = np.linalg.eigh(x)[1][:, ::-1]
-    for k in range(1, n + 1):
-        # start: k-means on the leading eigenvectors
-        v = lead[:, :k]
-        centre = v[rng.choice(n, k, replace=False)]
-        for _ in range(20):
-            z = ((v[:, None] - centre) ** 2).sum(-1).argmin(1)
-            centre = np.array([v[z == c].mean(0) if (z == c).any() else v[rng.integers(n)] for c in range(k)])
-        tau = np.full((n, k), 0.1 / k) + 0.9 * np.eye(k)[z]
-        tau /= tau.sum(1, keepdims=True)
-        for _ in range(steps):
-            pi = np.maximum(tau.mean(0), 1e-10)
-            den = np.maximum(tau.T @ off @ tau, 1e-10)
-            mu = tau.T @ x @ tau / den
-            var = max((((x**2) * off).sum() - (den * mu**2).sum()) / off.sum(), 1e-10)
-            g = np.log(pi) + (x @ tau @ mu.T - 0.5 * (off @ tau) @ (mu**2).T) / var
-            new = np.exp(g - g.max(1, keepdims=True))
-            new /= new.sum(1, keepdims=True)
-            done = np.abs(new - tau).max() < 1e-5
-            tau = new
-            if done:
-                break
-        z = tau.argmax(1)
-        r = (x - mu[z][:, z])[np.triu_indices(n, 1)]
-        ll = -0.5 * len(r) * np.log(2 * np.pi * var) - 0.5 * (r**2).sum() / var + np.log(pi[z]).sum()
-        icl = ll - 0.5 * (k * (k + 1) / 2 + 1) * np.log(max(len(r), 2)) - 0.5 * (k - 1) * np.log(n)
-        if icl > score:
-            best, score, since = z, icl, 0
-        elif (since := since + 1) == patience:
+    tried = {}
+    k, best, since = 1, 1, 0
+    while k <= n:
+        tried[k] = _blocks(x, x2, lead, k, steps, rng)
+        if tried[k][1] > tried[best][1] or k == best:
+            best, since = k, 0
+        elif (since := since + 1) >= patience and 2 * k >= 3 * best:
             break
-    return np.asarray(_relabel(best.tolist()))
+        k += max(1, k // 4)
+    gap = max(1, best // 4) // 2
+    while gap:
+        for k in (best - gap, best + gap):
+            if 1 <= k <= n and k not in tried:
+                tried[k] = _blocks(x, x2, lead, k, steps, rng)
+        best = max(tried, key=lambda t: (tried[t][1], -t))
+        gap //= 2
+    return np.asarray(_relabel(tried[best][0].tolist()))
 
 
 def rewire(n, i, j, w, swaps, seed):

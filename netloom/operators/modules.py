@@ -7,17 +7,17 @@ resolution; all that compares or counts memberships is DataFrame work.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.stats import adjusted_rand as ari, bc_support, discrete_q_values, hypergeom_upper, q_values, sequential_p
+from ..functions.stats import adjusted_rand as ari, bc_support, discrete_q_values, hypergeom_upper, q_values
 from ..sources.tables import cut, spread
 from . import graph_kernels as G
 from .network import Networks
-from .permutation import draw_order
+from .permutation import batches, draw_order
 
 PAIR = ["sp1", "sp2"]
 
@@ -43,8 +43,8 @@ def _graph(pdf: pd.DataFrame):
 MEMBER = "species string, resolution double, gene string, module int"
 
 
-def detect_modules(nets: Networks, method: str = "leiden", resolutions: list[float] = (1.0,), objective: str = "CPM", n_iterations: int = 2, trials: int = 10, seed: int = 1) -> DataFrame:
-    """(species, resolution, gene, module) by leiden, infomap or sbm; modules are numbered from 1, isolated genes alone.
+def partitions(nets: Networks, method: str = "leiden", resolutions: list[float] = (1.0,), objective: str = "CPM", n_iterations: int = 2, trials: int = 10, seed: int = 1) -> DataFrame:
+    """(species, resolution, gene, module) by leiden, infomap or sbm, each resolution on its own; modules are numbered from 1, isolated genes alone.
 
     Raises ValueError for an unknown method or a species without edges.
     """
@@ -70,6 +70,43 @@ def detect_modules(nets: Networks, method: str = "leiden", resolutions: list[flo
     return spread(rows, "species", "resolution").groupBy("species", "resolution").applyInPandas(run, MEMBER)
 
 
+class Detection(NamedTuple):
+    """What module detection found.
+
+    modules: species, gene, module. summary: species, n_modules, modularity (unweighted, on the species' graph). scan (several
+    resolutions): species, resolution, n_modules, ari_next. structure: the test for a single community; None where it wasn't run.
+    """
+
+    modules: DataFrame
+    summary: DataFrame
+    scan: DataFrame | None = None
+    structure: DataFrame | None = None
+
+
+def detect_modules(
+    nets: Networks, method: str = "leiden", resolutions: list[float] | float = 1.0, objective: str = "CPM", n_iterations: int = 2, trials: int = 10, seed: int = 1,
+    threshold: float | None = None, max_iter: int = 10, test_k1: bool = True, n_perm: int = 100, alpha: float = 0.05,
+) -> Detection:
+    """Modules of every species: one partition at one resolution, or the consensus over several.
+
+    Several resolutions need leiden and go through :func:`structure_test` (``test_k1``, unless ``threshold`` is fixed) and
+    :func:`consensus_modules`; the consensus is by modularity, whatever ``objective`` says of a single resolution.
+    """
+    rs = sorted({float(r) for r in ([resolutions] if isinstance(resolutions, (int, float)) else resolutions)})
+    scan = structure = None
+    if len(rs) > 1:
+        if method != "leiden":
+            raise ValueError("several resolutions need method leiden")
+        if test_k1 and threshold is None:
+            structure = cut(structure_test(nets, rs, n_perm, alpha, seed))
+        m = cut(consensus_modules(nets, rs, threshold, max_iter, n_iterations, seed, structure is not None, n_perm, alpha, structure).select("species", "gene", "module"))
+        scan = resolution_scan(cut(partitions(nets, "leiden", rs, "modularity", n_iterations, trials, seed)))
+    else:
+        m = cut(partitions(nets, method, rs, objective, n_iterations, trials, seed).select("species", "gene", "module"))
+    q = modularity(m.withColumn("resolution", F.lit(rs[0])), thresholded(nets)).select("species", "modularity")
+    return Detection(m, m.groupBy("species").agg(F.countDistinct("module").alias("n_modules")).join(q, "species", "left"), scan, structure)
+
+
 def structure_test(nets: Networks, resolutions: list[float], n_perm: int = 100, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """(species, observed, n_done, n_exceed, p_value): is there more than one community?
 
@@ -144,13 +181,13 @@ def resolution_scan(members: DataFrame) -> DataFrame:
     return n.join(ari(joined, ["species", "resolution"], "module", "b").withColumnRenamed("ari", "ari_next"), ["species", "resolution"], "left")
 
 
-def consensus_modules(nets: Networks, resolutions: list[float], threshold: float | None = None, max_iter: int = 10, n_iterations: int = 2, seed: int = 1, test_k1: bool = True, n_perm: int = 100, alpha: float = 0.05) -> DataFrame:
+def consensus_modules(nets: Networks, resolutions: list[float], threshold: float | None = None, max_iter: int = 10, n_iterations: int = 2, seed: int = 1, test_k1: bool = True, n_perm: int = 100, alpha: float = 0.05, tested: DataFrame | None = None) -> DataFrame:
     """(species, gene, module, iterations): consensus over resolutions, one task per species.
 
     Leiden (modularity) at each resolution; edges weighted by positive excess co-classification form the next graph, until neighbouring
     resolutions agree (ARI > 0.999) or max_iter; a fixed threshold makes one pass over edges with observed >= threshold. The partition with the best modularity on
     the original graph is kept, the first among equals; without excess the initial partitions stand. Without a threshold, ``test_k1`` runs
-    structure_test first: a species with p >= alpha is one module (iterations 0).
+    structure_test first (``tested``: its result, where it is known): a species with p >= alpha is one module (iterations 0).
     """
     if threshold is not None and not 0 < threshold < 1:
         raise ValueError("threshold must be between 0 and 1")
@@ -177,7 +214,7 @@ def consensus_modules(nets: Networks, resolutions: list[float], threshold: float
     schema = "species string, gene string, module int, iterations int"
     if threshold is not None or not test_k1:
         return rows.groupBy("species").applyInPandas(run, schema)
-    tested = structure_test(nets, rs, n_perm, alpha, seed)
+    tested = structure_test(nets, rs, n_perm, alpha, seed) if tested is None else tested
     one = cut(tested.where(F.col("p_value") >= alpha).select("species"))
     whole = nets.genes.join(one, "species", "left_semi").select("species", "gene", F.lit(1).alias("module"), F.lit(0).alias("iterations"))
     return rows.join(one, "species", "left_anti").groupBy("species").applyInPandas(run, schema).unionByName(whole)
@@ -234,22 +271,35 @@ def compare_modules(members: DataFrame, orthologs: DataFrame, method: str = "hyp
         x, m, k, n = (F.col(c) for c in ("overlap", "size2", "size1", "universe"))
         p = t.withColumn("p_value", F.when((x > 0) & (m > 0) & (k > 0), hypergeom_upper(x, m, k, n)).otherwise(1.0))
         return q_values(p, PAIR, "p_value", "q_value")
+    # the left side stands in one order, only the right side is shuffled; draws run in batches over what hasn't stopped
     rows = cut(mapped_rows(members, orthologs))
-    name = F.concat_ws(":", "gene1", "gene2")
-    per = W.partitionBy(*PAIR, "perm")
-    every = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(max_permutations))))
-    left = every.withColumn("at", F.row_number().over(per.orderBy("gene1", "gene2"))).select(*PAIR, "perm", "at", "module1")
-    right = every.withColumn("at", F.row_number().over(per.orderBy(draw_order(seed, F.col("perm"), name), "gene1", "gene2"))).select(*PAIR, "perm", "at", "gene2", "module2")
-    drawn = cut(left.join(right, [*PAIR, "perm", "at"]).select(*PAIR, "perm", "module1", "gene2", "module2").distinct())
-    k = drawn.groupBy(*PAIR, "perm", "module1").agg(F.count("*").alias("k"))
-    x = drawn.groupBy(*PAIR, "perm", "module1", "module2").agg(F.count("*").alias("x"))
     key = [*PAIR, "module1", "module2"]
-    hit = x.join(k, [*PAIR, "perm", "module1"]).join(t.where("jaccard > 0").select(*key, "size2", "jaccard"), key)
-    hit = hit.select(*key, "perm", (F.round(_jaccard("x", "k", "size2"), 9) >= F.round("jaccard", 9)).alias("hit"))
-    grid = t.where("jaccard > 0").select(*key).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(max_permutations)))).join(hit, [*key, "perm"], "left").withColumn("exceed", F.coalesce("hit", F.lit(False)))
-    p = sequential_p(grid, key, "perm", "exceed", min_exceedances)
+    left = cut(rows.withColumn("at", F.row_number().over(W.partitionBy(*PAIR).orderBy("gene1", "gene2"))).select(*PAIR, "at", "module1"))
+    tested = cut(t.where("jaccard > 0").select(*key, "size2", "jaccard"))
+    active, flags = tested, None
+    for lo, hi in batches(max_permutations):
+        live = rows.join(active.select(*PAIR).distinct(), PAIR, "left_semi").select(*PAIR, "gene1", "gene2", "module2")
+        every = spread(live.withColumn("perm", F.explode(F.sequence(F.lit(lo), F.lit(hi)))), *PAIR, "perm")
+        order = draw_order(seed, F.col("perm"), F.concat_ws(":", "gene1", "gene2"))
+        right = every.withColumn("at", F.row_number().over(W.partitionBy(*PAIR, "perm").orderBy(order, "gene1", "gene2"))).select(*PAIR, "perm", "at", "gene2", "module2")
+        drawn = cut(right.join(left, [*PAIR, "at"]).select(*PAIR, "perm", "module1", "gene2", "module2").distinct())
+        k = drawn.groupBy(*PAIR, "perm", "module1").agg(F.count("*").alias("k"))
+        x = drawn.groupBy(*PAIR, "perm", "module1", "module2").agg(F.count("*").alias("x"))
+        hit = x.join(active, key).join(k, [*PAIR, "perm", "module1"]).where(F.round(_jaccard("x", "k", "size2"), 9) >= F.round("jaccard", 9))
+        f = cut(hit.select(*key, "perm"))  # exceeding draws alone; all others are known to be there
+        flags = f if flags is None else flags.unionByName(f)
+        if hi == max_permutations:
+            break
+        done = flags.groupBy(*key).agg(F.count("*").alias("e")).where(F.col("e") >= min_exceedances)
+        active = cut(active.join(done.select(*key), key, "left_anti"))
+        if active.isEmpty():
+            break
+    nth = flags.withColumn("e", F.row_number().over(W.partitionBy(*key).orderBy("perm"))).where(F.col("e") <= min_exceedances)
+    got = nth.groupBy(*key).agg(F.count("*").cast("int").alias("n_exceed"), F.max(F.when(F.col("e") == min_exceedances, F.col("perm"))).alias("stop"))
+    p = tested.select(*key).join(got, key, "left").select(*key, F.coalesce("stop", F.lit(max_permutations)).cast("int").alias("n_perm"), F.coalesce("n_exceed", F.lit(0)).alias("n_exceed"))
+    p = p.withColumn("p_value", (F.col("n_exceed") + 1) / (F.col("n_perm") + 1))
     out = cut(t.join(p, key, "left").fillna(1.0, ["p_value"]).fillna(0, ["n_perm", "n_exceed"]))
-    return discrete_q_values(out, "p_value", "q_value", bc_support(min_exceedances, max_permutations))
+    return discrete_q_values(out, PAIR, "p_value", "q_value", bc_support(min_exceedances, max_permutations))
 
 
 def best_matches(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -279,64 +329,89 @@ def module_density(members: DataFrame, edges: DataFrame) -> DataFrame:
     return t.select("species", "mi", "mj", "n_edges", (F.col("n_edges") / (F.col("si") * F.col("sj"))).alias("density"))
 
 
-def coarsen_modules(members: DataFrame, edges: DataFrame, target: int) -> DataFrame:
-    """(species, module, coarse): modules merged to ``target`` by complete linkage on 1 - density / max density.
+def coarsen_modules(members: DataFrame, edges: DataFrame, target: int | DataFrame) -> DataFrame:
+    """(species, module, coarse): modules merged to ``target`` (a number, or one row (species, target) a species) by complete linkage on 1 - density / max density.
 
     Modules are clustered per species in one small task (a row per module pair); without edges between modules they
     merge in module order; target >= number of modules changes nothing.
     """
-    if target < 1:
+    if isinstance(target, int) and target < 1:
         raise ValueError("target must be at least 1")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         mods = sorted(pdf.loc[pdf["mj"].isna(), "mi"].astype(int))
-        at, n = {m: k for k, m in enumerate(mods)}, len(mods)
-        if target >= n:
+        at, n, want = {m: k for k, m in enumerate(mods)}, len(mods), int(pdf["target"].iat[0])
+        if want >= n:
             return pd.DataFrame({"species": key[0], "module": mods, "coarse": mods})
         d = np.zeros((n, n))
         for r in pdf[pdf["mj"].notna()].itertuples():
             d[at[int(r.mi)], at[int(r.mj)]] = d[at[int(r.mj)], at[int(r.mi)]] = r.density
         dist = np.abs(np.subtract.outer(np.arange(n), np.arange(n))).astype(float) if d.max() == 0 else 1 - d / d.max()
-        return pd.DataFrame({"species": key[0], "module": mods, "coarse": G.complete_linkage(dist, target) + 1})
+        return pd.DataFrame({"species": key[0], "module": mods, "coarse": G.complete_linkage(dist, want) + 1})
 
     nodes = members.select("species", F.col("module").alias("mi")).distinct().select("species", "mi", F.lit(None).cast("int").alias("mj"), F.lit(0.0).alias("density"))
-    return module_density(members, edges).select("species", "mi", "mj", "density").unionByName(nodes).groupBy("species").applyInPandas(run, "species string, module int, coarse int")
+    rows = module_density(members, edges).select("species", "mi", "mj", "density").unionByName(nodes)
+    rows = rows.withColumn("target", F.lit(target)) if isinstance(target, int) else rows.join(target.select("species", "target"), "species")
+    return rows.groupBy("species").applyInPandas(run, "species string, module int, coarse int")
+
+
+class PairedComparison(NamedTuple):
+    """classification: pair_name, scale, species, module, classification, grp. raw: pair_name, scale and the module pairs. counts: pair_name, n_sp1, n_sp2, ratio."""
+
+    classification: DataFrame
+    raw: DataFrame
+    counts: DataFrame
 
 
-def compare_modules_paired(members: DataFrame, orthologs: DataFrame, contrasts: DataFrame, traits: DataFrame, edges: DataFrame | None = None, matched_scale: bool = True, coarsen_ratio: float = 2.0, alpha: float = 0.05, jaccard_threshold: float = 0.1) -> DataFrame:
-    """(pair_name, scale, species, module, classification, grp) for contrasts (pair_name, sp1, sp2).
+def compare_modules_paired(
+    members: DataFrame, orthologs: DataFrame, contrasts: DataFrame, traits: DataFrame | None = None, edges: DataFrame | None = None, method: str = "jaccard", matched_scale: bool = True,
+    coarsen_ratio: float = 2.0, alpha: float = 0.05, jaccard_threshold: float = 0.1, min_exceedances: int = 50, max_permutations: int = 10_000, seed: int = 1,
+) -> PairedComparison:
+    """Module comparison of contrasts (pair_name, sp1, sp2; without pair_name it is sp1.sp2), at natural and at matched scale.
 
-    grp is 'conserved' (partially conserved too) or, of a species-specific module, the side's trait. Where the module counts of a contrast differ by more than coarsen_ratio, the
-    finer side is coarsened to the smaller count by ``edges`` (species, i, j, w) and the contrast compared again as scale
-    'matched'; else matched repeats natural. Raises ValueError for matched_scale without edges.
+    grp is 'conserved' (partially conserved too) or, of a species-specific module, the side's trait (null without traits). Where the module
+    counts of a contrast differ by more than coarsen_ratio, the finer side is coarsened to the smaller count by ``edges``
+    (species, i, j, w) and the contrast is compared again as scale 'matched'; other contrasts have no matched rows. All
+    contrasts are one plan: a coarsened species goes by its name and the contrast's. Raises ValueError for matched_scale without
+    edges, and for contrasts of species without modules or trait.
     """
     if matched_scale and edges is None:
         raise ValueError("matched_scale needs edges")
-
-    def at(m: DataFrame, o: DataFrame, scale: str) -> DataFrame:
-        c = classify_modules(compare_modules(m, o), alpha, jaccard_threshold).join(contrasts, PAIR)
-        sp = F.when(F.col("species") == "sp1", F.col("sp1")).otherwise(F.col("sp2"))
-        t = c.withColumn("_sp", sp).join(traits.select(F.col("species").alias("_sp"), "trait"), "_sp", "left")
-        return t.select("pair_name", F.lit(scale).alias("scale"), "species", "module", "classification", F.when(F.col("classification") != "species_specific", "conserved").otherwise(F.col("trait")).alias("grp"))
-
-    o = orthologs.join(contrasts.select(*PAIR), PAIR, "left_semi")
-    natural = cut(at(members, o, "natural"))
-    if not matched_scale:
-        return natural
+    if "pair_name" not in contrasts.columns:
+        contrasts = contrasts.withColumn("pair_name", F.concat_ws(".", *PAIR))
+    pairs = [(r["pair_name"], r["sp1"], r["sp2"]) for r in contrasts.select("pair_name", *PAIR).collect()]  # as the caller lists them
     counts = {r["species"]: r["n"] for r in members.groupBy("species").agg(F.countDistinct("module").alias("n")).collect()}  # one row per species
-    out = natural
-    same: list[str] = []
-    for r in contrasts.collect():
-        n1, n2 = counts.get(r["sp1"], 0), counts.get(r["sp2"], 0)
-        if not min(n1, n2) or max(n1, n2) / min(n1, n2) <= coarsen_ratio:
-            same.append(r["pair_name"])
-            continue
-        fine, keep = (r["sp1"], n2) if n1 > n2 else (r["sp2"], n1)
-        m = members.where(F.col("species") == fine)
-        merged = m.join(coarsen_modules(m, edges.where(F.col("species") == fine), keep), ["species", "module"]).select("species", "gene", F.col("coarse").alias("module"))
-        both = members.where(F.col("species").isin(r["sp1"], r["sp2"]) & (F.col("species") != fine)).select("species", "gene", "module").unionByName(merged)
-        out = out.unionByName(at(both, o.where((F.col("sp1") == r["sp1"]) & (F.col("sp2") == r["sp2"])), "matched").where(F.col("pair_name") == r["pair_name"]))
-    return out.unionByName(natural.where(F.col("pair_name").isin(same)).withColumn("scale", F.lit("matched")))
+    if missing := {s for p in pairs for s in p[1:]} - set(counts):
+        raise ValueError(f"no modules of {sorted(missing)}")
+    if traits is not None and (missing := {s for p in pairs for s in p[1:]} - {r["species"] for r in traits.select("species").distinct().collect()}):
+        raise ValueError(f"no trait of {sorted(missing)}")
+
+    def at(m: DataFrame, o: DataFrame, by: DataFrame, scale: str) -> tuple[DataFrame, DataFrame]:
+        raw = cut(compare_modules(m, o, method, min_exceedances, max_permutations, seed)).join(by, PAIR)
+        c = classify_modules(raw.drop("pair_name", "real1", "real2").distinct(), alpha, jaccard_threshold).join(by, PAIR)
+        c = c.withColumn("_sp", F.when(F.col("species") == "sp1", F.col("real1")).otherwise(F.col("real2")))
+        c = c.join(traits.select(F.col("species").alias("_sp"), "trait"), "_sp", "left") if traits is not None else c.withColumn("trait", F.lit(None).cast("string"))
+        grp = F.when(F.col("classification") != "species_specific", "conserved").otherwise(F.col("trait"))
+        named = raw.drop(*PAIR).withColumnsRenamed({"real1": "sp1", "real2": "sp2"}).withColumn("scale", F.lit(scale))
+        return c.select("pair_name", F.lit(scale).alias("scale"), "species", "module", "classification", grp.alias("grp")), named
+
+    plain = contrasts.select("pair_name", *PAIR, F.col("sp1").alias("real1"), F.col("sp2").alias("real2"))
+    c, raw = at(members, orthologs.join(contrasts.select(*PAIR), PAIR, "left_semi"), plain, "natural")
+    uneven = [p for p in pairs if max(counts[p[1]], counts[p[2]]) / min(counts[p[1]], counts[p[2]]) > coarsen_ratio] if matched_scale else []
+    spark = members.sparkSession
+    if uneven:
+        tagged = [(s, f"{s}@{n}", min(counts[a], counts[b])) for n, a, b in uneven for s in (a, b)]
+        names = F.broadcast(spark.createDataFrame(tagged, "species string, tagged string, target int"))
+        named = lambda df, *cols: df.join(names, "species").select(F.col("tagged").alias("species"), *cols)
+        m = cut(named(members, "gene", "module"))
+        coarse = coarsen_modules(m, named(edges, "i", "j", "w"), names.select(F.col("tagged").alias("species"), "target"))
+        merged = m.join(coarse, ["species", "module"]).select("species", "gene", F.col("coarse").alias("module"))
+        by = spark.createDataFrame([(n, f"{a}@{n}", f"{b}@{n}", a, b) for n, a, b in uneven], "pair_name string, sp1 string, sp2 string, real1 string, real2 string")
+        o = orthologs.join(F.broadcast(by.withColumnsRenamed({"sp1": "t1", "sp2": "t2", "real1": "sp1", "real2": "sp2"})), PAIR).drop(*PAIR).withColumnsRenamed({"t1": "sp1", "t2": "sp2"})
+        c2, raw2 = at(cut(merged), o.select(*PAIR, "gene1", "gene2", "hog"), by, "matched")
+        c, raw = c.unionByName(c2), raw.unionByName(raw2)
+    sizes = spark.createDataFrame([(n, counts[a], counts[b], round(max(counts[a], counts[b]) / min(counts[a], counts[b]), 1)) for n, a, b in pairs], "pair_name string, n_sp1 long, n_sp2 long, ratio double")
+    return PairedComparison(c, raw, sizes)
 
 
 def paired_summary(paired: DataFrame) -> DataFrame:
@@ -355,7 +430,7 @@ def identify_module_hubs(members: DataFrame, edges: DataFrame, gene_hogs: DataFr
 
     rank is the minimum rank by the chosen centrality; hubs are the first top_n, or ceil(top_fraction n), by that
     centrality, global degree, the other centrality, mean edge weight, conservation (all descending), group q, gene.
-    comparison rows are (gene, conserv_eff, hog_q). Modules below min_module_size have null metrics and no hub. ``paths``:
+    comparison rows are (species, gene, conserv_eff, hog_q), as :func:`conservation` gives them. Modules below min_module_size have no metrics but global_degree, and no hub. ``paths``:
     betweenness and eigenvector, a task per module; without, they are null and can't rank.
     """
     if centrality not in ("degree", "betweenness", "eigenvector"):
@@ -382,7 +457,7 @@ def identify_module_hubs(members: DataFrame, edges: DataFrame, gene_hogs: DataFr
     else:
         t = t.withColumns({c: F.lit(None).cast("double") for c in ("betweenness", "eigenvector")})
     t = t.withColumn("mean_edge_weight", F.when(F.col("links") > 0, F.col("degree") / F.greatest("links", F.lit(1))).otherwise(0.0))
-    t = t.withColumns({c: F.when(ok, F.col(c)) for c in ("degree", "betweenness", "eigenvector", "mean_edge_weight", "global_degree")})
+    t = t.withColumns({c: F.when(ok, F.col(c)) for c in ("degree", "betweenness", "eigenvector", "mean_edge_weight")})
     t = t.join(gene_hogs.groupBy("species", "gene").agg(F.min("hog").alias("hog")), ["species", "gene"], "left") if gene_hogs is not None else t.withColumn("hog", F.lit(None).cast("string"))
     t = t.join(comparison.select("species", "gene", "conserv_eff", "hog_q"), ["species", "gene"], "left") if comparison is not None else t.withColumns({"conserv_eff": F.lit(0.0), "hog_q": F.lit(1.0)})
     t = t.fillna({"conserv_eff": 0.0, "hog_q": 1.0})
@@ -393,6 +468,15 @@ def identify_module_hubs(members: DataFrame, edges: DataFrame, gene_hogs: DataFr
     return t.select("species", "module", "gene", "degree", "betweenness", "eigenvector", "mean_edge_weight", "global_degree", "rank", "is_hub", "hog", F.lit(centrality).alias("primary_centrality"))
 
 
+def conservation(results: DataFrame, gene_hogs: DataFrame) -> DataFrame:
+    """(species, gene, conserv_eff, hog_q) of summarize_comparison's rows: a gene's mean effect over its pairs, its group's least q."""
+    side = F.explode(F.array(F.struct(F.col("sp1").alias("species"), F.col("gene1").alias("gene")), F.struct(F.col("sp2").alias("species"), F.col("gene2").alias("gene"))))
+    eff = results.select(side.alias("x"), F.sqrt(F.col("sp1_effect") * F.col("sp2_effect")).alias("e")).groupBy("x.species", "x.gene").agg(F.avg("e").alias("conserv_eff"))
+    q = results.groupBy("hog").agg(F.min(F.least("q1", "q2")).alias("hog_q"))
+    genes = gene_hogs.groupBy("species", "gene").agg(F.min("hog").alias("hog"))
+    return genes.join(eff, ["species", "gene"], "left").join(q, "hog", "left").select("species", "gene", "conserv_eff", "hog_q")
+
+
 def classify_hub_conservation(hubs: DataFrame, traits: DataFrame, pairs: DataFrame | None = None, alpha: float = 0.05, jaccard_threshold: float = 0.1, min_trait_fraction: float = 0.5, correspondence_threshold: float = 0.5, centrality: str = "degree") -> DataFrame:
     """(hog, classification, n_species, n_species_hub, n_cross_pairs, n_corresponding) for every group with a hub table row.
 
@@ -403,7 +487,7 @@ def classify_hub_conservation(hubs: DataFrame, traits: DataFrame, pairs: DataFra
     """
     h = hubs.where(F.col("hog").isNotNull())
     key = F.struct(F.coalesce(F.col(centrality), F.lit(-1.0)), F.col("gene"))
-    sp = cut(h.groupBy("hog", "species").agg(F.bool_or("is_hub").alias("hub"), F.max_by("module", F.when(F.col("is_hub"), key)).alias("module")).join(F.broadcast(traits), "species", "left"))
+    sp = cut(h.groupBy("hog", "species").agg(F.bool_or("is_hub").alias("hub"), F.max_by("module", F.when(F.col("is_hub"), key)).alias("module")).join(traits.select("species", "trait"), "species", "left"))
     base = sp.groupBy("hog").agg(F.count("*").alias("n_species"), F.count_if("hub").alias("n_species_hub"))
     by = sp.where(F.col("trait").isNotNull()).groupBy("hog", "trait").agg((F.count_if("hub") / F.count("*")).alias("f"), F.count_if("hub").alias("nh")).where((F.col("nh") > 0) & (F.col("f") >= min_trait_fraction))
     groups = by.groupBy("hog").agg(F.count("*").alias("n_traits"), F.min("trait").alias("one"))

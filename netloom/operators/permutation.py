@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stats import bc_support, discrete_q_values, sequential_p
-from ..sources.tables import cut
+from ..sources.tables import cut, spread
 from .comparison import PAIR, _directed, usable_orthologs
 from .network import Networks
 
@@ -23,10 +23,10 @@ def draw_order(seed: int, draw: Column, item: Column) -> Column:
 
 def shuffles(items: DataFrame, by: list[str], item: str, draws: tuple[int, int], seed: int) -> DataFrame:
     """(by..., perm, item, drawn): ``drawn`` is the item on ``item``'s place in the shuffle of draw ``perm`` (first..last of ``draws``)."""
-    every = items.select(*by, item).distinct().withColumn("perm", F.explode(F.sequence(F.lit(draws[0]), F.lit(draws[1]))))
-    slot = every.withColumn("at", F.row_number().over(W.partitionBy(*by, "perm").orderBy(item)))
-    drawn = every.withColumn("at", F.row_number().over(W.partitionBy(*by, "perm").orderBy(draw_order(seed, F.col("perm"), F.col(item)), item))).withColumnRenamed(item, "drawn")
-    return slot.join(drawn, [*by, "perm", "at"]).drop("at")
+    once = items.select(*by, item).distinct()
+    slot = once.withColumn("at", F.row_number().over(W.partitionBy(*by).orderBy(item)))
+    drawn = spread(once.withColumn("perm", F.explode(F.sequence(F.lit(draws[0]), F.lit(draws[1])))), *by, "perm").withColumn("at", F.row_number().over(W.partitionBy(*by, "perm").orderBy(draw_order(seed, F.col("perm"), F.col(item)), item))).withColumnRenamed(item, "drawn")
+    return drawn.join(slot, [*by, "at"]).drop("at") if by else drawn.join(slot, "at").drop("at")
 
 
 def batches(most: int, first: int = 200, growth: int = 4) -> list[tuple[int, int]]:
@@ -61,7 +61,7 @@ def permutation_hog_test(nets: Networks, orthologs: DataFrame, comparison: DataF
     """Group test: sp1, sp2, hog, n_pairs, n_sp1, n_sp2, t_obs, n_perm, n_exceed, mean_eff, p_value, q_value.
 
     t_obs sums the fold enrichment over all gene pairs of the group; a draw exceeds if its sum is at least (greater) or
-    at most (less) t_obs, sums rounded to 9 places. A group with t_obs <= 0 has p 1 and no draws (greater). Comparison rows
+    at most (less) t_obs, sums rounded to 9 places. q-values are taken within a species pair. A group with t_obs <= 0 has p 1 and no draws (greater). Comparison rows
     whose genes aren't in the networks are left out.
     """
     if alternative not in ("greater", "less"):
@@ -97,7 +97,7 @@ def permutation_hog_test(nets: Networks, orthologs: DataFrame, comparison: DataF
     p = sequential_p(flags, key, "perm", "exceed", min_exceedances)
     info = rows.groupBy(*key).agg(F.count("*").alias("n_pairs"), F.countDistinct("gene1").alias("n_sp1"), F.countDistinct("gene2").alias("n_sp2"), F.avg(F.sqrt(F.col("sp1_effect") * F.col("sp2_effect"))).alias("mean_eff"))
     out = cut(info.join(obs, key).join(p, key, "left").fillna(0, ["n_perm", "n_exceed"]).fillna(1.0, ["p_value"]))
-    return discrete_q_values(out, "p_value", "q_value", bc_support(min_exceedances, max_permutations))
+    return discrete_q_values(out, PAIR, "p_value", "q_value", bc_support(min_exceedances, max_permutations))
 
 
 def permutation_edges(comparison: DataFrame, tests: DataFrame, alternative: str = "greater", alpha: float = 0.05) -> DataFrame:

@@ -185,7 +185,7 @@ def _sweep_sql() -> str:
 
 @query("density_sweep", _sweep_sql())
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    return C.sweep_summary(*C.density_sweep(nets(spark, d, AB), orthologs(spark, d, AB), list(_SWEEP)))
+    return C.sweep_summary(*C.density_sweep(nets(spark, d, AB), orthologs(spark, d, AB), list(_SWEEP), "analytical"))
 
 
 @query("coexpressed_hogs", upto("edges", """select a.hog, n_species, species, traits, round(mean_weight, 4) as mean_weight, conserved, round(mean_effect, 4) as mean_effect, round(min_q, 6) as min_q

@@ -190,11 +190,20 @@ def _contrasts(spark: SparkSession) -> DataFrame:
 
 
 @query("compare_modules_paired", upto("ortho", """select pair_name, scale, grp, count(*) as n_modules from (
-    select pair_name, scale, case when classification = 'conserved' then 'conserved' when (species = 'sp1') = (sp1 in ('SP_A', 'SP_C')) then 'annual' else 'perennial' end as grp
-    from cl join (values ('AB', 'SP_A', 'SP_B'), ('CD', 'SP_C', 'SP_D')) as c(pair_name, sp1, sp2) using (sp1, sp2) cross join (values ('natural'), ('matched')) as t(scale)) group by all""", extra=_MP))
+    select pair_name, 'natural' as scale, case when classification = 'conserved' then 'conserved' when (species = 'sp1') = (sp1 in ('SP_A', 'SP_C')) then 'annual' else 'perennial' end as grp
+    from cl join (values ('AB', 'SP_A', 'SP_B'), ('CD', 'SP_C', 'SP_D')) as c(pair_name, sp1, sp2) using (sp1, sp2)) group by all""", extra=_MP))
 def _paired(spark: SparkSession, d: str) -> DataFrame:
     o = orthologs(spark, d, SPECIES)
-    return M.paired_summary(M.compare_modules_paired(members(spark, d, SPECIES), o, _contrasts(spark), traits(spark), M.thresholded(nets(spark, d, SPECIES))))
+    got = M.compare_modules_paired(members(spark, d, SPECIES), o, _contrasts(spark), traits(spark), M.thresholded(nets(spark, d, SPECIES)), "hypergeometric")
+    return M.paired_summary(got.classification)
+
+
+@query("compare_modules_matched")
+def _matched(spark: SparkSession, d: str) -> DataFrame:
+    """Ten modules against four: the finer side is coarsened and compared again."""
+    m = members(spark, d, SPECIES).withColumn("module", F.when(F.col("species").isin("SP_B", "SP_D"), F.col("module") % 4 + 1).otherwise(F.col("module")).cast("int"))
+    got = M.compare_modules_paired(m, orthologs(spark, d, SPECIES), _contrasts(spark), traits(spark), M.thresholded(nets(spark, d, SPECIES)), "hypergeometric")
+    return M.paired_summary(got.classification)
 
 
 _SPEC = ("cs", "select case sp1 || sp2 when 'SP_ASP_B' then 'AB' else 'CD' end as pair_name, species, module, case when module % 3 = 0 then 'species_specific' else 'conserved' end as classification from cl where (sp1, sp2) in (('SP_A', 'SP_B'), ('SP_C', 'SP_D'))")
@@ -244,7 +253,7 @@ def _cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("module_hubs")
 def _module_hubs(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_hubs(spark, d, ("SP_A",)), 4)
+    return rounded(_hubs(spark, d, SPECIES), 4)
 
 
 @query("hub_conservation", upto("nbr", """select b.hog, case when b.n_species_hub = 0 then 'non_hub' when coalesce(n_traits, 0) >= 2 and n_known = 0 then 'multi_trait_hub' when coalesce(n_traits, 0) >= 2 and n_ok / n_known >= 0.5 then 'conserved_hub'
@@ -275,27 +284,27 @@ def _character(spark: SparkSession, d: str) -> DataFrame:
 
 @query("detect_modules")
 def _detect(spark: SparkSession, d: str) -> DataFrame:
-    return M.detect_modules(nets(spark, d, ("SP_A",)), "leiden", [0.5, 1.0, 1.5], "modularity")
+    return M.partitions(nets(spark, d, SPECIES), "leiden", [0.5, 1.0, 1.5], "modularity")
 
 
 @query("infomap_modules")
 def _infomap(spark: SparkSession, d: str) -> DataFrame:
-    return M.detect_modules(nets(spark, d, ("SP_A",)), "infomap")
+    return M.partitions(nets(spark, d, SPECIES), "infomap")
 
 
 @query("sbm_modules")
 def _sbm(spark: SparkSession, d: str) -> DataFrame:
-    return M.detect_modules(nets(spark, d, ("SP_A",)), "sbm")
+    return M.partitions(nets(spark, d, SPECIES), "sbm")
 
 
 @query("consensus_modules")
 def _consensus(spark: SparkSession, d: str) -> DataFrame:
-    return M.consensus_modules(nets(spark, d, ("SP_A",)), [0.5, 1.0, 1.5, 2.0])
+    return M.detect_modules(nets(spark, d, SPECIES), resolutions=[0.5, 1.0, 1.5, 2.0]).modules
 
 
 @query("structure_test")
 def _structure(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.structure_test(nets(spark, d, ("SP_A",)), [0.5, 1.0]))
+    return rounded(M.structure_test(nets(spark, d, SPECIES), [0.5, 1.0]))
 
 
 @query("reduce_orthogroups", upto("z", """select x.species, x.gene, case when r >= 0.3 then least(x.gene, o.gene) else x.gene end as representative from expr x left join (

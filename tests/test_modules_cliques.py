@@ -56,7 +56,7 @@ def nets_of(spark, seed=0):
 
 def test_detection_in_spark(spark):
     nets, label = nets_of(spark)
-    rows = M.detect_modules(nets, "leiden", [1.0], "modularity").collect()
+    rows = M.detect_modules(nets, "leiden", 1.0, "modularity").modules.collect()
     assert G.adjusted_rand([r.module for r in rows], [label[r.gene] for r in rows]) > 0.9
     rows = M.consensus_modules(nets, [0.5, 1.0, 1.5]).collect()
     assert len(rows) == 60 and G.adjusted_rand([r.module for r in rows], [label[r.gene] for r in rows]) > 0.9

@@ -23,6 +23,12 @@ def test_chain(spark):
         Pipeline(nets, o, ["A"], {"A": "x"})
     with pytest.raises(ValueError):
         Pipeline(nets, o, ["A", "B"], {"A": "x"})
+    with pytest.raises(ValueError, match="networks"):
+        Pipeline(nets, o, ["A", "B", "C"], {"A": "x", "B": "y", "C": "y"})
+    with pytest.raises(ValueError, match="unknown"):
+        Pipeline(nets, o, ["A", "B"], {"A": "x", "B": "y"}, species_pairs=[("A", "Z")])
+    named = Pipeline(nets, o, ["A", "B"], {"A": "x", "B": "y"}, spark.createDataFrame([("A", "B")], "sp1 string, sp2 string"))
+    assert named.contrasts.first()["pair_name"] == "A.B"
 
 
 def test_matched_scale_coarsens(spark):
@@ -36,7 +42,7 @@ def test_matched_scale_coarsens(spark):
     t = spark.createDataFrame([("A", 0.5, 1128), ("B", 0.5, 1128)], "species string, threshold double, n_pairs long")
     contrasts = spark.createDataFrame([("AB", "A", "B")], "pair_name string, sp1 string, sp2 string")
     p = Pipeline(Networks(w, t, genes, {}), o, ["A", "B"], {"A": "annual", "B": "perennial"}, contrasts, modules=m)
-    rows = p.compare_modules_paired(jaccard_threshold=0.5).module_comparisons
+    rows = p.compare_modules_paired(jaccard_threshold=0.5, method="hypergeometric").module_comparisons
     n = {(r["scale"], r["species"]): r["n"] for r in rows.groupBy("scale", "species").agg(F.count("*").alias("n")).collect()}
     assert n == {("natural", "sp1"): 6, ("natural", "sp2"): 2, ("matched", "sp1"): 2, ("matched", "sp2"): 2}
     got = {(r["scale"], r["species"], r["classification"], r["grp"]) for r in rows.collect()}
