@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.stats import average_rank
+from ..sources.expression import Expression
 from ..sources.tables import cut
 from .similarity import DECIMALS, correlations, row_ranks, standard_rows, variance_filter
 
@@ -149,8 +150,8 @@ class Networks:
         return self.genes.groupBy("species").agg(F.count("*").alias("n_genes"))
 
 
-def compute_network(profiles: DataFrame, cor_method: str = "pearson", norm_method: str = "MR", density: float = 0.03, abs_cor: bool = False, mr_log_transform: bool = False, min_var: float | None = 0.0) -> Networks:
-    """Networks of all species in ``profiles`` (species, gene, values).
+def compute_network(profiles: DataFrame | Expression, cor_method: str = "pearson", norm_method: str = "MR", density: float = 0.03, abs_cor: bool = False, mr_log_transform: bool = False, min_var: float | None = 0.0, local_genes: int = LOCAL_GENES) -> Networks:
+    """Networks of all species in ``profiles`` (species, gene, values), or of an Expression's profiles.
 
     Raises ValueError for a density outside (0, 1), an unknown method, null gene names, or a species with fewer than
     three genes after the variance filter.
@@ -159,12 +160,12 @@ def compute_network(profiles: DataFrame, cor_method: str = "pearson", norm_metho
         raise ValueError("density must be between 0 and 1")
     if norm_method not in ("MR", "CLR"):
         raise ValueError("norm_method must be MR or CLR")
-    p = profiles.select("species", "gene", "values")
+    p = getattr(profiles, "profiles", profiles).select("species", "gene", "values")
     kept = cut(variance_filter(p, min_var))
     named = p.groupBy("species").agg(F.count_if(F.col("gene").isNull()).alias("bad"))
     found = named.join(kept.groupBy("species").agg(F.count("*").alias("n")), "species", "left").fillna(0, ["n"]).collect()  # one row per species
     for r in found:
         if r["bad"] or r["n"] < 3:
             raise ValueError(f"species {r['species']}: needs named genes and at least three with variance above {min_var}")
-    w = cut(network_weights(kept, {r["species"]: r["n"] for r in found}, cor_method, norm_method, abs_cor, mr_log_transform))  # read by every later step
+    w = cut(network_weights(kept, {r["species"]: r["n"] for r in found}, cor_method, norm_method, abs_cor, mr_log_transform, local_genes))  # read by every later step
     return Networks(w, cut(density_threshold(w, density)), kept.select("species", "gene"), {"cor_method": cor_method, "norm_method": norm_method, "density": density})

@@ -29,6 +29,13 @@ def shuffles(items: DataFrame, by: list[str], item: str, draws: tuple[int, int],
     return drawn.join(slot, [*by, "at"]).drop("at") if by else drawn.join(slot, "at").drop("at")
 
 
+def shuffled_ids(ids: DataFrame, draws: tuple[int, int], seed: int) -> DataFrame:
+    """(species, perm, slot, drawn): the same shuffles of (species, gene, id), genes by their number in sorted order."""
+    every = spread(ids.withColumn("perm", F.explode(F.sequence(F.lit(draws[0]), F.lit(draws[1])))), "species", "perm")
+    order = W.partitionBy("species", "perm").orderBy(draw_order(seed, F.col("perm"), F.col("gene")), "gene")
+    return every.select("species", "perm", F.row_number().over(order).alias("slot"), F.col("id").alias("drawn"))
+
+
 def batches(most: int, first: int = 200, growth: int = 4) -> list[tuple[int, int]]:
     """Draw ranges 1..first, then growing."""
     out, at, size = [], 1, first
@@ -70,19 +77,25 @@ def permutation_hog_test(nets: Networks, orthologs: DataFrame, comparison: DataF
     for sp, g in (("sp1", "gene1"), ("sp2", "gene2")):
         rows = rows.join(nets.genes.select(F.col("species").alias(sp), F.col("gene").alias(g)), [sp, g], "left_semi")
     rows = cut(rows)
-    fe = cut(fold_enrichment(nets, orthologs))
+    # genes go by their place in the sorted names of their species: narrow keys, and a slot's number is its place
+    ids = cut(nets.genes.select("species", "gene").distinct().withColumn("id", F.row_number().over(W.partitionBy("species").orderBy("gene"))))
+    side = lambda sp, g, to: ids.select(F.col("species").alias(sp), F.col("gene").alias(g), F.col("id").alias(to))
+    fe = cut(fold_enrichment(nets, orthologs).withColumnsRenamed({"a": "ga", "b": "gb"}).join(side("sp1", "ga", "a"), ["sp1", "ga"]).join(side("sp2", "gb", "b"), ["sp2", "gb"]).select(*PAIR, "a", "b", "fe"))
     key = [*PAIR, "hog"]
-    slots = cut(rows.select(*key, F.col("gene1").alias("s1")).distinct().join(rows.select(*key, F.col("gene2").alias("s2")).distinct(), key))
+    one = rows.join(side("sp1", "gene1", "s1"), ["sp1", "gene1"]).select(*key, "s1").distinct()
+    two = rows.join(side("sp2", "gene2", "s2"), ["sp2", "gene2"]).select(*key, "s2").distinct()
+    slots = cut(one.join(two, key))
     total = lambda df, by: df.groupBy(*by).agg(F.round(F.sum(F.coalesce("fe", F.lit(0.0))), 9).alias("t"))
     obs = cut(total(slots.join(fe.select(*PAIR, F.col("a").alias("s1"), F.col("b").alias("s2"), "fe"), [*PAIR, "s1", "s2"], "left"), key).withColumnRenamed("t", "t_obs"))
     active = obs.where("t_obs > 0") if alternative == "greater" else obs
     flags: DataFrame | None = None
     for lo, hi in batches(max_permutations, first_batch):
-        sh = cut(shuffles(nets.genes, ["species"], "gene", (lo, hi), seed))
+        live = cut(slots.join(active.select(*key), key, "left_semi"))
+        wanted = live.select(F.col("sp1").alias("species"), F.col("s1").alias("slot")).unionByName(live.select(F.col("sp2").alias("species"), F.col("s2").alias("slot"))).distinct()
+        sh = cut(shuffled_ids(ids.join(wanted.select("species").distinct(), "species", "left_semi"), (lo, hi), seed).join(wanted, ["species", "slot"], "left_semi"))
         drawn = (
-            slots.join(active.select(*key), key, "left_semi").withColumn("perm", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-            .join(sh.select(F.col("species").alias("sp1"), "perm", F.col("gene").alias("s1"), F.col("drawn").alias("a")), ["sp1", "perm", "s1"])
-            .join(sh.select(F.col("species").alias("sp2"), "perm", F.col("gene").alias("s2"), F.col("drawn").alias("b")), ["sp2", "perm", "s2"])
+            live.join(sh.select(F.col("species").alias("sp1"), F.col("slot").alias("s1"), "perm", F.col("drawn").alias("a")), ["sp1", "s1"])
+            .join(sh.select(F.col("species").alias("sp2"), F.col("slot").alias("s2"), "perm", F.col("drawn").alias("b")), ["sp2", "s2", "perm"])
             .join(fe, [*PAIR, "a", "b"], "left")
         )
         t = total(drawn, [*key, "perm"]).join(obs, key)

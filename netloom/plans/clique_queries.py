@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import cliques as Q
 from ..operators.comparison import find_coexpressologs
-from ..sources.planted import SPECIES, TRAITS
+from ..sources.planted import SPECIES, TRAITS, traits
 from .gene_queries import ABC, nets, orthologs, rounded
 from .sql import upto
 
@@ -52,7 +52,27 @@ def _cliques(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tolerant_cliques")
 def _tolerant(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(Q.wide(Q.find_cliques(edges(spark, d), list(ABC), 3, max_missing=1), ABC), 5)
+    return rounded(Q.wide(Q.find_cliques(edges(spark, d, SPECIES), list(SPECIES), 3, max_missing=1), SPECIES), 5)
+
+
+@query("cliques_all")
+def _all(spark: SparkSession, d: str) -> DataFrame:
+    """Cliques of two species or more over all species."""
+    return rounded(Q.wide(Q.find_cliques(edges(spark, d, SPECIES), list(SPECIES), 2), SPECIES), 5)
+
+
+@query("clique_stability_all")
+def _stability_all(spark: SparkSession, d: str) -> DataFrame:
+    """Stability over every set of species that may be left out, with what traits the cliques stand for."""
+    e = edges(spark, d, SPECIES)
+    c = Q.find_cliques(e, list(SPECIES), 2)
+    s = Q.stability_scores(Q.clique_stability(e, list(SPECIES), c)[0])
+    return rounded(s.join(Q.annotate_traits(c, list(SPECIES), traits(spark)), ["hog", "clique"]))
+
+
+@query("clique_traits", upto("edges", """select hog, cast(1 as integer) as clique, 'SP_A,SP_B,SP_C' as species_present, 'annual,perennial' as traits, false as sole_rep from bt""", species="0, 1, 2", extra=_TRIPLES))
+def _traits(spark: SparkSession, d: str) -> DataFrame:
+    return Q.annotate_traits(Q.find_cliques(edges(spark, d), list(ABC)), list(ABC), traits(spark))
 
 
 @query("clique_persistence", upto("edges", """select hog, cast(1 as integer) as clique, round(min(r), 5) as persistence, round(avg(r), 5) as mean_persistence from (
@@ -62,7 +82,7 @@ def _tolerant(spark: SparkSession, d: str) -> DataFrame:
   union all select hog, 1, null, null from bt where hog not in (select b.hog from cp b join nbr na on na.species = b.sa and na.g = b.ga join nbr nb on nb.species = b.sb and nb.g = b.gb where (b.sa, b.sb, na.nb, nb.nb) in (select (species1, species2, gene1, gene2) from edges))""",
   species="0, 1, 2", extra=[*_TRIPLES, ("cp", "select hog, 'SP_A' as sa, a as ga, 'SP_B' as sb, b as gb from bt union all select hog, 'SP_A', a, 'SP_C', c from bt union all select hog, 'SP_B', b, 'SP_C', c from bt")]))
 def _persistence(spark: SparkSession, d: str) -> DataFrame:
-    n, o = nets(spark, d), orthologs(spark, d)
+    n, o = nets(spark, d, ABC), orthologs(spark, d, ABC)
     e = find_coexpressologs(n, o)
     return rounded(Q.clique_persistence(Q.find_cliques(e, list(ABC)), list(ABC), n, e), 5)
 
@@ -89,8 +109,7 @@ def _disruption(spark: SparkSession, d: str) -> DataFrame:
     return Q.species_disruption(Q.clique_stability(e, list(ABC), Q.find_cliques(e, list(ABC)), max_k=1)[0])
 
 
-@query("slot_jaccard", upto("expr", """select least(x.gene, y.gene) as g1, greatest(x.gene, y.gene) as g2, round(case when x.gene is null then 0 else (cast(x.hog = y.hog as integer) + cast(x.label = y.label as integer)) / 2 end, 6) as jaccard
-  from expr x join expr y on x.gene < y.gene and x.label = y.label and x.label < 2""", species="0"))
+@query("slot_jaccard")
 def _slot(spark: SparkSession, d: str) -> DataFrame:
     """Every clique of two species or more against its group's cliques at a raised threshold."""
     n, o, species = nets(spark, d, SPECIES), orthologs(spark, d, SPECIES), list(SPECIES)
@@ -154,14 +173,14 @@ def _sweep_sql() -> str:
 
 @query("clique_threshold_sweep", _sweep_sql())
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    n, o = nets(spark, d), orthologs(spark, d)
+    n, o = nets(spark, d, ABC), orthologs(spark, d, ABC)
     return rounded(Q.clique_threshold_sweep(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o, list(_STEPS))[1])
 
 
 @query("clique_perturbation")
 def _perturb(spark: SparkSession, d: str) -> DataFrame:
-    n, o = nets(spark, d), orthologs(spark, d)
-    return rounded(Q.clique_perturbation_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o))
+    n, o = nets(spark, d, SPECIES), orthologs(spark, d, SPECIES)
+    return rounded(Q.clique_perturbation_test(Q.find_cliques(find_coexpressologs(n, o), list(SPECIES)), list(SPECIES), n, o))
 
 
 def _intensity_sql() -> str:
@@ -177,6 +196,6 @@ def _intensity_sql() -> str:
 
 @query("clique_intensity_test", _intensity_sql())
 def _intensity(spark: SparkSession, d: str) -> DataFrame:
-    n, o = nets(spark, d), orthologs(spark, d)
+    n, o = nets(spark, d, ABC), orthologs(spark, d, ABC)
     t = rounded(Q.clique_intensity_test(Q.find_cliques(find_coexpressologs(n, o), list(ABC)), list(ABC), n, o))
     return t.withColumn("z", F.round("z", 4))

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import comparison as C, network as N, similarity as S
 from ..sources import orthologs as O
-from ..sources.planted import expression, traits
+from ..sources.planted import SPECIES, expression, traits
 from ..sources.tables import table
 from .sql import lower, q_sql, upper, upto
 
-AB = ("SP_A", "SP_B")
 ABC = ("SP_A", "SP_B", "SP_C")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,11 +27,11 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def nets(spark: SparkSession, d: str, species=ABC, **kw) -> N.Networks:
+def nets(spark: SparkSession, d: str, species=SPECIES, **kw) -> N.Networks:
     return N.compute_network(expression(spark, d, species), **kw)
 
 
-def orthologs(spark: SparkSession, d: str, species=ABC) -> DataFrame:
+def orthologs(spark: SparkSession, d: str, species=SPECIES) -> DataFrame:
     return O.extract_orthologs(expression(spark, d, species).select("species", "gene", "hog"))
 
 
@@ -64,7 +63,7 @@ def _long(spark: SparkSession, d: str) -> DataFrame:
 
 @query("extract_orthologs", upto("ortho", "select sp1, sp2, gene1, gene2, hog from ortho"))
 def _extract(spark: SparkSession, d: str) -> DataFrame:
-    return orthologs(spark, d, ("SP_A", "SP_B", "SP_C", "SP_D"))
+    return orthologs(spark, d)
 
 
 @query("prepare_orthologs", upto("expr", """select distinct a.species as sp1, b.species as sp2, a.gene as gene1, b.gene as gene2, a.hog
@@ -75,15 +74,15 @@ def _prepare(spark: SparkSession, d: str) -> DataFrame:
     return O.prepare_orthologs(rows, rows.join(first, ["species", "hog"]).select("species", F.col("gene").alias("original"), "representative"))
 
 
-@query("var_filter", upto("expr", "select species, gene, round(list_var_samp(v), 6) as variance from expr where list_var_samp(v) > 0.03", species="0, 1"))
+@query("var_filter", upto("expr", "select species, gene, round(list_var_samp(v), 6) as variance from expr where list_var_samp(v) > 0.03"))
 def _var(spark: SparkSession, d: str) -> DataFrame:
-    p = S.variance_filter(expression(spark, d, AB), 0.03)
+    p = S.variance_filter(expression(spark, d), 0.03)
     return p.select("species", "gene", F.round(S.sample_variance("values"), 6).alias("variance"))
 
 
-@query("pearson_pairs", upto("r", "select species, i, j, round(r + 3e-11, 8) + 0.0 as r from r", species="0"))
+@query("pearson_pairs", upto("r", "select species, i, j, round(r + 3e-11, 8) + 0.0 as r from r"))
 def _pearson(spark: SparkSession, d: str) -> DataFrame:
-    return S.correlations(expression(spark, d, ("SP_A",))).withColumn("r", F.round(F.col("r") + 3e-11, 8) + F.lit(0.0))
+    return S.correlations(expression(spark, d)).withColumn("r", F.round(F.col("r") + 3e-11, 8) + F.lit(0.0))
 
 
 _SPEARMAN = [
@@ -94,42 +93,48 @@ _SPEARMAN = [
 ]
 
 
-@query("spearman_pairs", upto("expr", "select a.species, a.gene as i, b.gene as j, round(abs(list_dot_product(a.z, b.z)), 7) + 0.0 as r from zs a join zs b on a.species = b.species and a.gene < b.gene", species="0", extra=_SPEARMAN))
+@query("spearman_pairs", upto("expr", "select a.species, a.gene as i, b.gene as j, round(abs(list_dot_product(a.z, b.z)), 7) + 0.0 as r from zs a join zs b on a.species = b.species and a.gene < b.gene", extra=_SPEARMAN))
 def _spearman(spark: SparkSession, d: str) -> DataFrame:
-    return S.correlations(expression(spark, d, ("SP_A",)), "spearman", absolute=True).withColumn("r", F.round("r", 7) + F.lit(0.0))
+    return S.correlations(expression(spark, d), "spearman", absolute=True).withColumn("r", F.round("r", 7) + F.lit(0.0))
 
 
-@query("mutual_rank_raw", upto("w", "select species, i, j, round(w, 6) as w from w", species="0, 1"))
+@query("mutual_rank_raw", upto("w", "select species, i, j, round(w, 6) as w from w"))
 def _mr(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(N.mutual_rank(S.correlations(expression(spark, d, AB))))
+    return rounded(N.mutual_rank(S.correlations(expression(spark, d))))
 
 
-@query("mutual_rank_log", upto("sym", "select species, g as i, nb as j, round(least(1.0, greatest(0.0, 1 - ln(sqrt(a.k * b.k)) / ln(n))), 6) as w from rd a join (select species, g as nb, nb as g, k from rd) b using (species, g, nb) join nn using (species) where g < nb",
-  species="0", extra=[("rd", "select *, rank() over (partition by species, g order by r desc) + (count(*) over (partition by species, g, r) - 1) / 2 as k from sym"), ("nn", "select species, count(distinct g) as n from sym group by species")]))
+@query("mutual_rank_log", upto("sym", "select a.species, a.g as i, a.nb as j, round(least(1.0, greatest(0.0, 1 - ln(sqrt(a.k * b.k)) / ln(nn.n))), 6) as w from rd a join rd b on a.species = b.species and a.g = b.nb and a.nb = b.g join nn on nn.species = a.species where a.g < a.nb",
+  extra=[("rd", "select *, rank() over (partition by species, g order by r desc) + (count(*) over (partition by species, g, r) - 1) / 2 as k from sym"), ("nn", "select species, count(distinct g) as n from sym group by species")]))
 def _mr_log(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(N.mutual_rank(S.correlations(expression(spark, d, ("SP_A",))), log_transform=True))
+    return rounded(N.mutual_rank(S.correlations(expression(spark, d)), log_transform=True))
 
 
 @query("clr", upto("sym", "select r.species, i, j, round(sqrt(power(greatest(0, (r - a.mu) / a.sd), 2) + power(greatest(0, (r - b.mu) / b.sd), 2)), 6) as w from r join ms a on a.species = r.species and a.g = i join ms b on b.species = r.species and b.g = j",
-  species="0", extra=[("ms", "select species, g, avg(r) as mu, case when stddev_samp(r) < 1e-10 then 1 else stddev_samp(r) end as sd from sym group by all")]))
+  extra=[("ms", "select species, g, avg(r) as mu, case when stddev_samp(r) < 1e-10 then 1 else stddev_samp(r) end as sd from sym group by all")]))
 def _clr(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(N.clr(S.correlations(expression(spark, d, ("SP_A",)))))
+    return rounded(N.clr(S.correlations(expression(spark, d))))
 
 
 @query("density_threshold", upto("thr", "select species, round(threshold, 6) as threshold, n_pairs from thr"))
 def _threshold(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(nets(spark, d, ("SP_A", "SP_B", "SP_C", "SP_D")).thresholds)
+    return rounded(nets(spark, d).thresholds)
 
 
-@query("adjacency_degree", upto("nbr", "select species, g, count(*) as degree, round(sum(w), 4) as strength from nbr group by all", species="0, 1"))
+@query("density_threshold_blocks", upto("thr", "select species, round(threshold, 6) as threshold, n_pairs from thr"))
+def _threshold_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The way of species above LOCAL_GENES: correlations in blocks, ranks by windows."""
+    return rounded(nets(spark, d, local_genes=0).thresholds)
+
+
+@query("adjacency_degree", upto("nbr", "select species, g, count(*) as degree, round(sum(w), 4) as strength from nbr group by all"))
 def _degree(spark: SparkSession, d: str) -> DataFrame:
-    return nets(spark, d, AB).neighbours().groupBy("species", "g").agg(F.count("*").alias("degree"), F.round(F.sum("w"), 4).alias("strength"))
+    return nets(spark, d).neighbours().groupBy("species", "g").agg(F.count("*").alias("degree"), F.round(F.sum("w"), 4).alias("strength"))
 
 
 _CMP = ", ".join(f"{a}{i} as sp{i}_{b}" if a in "mkx" else f"round({a}{i}, 6) as sp{i}_{b}" for i in (1, 2) for a, b in (("m", "neigh"), ("k", "ortho_neigh"), ("x", "overlap"), ("pc", "p_con"), ("pd", "p_div"), ("e", "effect"), ("j", "jaccard")))
 
 
-@query("compare_neighborhoods", upto("cmp", f"select sp1, sp2, hog, gene1, gene2, {_CMP} from cmp", species="0, 1, 2"))
+@query("compare_neighborhoods", upto("cmp", f"select sp1, sp2, hog, gene1, gene2, {_CMP} from cmp"))
 def _compare(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.compare_neighborhoods(nets(spark, d), orthologs(spark, d)))
 
@@ -144,9 +149,9 @@ def _tails(spark: SparkSession, d: str) -> DataFrame:
     return t.select("x", "m", "k", "n", F.round(hypergeom_upper(*a), 8).alias("upper"), F.round(hypergeom_lower(*a), 8).alias("lower"))
 
 
-@query("storey_qvalues", upto("q2_t", "select sp1, sp2, hog, gene1, gene2, round(q1, 6) as q1, round(q2, 6) as q2 from kept join q1_t using (sp1, sp2, pc1) join q2_t using (sp1, sp2, pc2)", species="0, 1"))
+@query("storey_qvalues", upto("q2_t", "select sp1, sp2, hog, gene1, gene2, round(q1, 6) as q1, round(q2, 6) as q2 from kept join q1_t using (sp1, sp2, pc1) join q2_t using (sp1, sp2, pc2)"))
 def _storey(spark: SparkSession, d: str) -> DataFrame:
-    r = C.summarize_comparison(C.compare_neighborhoods(nets(spark, d, AB), orthologs(spark, d, AB)))
+    r = C.summarize_comparison(C.compare_neighborhoods(nets(spark, d), orthologs(spark, d)))
     return rounded(r.select(*C.ROW, "q1", "q2"))
 
 
@@ -155,7 +160,7 @@ def _level(name: str, key: str | None) -> str:
     return f"select sp1, sp2, '{name}' as level, count(*) filter (q1 < 0.05) as n_sp1, count(*) filter (q2 < 0.05) as n_sp2, count(*) filter (qr < 0.05) as n_reciprocal, count(*) as n_total from {src} group by sp1, sp2"
 
 
-@query("summarize_pairs", upto("edges", " union all ".join([_level("pairs", None), *[_level(k, k) for k in ("gene1", "gene2", "hog")]]), species="0, 1, 2", extra=[("s", "select species1 as sp1, species2 as sp2, hog, gene1, gene2, q1, q2, greatest(q1, q2) as qr from edges")]))
+@query("summarize_pairs", upto("edges", " union all ".join([_level("pairs", None), *[_level(k, k) for k in ("gene1", "gene2", "hog")]]), extra=[("s", "select species1 as sp1, species2 as sp2, hog, gene1, gene2, q1, q2, greatest(q1, q2) as qr from edges")]))
 def _summary(spark: SparkSession, d: str) -> DataFrame:
     return C.summary_counts(C.summarize_comparison(C.compare_neighborhoods(nets(spark, d), orthologs(spark, d))))
 
@@ -163,33 +168,33 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 _EDGE = "select gene1, gene2, species1, species2, hog, round(q, 6) as q_value, round(eff, 6) as effect_size, round(jac, 6) as jaccard, type from edges"
 
 
-@query("coexpressologs", upto("edges", _EDGE, species="0, 1, 2"))
+@query("coexpressologs", upto("edges", _EDGE))
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.find_coexpressologs(nets(spark, d), orthologs(spark, d)))
 
 
-@query("diverged_pairs", upto("cmp", "select gene1, gene2, sp1 as species1, sp2 as species2, hog, round(least(q1, q2), 6) as q_value, case when least(q1, q2) < 0.05 then 'diverged' else 'ns' end as type from cmp join q1_t using (sp1, sp2, pd1) join q2_t using (sp1, sp2, pd2)", species="0, 1",
+@query("diverged_pairs", upto("cmp", "select gene1, gene2, sp1 as species1, sp2 as species2, hog, round(least(q1, q2), 6) as q_value, case when least(q1, q2) < 0.05 then 'diverged' else 'ns' end as type from cmp join q1_t using (sp1, sp2, pd1) join q2_t using (sp1, sp2, pd2)",
   extra=[*q_sql("cmp", "sp1, sp2", "pd1", "q1"), *q_sql("cmp", "sp1, sp2", "pd2", "q2")]))
 def _diverged(spark: SparkSession, d: str) -> DataFrame:
-    e = C.find_coexpressologs(nets(spark, d, AB), orthologs(spark, d, AB), alternative="less")
+    e = C.find_coexpressologs(nets(spark, d), orthologs(spark, d), alternative="less")
     return rounded(e.select("gene1", "gene2", "species1", "species2", "hog", "q_value", "type"))
 
 
-_SWEEP = (0.95, 1.0, 1.05)
+_SWEEP = tuple(round(0.95 + 0.01 * k, 2) for k in range(11))
 
 
 def _sweep_sql() -> str:
-    parts = [f"select * from ({upto('edges', f'select cast({m} as double) as multiplier, (select round(avg(d), 6) from (select count(nbr.g) / 2 / any_value(n_pairs) as d from thr left join nbr using (species) group by species)) as density, count(*) as n_edges, count(*) filter (type <> {chr(39)}ns{chr(39)}) as n_significant from edges', species='0, 1', mult=str(m))})" for m in _SWEEP]
+    parts = [f"select * from ({upto('edges', f'select cast({m} as double) as multiplier, (select round(avg(d), 6) from (select count(nbr.g) / 2 / any_value(n_pairs) as d from thr left join nbr using (species) group by species)) as density, count(*) as n_edges, count(*) filter (type <> {chr(39)}ns{chr(39)}) as n_significant from edges', mult=str(m))})" for m in _SWEEP]
     return " union all ".join(parts)
 
 
 @query("density_sweep", _sweep_sql())
 def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    return C.sweep_summary(*C.density_sweep(nets(spark, d, AB), orthologs(spark, d, AB), list(_SWEEP), "analytical"))
+    return C.sweep_summary(*C.density_sweep(nets(spark, d), orthologs(spark, d), list(_SWEEP), "analytical"))
 
 
 @query("coexpressed_hogs", upto("edges", """select a.hog, n_species, species, traits, round(mean_weight, 4) as mean_weight, conserved, round(mean_effect, 4) as mean_effect, round(min_q, 6) as min_q
-  from agg a left join (select hog, bool_or(type = 'conserved') as conserved, avg(eff) as mean_effect, min(q) as min_q from edges group by hog) x on a.hog = x.hog""", species="0, 1, 2", extra=[
+  from agg a left join (select hog, bool_or(type = 'conserved') as conserved, avg(eff) as mean_effect, min(q) as min_q from edges group by hog) x on a.hog = x.hog""", extra=[
     ("cand", "select species, gene as g from expr where hog = 'H10'"),
     ("part", "select distinct n.species, n.nb from nbr n join cand using (species, g) where (n.species, n.nb) not in (select (species, g) from cand)"),
     ("every", "select species, i as g, j as nb, w from w union all select species, j, i, w from w"),
@@ -198,5 +203,5 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
 ]))
 def _partners(spark: SparkSession, d: str) -> DataFrame:
     n, o = nets(spark, d), orthologs(spark, d)
-    hogs = expression(spark, d, ABC).select("species", "gene", "hog")
+    hogs = expression(spark, d).select("species", "gene", "hog")
     return rounded(rounded(C.coexpressed_hogs("H10", n, hogs, traits(spark), edges=C.find_coexpressologs(n, o)), 6).withColumns({c: F.round(c, 4) for c in ("mean_weight", "mean_effect")}))

@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.stats import adjusted_rand
 from ..operators import comparison as C, modules as M, permutation as P
 from ..sources.planted import SPECIES, expression, traits
-from .gene_queries import AB, ABC, nets, orthologs, rounded
-from .sql import q_sql, upper, upto
+from .gene_queries import nets, orthologs, rounded
+from .sql import discrete_q_sql, q_sql, upper, upto
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-N_PERM, H = 20, 5  # of the SQL alone; queries have the operators' defaults
+N_PERM, H = 10_000, 50  # the operators' defaults
 
 
 def query(name: str, oracle: str | None = None):
@@ -27,11 +27,11 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def members(spark: SparkSession, d: str, species=AB) -> DataFrame:
+def members(spark: SparkSession, d: str, species=SPECIES) -> DataFrame:
     return expression(spark, d, species).select("species", "gene", (F.col("label") + 1).cast("int").alias("module"))
 
 
-def scans(spark: SparkSession, d: str, species=AB) -> DataFrame:
+def scans(spark: SparkSession, d: str, species=SPECIES) -> DataFrame:
     """Three memberships: labels, labels modulo 5, modulo 2."""
     r = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("resolution"), F.lit(m).alias("m")) for k, m in ((1, 2), (2, 5), (3, 10))]))
     return expression(spark, d, species).select("species", "gene", "label", r.alias("r")).select("species", "r.resolution", "gene", (F.col("label") % F.col("r.m")).cast("int").alias("module"))
@@ -48,9 +48,9 @@ _FE = [
 ]
 
 
-@query("fe_matrix", upto("md", "select sp1, sp2, a, b, round(fe, 6) as fe from fe", species="0, 1", extra=_FE))
+@query("fe_matrix", upto("md", "select sp1, sp2, a, b, round(fe, 6) as fe from fe", extra=_FE))
 def _fe(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(P.fold_enrichment(nets(spark, d, AB), orthologs(spark, d, AB)))
+    return rounded(P.fold_enrichment(nets(spark, d), orthologs(spark, d)))
 
 
 _HOG = [
@@ -69,16 +69,16 @@ _HOG = [
 
 
 def _hog_tests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n, o = nets(spark, d, AB), orthologs(spark, d, AB)
+    n, o = nets(spark, d), orthologs(spark, d)
     c = C.compare_neighborhoods(n, o)
     return c, P.permutation_hog_test(n, o, c, seed=7)
 
 
 @query("hog_permutation", upto("cmp", """select i.sp1, i.sp2, i.hog, n_pairs, n_sp1, n_sp2, round(t_obs, 5) as t_obs, cast(coalesce(n_perm, 0) as integer) as n_perm, cast(coalesce(n_exceed, 0) as integer) as n_exceed, round(mean_eff, 5) as mean_eff,
-  round(case when n_perm is null then 1.0 else (n_exceed + 1) / (n_perm + 1) end, 6) as p_value from info i join obs using (sp1, sp2, hog) left join sq using (sp1, sp2, hog)""", species="0, 1", extra=_HOG))
+  round(p, 6) as p_value, round(q, 6) as q_value from hp i join hq_t using (sp1, sp2, p)""", extra=[*_HOG, ("hp", "select i.*, t_obs, n_perm, n_exceed, case when n_perm is null then 1.0 else (n_exceed + 1) / (n_perm + 1) end as p from info i join obs using (sp1, sp2, hog) left join sq using (sp1, sp2, hog)"), *discrete_q_sql("hp", "sp1, sp2", "p", "hq", H, N_PERM)]))
 def _hog(spark: SparkSession, d: str) -> DataFrame:
-    t = _hog_tests(spark, d)[1].drop("q_value")
-    return t.select(*[F.round(c, 6 if c == "p_value" else 5).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes])
+    t = _hog_tests(spark, d)[1]
+    return t.select(*[F.round(c, 6 if c[1:] == "_value" else 5).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes])
 
 
 @query("permutation_edges")
@@ -89,10 +89,10 @@ def _perm_edges(spark: SparkSession, d: str) -> DataFrame:
 @query("coclassification", upto("nbr", """select species, i, j, round(o, 6) as observed, round(x, 6) as expected, round(greatest(o - x, 0), 6) as excess from (
   select e.species, e.i, e.j, avg(cast(a.module = b.module as integer)) as o, avg(case when a.module = b.module then power(sz.s / nn.n, 2) else 0.0 end) as x
   from e1 e join scans a on a.species = e.species and a.gene = e.i join scans b on b.species = e.species and b.gene = e.j and b.resolution = a.resolution
-  join sz on sz.species = a.species and sz.resolution = a.resolution and sz.module = a.module join nn on nn.species = a.species group by all)""", species="0, 1",
+  join sz on sz.species = a.species and sz.resolution = a.resolution and sz.module = a.module join nn on nn.species = a.species group by all)""",
   extra=[_SCANS, _INNER, ("sz", "select species, resolution, module, count(*) as s from scans group by all"), ("nn", "select species, count(*) as n from expr group by all")]))
 def _co(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.coclassification(scans(spark, d), M.thresholded(nets(spark, d, AB))))
+    return rounded(M.coclassification(scans(spark, d), M.thresholded(nets(spark, d))))
 
 
 _C2 = "({0} * ({0} - 1) / 2)"
@@ -101,7 +101,7 @@ _C2 = "({0} * ({0} - 1) / 2)"
 @query("adjusted_rand", upto("expr", f"""select species, resolution, n_modules, round(case when n < 2 or (sa + sb) / 2 = sa * sb / {_C2.format('n')} then 1.0 else (sij - sa * sb / {_C2.format('n')}) / ((sa + sb) / 2 - sa * sb / {_C2.format('n')}) end, 6) as ari_next
   from nm left join (select c.species, c.resolution, sij, n, sa, sb from
   (select species, resolution, sum({_C2.format('n')}) as sij, cast(sum(n) as double) as n from cells group by all) c join (select species, resolution, sum({_C2.format('n')}) as sa from (select species, resolution, a, cast(sum(n) as double) as n from cells group by all) group by all) x using (species, resolution)
-  join (select species, resolution, sum({_C2.format('n')}) as sb from (select species, resolution, b, cast(sum(n) as double) as n from cells group by all) group by all) y using (species, resolution)) using (species, resolution)""", species="0, 1",
+  join (select species, resolution, sum({_C2.format('n')}) as sb from (select species, resolution, b, cast(sum(n) as double) as n from cells group by all) group by all) y using (species, resolution)) using (species, resolution)""",
   extra=[_SCANS, ("cells", "select x.species, x.resolution, x.module as a, y.module as b, cast(count(*) as double) as n from scans x join scans y on x.species = y.species and x.gene = y.gene and y.resolution = x.resolution + 1 group by all"), ("nm", "select species, resolution, count(distinct module) as n_modules from scans group by all")]))
 def _ari(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.resolution_scan(scans(spark, d)))
@@ -109,10 +109,10 @@ def _ari(spark: SparkSession, d: str) -> DataFrame:
 
 @query("modularity", upto("nbr", """select c.species, c.resolution, round(sum(l / m - power(d / (2 * m), 2)), 6) as modularity from (
     select species, resolution, c, sum(l) as l, count(*) as d from (select species, resolution, a as c, case when a = b then 1 else 0 end as l from em union all select species, resolution, b, 0 from em) group by all) c
-  join (select species, resolution, cast(count(*) as double) as m from em group by all) using (species, resolution) group by all""", species="0, 1",
+  join (select species, resolution, cast(count(*) as double) as m from em group by all) using (species, resolution) group by all""",
   extra=[_SCANS, _INNER, ("em", "select e.species, a.resolution, a.module as a, b.module as b from e1 e join scans a on a.species = e.species and a.gene = e.i join scans b on b.species = e.species and b.gene = e.j and b.resolution = a.resolution")]))
 def _modularity(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.modularity(scans(spark, d), M.thresholded(nets(spark, d, AB))))
+    return rounded(M.modularity(scans(spark, d), M.thresholded(nets(spark, d))))
 
 
 _MP = [
@@ -135,26 +135,26 @@ _MP = [
 ]
 
 
-@query("module_overlap_hyper", upto("ortho", "select sp1, sp2, module1, module2, k as size1, m as size2, x as overlap, n as universe, round(jac, 6) as jaccard, round(p, 8) as p_value, round(qm, 6) as q_value from mq", species="0, 1, 2", extra=_MP))
+@query("module_overlap_hyper", upto("ortho", "select sp1, sp2, module1, module2, k as size1, m as size2, x as overlap, n as universe, round(jac, 6) as jaccard, round(p, 8) as p_value, round(qm, 6) as q_value from mq", extra=_MP))
 def _hyper(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.compare_modules(members(spark, d, ABC), orthologs(spark, d)), 6).withColumn("p_value", F.col("p_value"))
+    return rounded(M.compare_modules(members(spark, d), orthologs(spark, d)), 6).withColumn("p_value", F.col("p_value"))
 
 
 ORACLES["module_overlap_hyper"] = ORACLES["module_overlap_hyper"].replace("round(p, 8)", "round(p, 6)")
 
 
-@query("best_matches", upto("ortho", "select sp1, sp2, direction, module, best_match, round(p, 6) as p_value, round(qm, 6) as q_value, round(jac, 6) as jaccard, n_significant from bm0 where rn = 1", species="0, 1", extra=_MP))
+@query("best_matches", upto("ortho", "select sp1, sp2, direction, module, best_match, round(p, 6) as p_value, round(qm, 6) as q_value, round(jac, 6) as jaccard, n_significant from bm0 where rn = 1", extra=_MP))
 def _best(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.best_matches(M.compare_modules(members(spark, d), orthologs(spark, d, AB))))
+    return rounded(M.best_matches(M.compare_modules(members(spark, d), orthologs(spark, d))))
 
 
-@query("classify_modules", upto("ortho", "select * from cl", species="0, 1", extra=_MP))
+@query("classify_modules", upto("ortho", "select * from cl", extra=_MP))
 def _classify(spark: SparkSession, d: str) -> DataFrame:
-    return M.classify_modules(M.compare_modules(members(spark, d), orthologs(spark, d, AB)))
+    return M.classify_modules(M.compare_modules(members(spark, d), orthologs(spark, d)))
 
 
 @query("module_jaccard_perm", upto("ortho", f"""select sp1, sp2, module1, module2, x as overlap, round(jac, 6) as jaccard, cast(coalesce(n_perm, 0) as integer) as n_perm, cast(coalesce(n_exceed, 0) as integer) as n_exceed,
-    round(case when n_perm is null then 1.0 else (n_exceed + 1) / (n_perm + 1) end, 6) as p_value from mp left join sq using (sp1, sp2, module1, module2)""", species="0, 1", extra=[*_MP,
+    round(pj, 6) as p_value, round(q, 6) as q_value from jp join jq_t using (sp1, sp2, pj)""", extra=[*_MP,
     ("ev", f"select * from mr cross join (select unnest(range(1, {N_PERM} + 1)) as perm)"),
     ("lf", "select perm, sp1, sp2, module1, row_number() over (partition by perm, sp1, sp2 order by gene1, gene2) as slot from ev"),
     ("rt", "select perm, sp1, sp2, gene2, module2, row_number() over (partition by perm, sp1, sp2 order by md5(concat_ws('|', '3', perm, gene1 || ':' || gene2)), gene1, gene2) as slot from ev"),
@@ -164,10 +164,12 @@ def _classify(spark: SparkSession, d: str) -> DataFrame:
     ("gr", f"select sp1, sp2, module1, module2, jac, m, perm from mp cross join (select unnest(range(1, {N_PERM} + 1)) as perm) where jac > 0"),
     ("fl", "select g.*, sum(cast(coalesce(round(dx.x / (dk.k + g.m - dx.x), 9) >= round(g.jac, 9), false) as integer)) over (partition by g.sp1, g.sp2, g.module1, g.module2 order by g.perm) as cum from gr g left join dx on dx.perm = g.perm and dx.sp1 = g.sp1 and dx.sp2 = g.sp2 and dx.module1 = g.module1 and dx.module2 = g.module2 left join dk on dk.perm = g.perm and dk.sp1 = g.sp1 and dk.sp2 = g.sp2 and dk.module1 = g.module1"),
     ("sq", f"select sp1, sp2, module1, module2, coalesce(min(perm) filter (cum >= {H}), max(perm)) as n_perm, least(max(cum), {H}) as n_exceed from fl group by all"),
+    ("jp", "select mp.*, n_perm, n_exceed, case when n_perm is null then 1.0 else (n_exceed + 1) / (n_perm + 1) end as pj from mp left join sq using (sp1, sp2, module1, module2)"),
+    *discrete_q_sql("jp", "sp1, sp2", "pj", "jq", H, N_PERM),
 ]))
 def _jac_perm(spark: SparkSession, d: str) -> DataFrame:
-    t = M.compare_modules(members(spark, d), orthologs(spark, d, AB), "jaccard", seed=3)
-    return rounded(t.select("sp1", "sp2", "module1", "module2", "overlap", "jaccard", "n_perm", "n_exceed", "p_value"))
+    t = M.compare_modules(members(spark, d), orthologs(spark, d), "jaccard", seed=3)
+    return rounded(t.select("sp1", "sp2", "module1", "module2", "overlap", "jaccard", "n_perm", "n_exceed", "p_value", "q_value"))
 
 
 _DENS = [_MEM, _INNER,
@@ -175,14 +177,14 @@ _DENS = [_MEM, _INNER,
     ("ms", "select species, module, count(*) as s from mem group by all")]
 
 
-@query("module_density", upto("nbr", "select d.species, mi, mj, n_edges, round(n_edges / (a.s * b.s), 6) as density from dn d join ms a on a.species = d.species and a.module = mi join ms b on b.species = d.species and b.module = mj", species="0, 1", extra=_DENS))
+@query("module_density", upto("nbr", "select d.species, mi, mj, n_edges, round(n_edges / (a.s * b.s), 6) as density from dn d join ms a on a.species = d.species and a.module = mi join ms b on b.species = d.species and b.module = mj", extra=_DENS))
 def _density(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(M.module_density(members(spark, d), M.thresholded(nets(spark, d, AB))))
+    return rounded(M.module_density(members(spark, d), M.thresholded(nets(spark, d))))
 
 
 @query("coarsen_modules")
 def _coarsen(spark: SparkSession, d: str) -> DataFrame:
-    return M.coarsen_modules(members(spark, d), M.thresholded(nets(spark, d, AB)), 5)
+    return M.coarsen_modules(members(spark, d), M.thresholded(nets(spark, d)), 5)
 
 
 def _contrasts(spark: SparkSession) -> DataFrame:
@@ -206,7 +208,7 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     return M.paired_summary(got.classification)
 
 
-_SPEC = ("cs", "select case sp1 || sp2 when 'SP_ASP_B' then 'AB' else 'CD' end as pair_name, species, module, case when module % 3 = 0 then 'species_specific' else 'conserved' end as classification from cl where (sp1, sp2) in (('SP_A', 'SP_B'), ('SP_C', 'SP_D'))")
+_SPEC = ("cs", "select case sp1 || sp2 when 'SP_ASP_B' then 'AB' else 'CD' end as pair_name, species, module, classification from cl where (sp1, sp2) in (('SP_A', 'SP_B'), ('SP_C', 'SP_D'))")
 
 
 def _tag_recurring(labels: str, by: str) -> str:
@@ -214,13 +216,13 @@ def _tag_recurring(labels: str, by: str) -> str:
       join pool p on p.pair_name = o.pair_name and p.side = o.side group by {by} p.hog having count(*) >= 2"""
 
 
-@query("tag_permutation", upto("ortho", f"""select cast(n_observed as integer) as n_observed, {N_PERM} as n_perm, cast(case when n_observed = 0 then {N_PERM} else e end as integer) as n_exceed, round((case when n_observed = 0 then {N_PERM} else e end + 1) / ({N_PERM} + 1), 6) as p_value
+@query("tag_permutation", upto("ortho", f"""select cast(n_observed as integer) as n_observed, 1000 as n_perm, cast(case when n_observed = 0 then 1000 else e end as integer) as n_exceed, round((case when n_observed = 0 then 1000 else e end + 1) / 1001, 6) as p_value
   from (select (select count(*) from rec) as n_observed, (select count(*) from (select perm, count(*) as n from nul group by perm) where n >= (select count(*) from rec)) as e)""", extra=[*_MP, _SPEC,
     ("sd", "select * from (values ('AB', 'sp1', 'SP_A'), ('AB', 'sp2', 'SP_B'), ('CD', 'sp1', 'SP_C'), ('CD', 'sp2', 'SP_D')) as t(pair_name, side, species)"),
     ("pool", "select distinct c.pair_name, c.species as side, x.hog from cs c join sd s on s.pair_name = c.pair_name and s.side = c.species join mem m on m.species = s.species and m.module = c.module join expr x on x.species = m.species and x.gene = m.gene where c.classification = 'species_specific' and x.gene in (select gene1 from ortho union select gene2 from ortho)"),
     ("tr", "select * from (values ('SP_A', 'annual'), ('SP_B', 'perennial'), ('SP_C', 'annual'), ('SP_D', 'perennial')) as t(species, trait)"),
     ("rec", _tag_recurring("tr", "")),
-    ("ev", f"select species, perm from tr cross join (select unnest(range(1, {N_PERM} + 1)) as perm)"),
+    ("ev", "select species, perm from tr cross join (select unnest(range(1, 1001)) as perm)"),
     ("lb", "select s.perm, s.species, tr.trait from (select *, row_number() over (partition by perm order by species) as slot from ev) s join (select perm, species as drawn, row_number() over (partition by perm order by md5(concat_ws('|', '5', perm, species)), species) as slot from ev) r on r.perm = s.perm and r.slot = s.slot join tr on tr.species = r.drawn"),
     ("nul", _tag_recurring("lb", "l.perm,").replace("p.hog, count(*)", "p.hog, count(*)").replace("select l.perm, p.hog", "select o.perm, p.hog").replace("group by l.perm, p.hog", "group by o.perm, p.hog")),
 ]))
@@ -239,13 +241,13 @@ _HUBS = [_MEM, _INNER,
         row_number() over (partition by species, module order by round(degree, 7) desc, round(global_degree, 7) desc, round(mean_edge_weight, 7) desc, gene) <= greatest(1, ceil(0.1 * n)) as is_hub from hb0""")]
 
 
-def _hubs(spark: SparkSession, d: str, species=AB) -> DataFrame:
+def _hubs(spark: SparkSession, d: str, species=SPECIES) -> DataFrame:
     x = expression(spark, d, species)
     edges = M.thresholded(nets(spark, d, species))
     return M.identify_module_hubs(members(spark, d, species), edges, x.select("species", "gene", "hog"))
 
 
-@query("hub_cascade", upto("nbr", "select species, module, gene, hog, round(degree, 4) as degree, round(global_degree, 4) as global_degree, round(mean_edge_weight, 4) as mean_edge_weight, cast(rank as integer) as rank, is_hub from hb", species="0, 1", extra=_HUBS))
+@query("hub_cascade", upto("nbr", "select species, module, gene, hog, round(degree, 4) as degree, round(global_degree, 4) as global_degree, round(mean_edge_weight, 4) as mean_edge_weight, cast(rank as integer) as rank, is_hub from hb", extra=_HUBS))
 def _cascade(spark: SparkSession, d: str) -> DataFrame:
     h = _hubs(spark, d).select("species", "module", "gene", "hog", "degree", "global_degree", "mean_edge_weight", "rank", "is_hub")
     return rounded(h, 4)
@@ -273,15 +275,25 @@ def _hub_cons(spark: SparkSession, d: str) -> DataFrame:
     return M.classify_hub_conservation(_hubs(spark, d, SPECIES), traits(spark), pairs)
 
 
-@query("characterize_hubs", upto("nbr", """select h.species, h.module, h.gene, round(case when global_degree > 0 then greatest(0, least(1, 1 - degree / global_degree)) end, 5) as bridge_fraction,
-    cast(case when degree > 0 then 0.0 end as double) as bt_degree_ratio, round(list_stddev_samp(x.v) / abs(list_avg(x.v)), 3) as cv, an.label, hub_note from hb h join expr x using (species, gene) left join an on an.gene = h.gene""", species="0, 1", extra=[*_HUBS, ("an", "select gene, min(label) as label, min(hog) as hub_note from expr where label < 5 group by gene")]))
-def _character(spark: SparkSession, d: str) -> DataFrame:
-    x = expression(spark, d, AB)
+def _characterized(spark: SparkSession, d: str) -> DataFrame:
+    x = expression(spark, d)
     notes = x.where("label < 5").select("gene", "label", F.col("hog").alias("hub_note"))
     c = M.characterize_hubs(_hubs(spark, d), x, notes)
     return c.select("species", "module", "gene", F.round("bridge_fraction", 5).alias("bridge_fraction"), F.round("bt_degree_ratio", 5).alias("bt_degree_ratio"), F.round("cv", 3).alias("cv"), "label", "hub_note")
 
 
+@query("characterize_hubs")
+def _character(spark: SparkSession, d: str) -> DataFrame:
+    """All measures; those from shortest paths have no SQL."""
+    return _characterized(spark, d)
+
+
+@query("hub_bridges", upto("nbr", """select h.species, h.module, h.gene, round(case when global_degree > 0 then greatest(0, least(1, 1 - degree / global_degree)) end, 5) as bridge_fraction,
+    round(list_stddev_samp(x.v) / abs(list_avg(x.v)), 3) as cv, an.label, hub_note from hb h join expr x using (species, gene) left join an on an.gene = h.gene""", extra=[*_HUBS, ("an", "select gene, min(label) as label, min(hog) as hub_note from expr where label < 5 group by gene")]))
+def _bridges(spark: SparkSession, d: str) -> DataFrame:
+    return _characterized(spark, d).drop("bt_degree_ratio")
+
+
 @query("detect_modules")
 def _detect(spark: SparkSession, d: str) -> DataFrame:
     return M.partitions(nets(spark, d, SPECIES), "leiden", [0.5, 1.0, 1.5], "modularity")
@@ -309,6 +321,6 @@ def _structure(spark: SparkSession, d: str) -> DataFrame:
 
 @query("reduce_orthogroups", upto("z", """select x.species, x.gene, case when r >= 0.3 then least(x.gene, o.gene) else x.gene end as representative from expr x left join (
     select a.species, a.gene as gene, b.gene as other, list_dot_product(a.z, b.z) as r from z a join z b on a.species = b.species join expr xa on xa.species = a.species and xa.gene = a.gene join expr xb on xb.species = b.species and xb.gene = b.gene and xa.hog = xb.hog and a.gene <> b.gene) c
-  on c.species = x.species and c.gene = x.gene left join expr o on o.species = x.species and o.gene = c.other""", species="0, 1"))
+  on c.species = x.species and c.gene = x.gene left join expr o on o.species = x.species and o.gene = c.other"""))
 def _reduce(spark: SparkSession, d: str) -> DataFrame:
-    return M.reduce_orthogroups(expression(spark, d, AB), 0.3).select("species", "gene", "representative")
+    return M.reduce_orthogroups(expression(spark, d), 0.3).select("species", "gene", "representative")

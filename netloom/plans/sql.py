@@ -73,6 +73,20 @@ def q_sql(source: str, keys: str, p: str, q: str) -> list[tuple[str, str]]:
     ]
 
 
+def discrete_q_sql(source: str, keys: str, p: str, q: str, h: int, most: int) -> list[tuple[str, str]]:
+    """Tables up to ``<q>_t`` with (keys, p, q) of distinct sequential p-values of ``source`` (h exceedances, at most ``most`` draws)."""
+    return [
+        (f"{q}_u", f"select distinct s from (select ({h} + 1) / (t + 1) as s from (select unnest(range({h}, {most} + 1)) as t) union all select j / ({most} + 1) from (select unnest(range(1, {h} + 1)) as j)) where s <= 0.5"),
+        (f"{q}_c", f"select {keys}, {p}, count(*) as c from {source} group by all"),
+        (f"{q}_m", f"select {keys}, sum(c) as m from {q}_c group by all"),
+        (f"{q}_e", f"select {keys}, s, coalesce(sum(c) filter ({p} > s + 1e-12), 0) / ((1 - s) * any_value(m)) as now from {q}_m join {q}_c using ({keys}) cross join {q}_u group by {keys}, s"),
+        (f"{q}_l", f"select *, lag(now) over (partition by {keys} order by s) as before from {q}_e"),
+        (f"{q}_0", f"select {keys}, least(1.0, coalesce(min_by(now, s) filter (now >= before), max_by(now, s))) as pi0 from {q}_l group by {keys}"),
+        (f"{q}_t", f"""select {keys}, {p}, case when m < 2 then {p} else least(1.0, min(pi0 * {p} * m / rk) over (partition by {keys} order by {p} desc)) end as q
+           from (select *, sum(c) over (partition by {keys} order by {p}) as rk from {q}_c) join {q}_0 using ({keys}) join {q}_m using ({keys})"""),
+    ]
+
+
 EDGES: list[tuple[str, str]] = [
     *q_sql("kept", "sp1, sp2", "pc1", "q1"),
     *q_sql("kept", "sp1, sp2", "pc2", "q2"),

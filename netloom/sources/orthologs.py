@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .tables import cut
+
 PAIRED = "sp1 string, sp2 string, gene1 string, gene2 string, hog string"
 
 
@@ -18,11 +20,10 @@ def parse_orthologs(groups: DataFrame, species1: str, species2: str, exact_prefi
     Rows of species1 are kept; hog is the dense index of their distinct gene_content in sorted order, taken before
     species2 is looked at; entries (split by ;) that contain species2 anywhere are kept (``exact_prefix``: only those
     whose code is species2), and their genes (behind the colon, split by comma) are emitted one per row.
-    The index comes from a join with numbered distinct contents; only these are sorted.
+    Only the distinct contents are sorted, in ranges that are numbered side by side.
     """
     rows = groups.where(F.col("species") == species1).where(F.col("gene_content").isNotNull())
-    distinct = rows.select("gene_content").distinct()
-    numbered = distinct.withColumn("hog", F.row_number().over(W.orderBy("gene_content")))
+    numbered = dense_index(rows.select("gene_content").distinct(), "gene_content", "hog")
     entry = F.explode(F.split("gene_content", ";"))
     e = rows.join(numbered, "gene_content").select("gene_id", "hog", entry.alias("entry"))
     e = e.where(F.split("entry", ":")[0] == species2) if exact_prefix else e.where(F.contains("entry", F.lit(species2)))
@@ -30,13 +31,22 @@ def parse_orthologs(groups: DataFrame, species1: str, species2: str, exact_prefi
     return e.select(F.col("gene_id").alias("Species1"), gene.alias("Species2"), F.col("hog").cast("string").alias("hog"))
 
 
-def long_to_profiles(data: DataFrame, species: str, gene: str, sample: str, value: str) -> DataFrame:
-    """(species, gene, samples, values): one row per gene, samples sorted; of a repeated (gene, sample) the greatest value counts.
+def dense_index(values: DataFrame, column: str, name: str) -> DataFrame:
+    """``values`` (distinct) with their place from 1 in sorted order: ranges are sorted and counted side by side, only their sizes meet."""
+    parts = cut(values.repartitionByRange(column).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # one row per range
+    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    at = F.row_number().over(W.partitionBy("_part").orderBy(column))
+    return parts.withColumn("_at", at).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_part", "_at", "_start")
+
+
+def long_to_profiles(data: DataFrame, species: str, gene: str, sample: str, value: str, order: str | None = None) -> DataFrame:
+    """(species, gene, samples, values): one row per gene, samples sorted; of a repeated (gene, sample) the value with the greatest ``order`` counts, without it the greatest value.
 
     Long tables become arrays, not one column per sample, so the number of samples is no limit. Genes lack samples they
     have no row for.
     """
-    one = data.groupBy(F.col(species).alias("species"), F.col(gene).alias("gene"), F.col(sample).alias("sample")).agg(F.max(value).alias("value"))
+    one = data.groupBy(F.col(species).alias("species"), F.col(gene).alias("gene"), F.col(sample).alias("sample")).agg((F.max(value) if order is None else F.max_by(value, F.struct(order, value))).alias("value"))
     packed = one.groupBy("species", "gene").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("x"))
     return packed.select("species", "gene", F.col("x.sample").alias("samples"), F.col("x.value").alias("values"))
 
@@ -44,6 +54,7 @@ def long_to_profiles(data: DataFrame, species: str, gene: str, sample: str, valu
 def extract_orthologs(rows: DataFrame, pairs: str = "sp1 < sp2") -> DataFrame:
     """Orthologs of all species pairs from (species, gene, hog): genes of a shared non-null hog, an equi-join on the group."""
     r = rows.where(F.col("hog").isNotNull())
+    # the result has every pair of a group; AQE splits the hot ones by their rows
     a = r.select(F.col("species").alias("sp1"), F.col("gene").alias("gene1"), "hog")
     b = r.select(F.col("species").alias("sp2"), F.col("gene").alias("gene2"), "hog")
     return a.join(b, "hog").where(pairs).select("sp1", "sp2", "gene1", "gene2", F.col("hog").cast("string").alias("hog"))
