@@ -204,4 +204,5 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
 def _partners(spark: SparkSession, d: str) -> DataFrame:
     n, o = nets(spark, d), orthologs(spark, d)
     hogs = expression(spark, d).select("species", "gene", "hog")
-    return rounded(rounded(C.coexpressed_hogs("H10", n, hogs, traits(spark), edges=C.find_coexpressologs(n, o)), 6).withColumns({c: F.round(c, 4) for c in ("mean_weight", "mean_effect")}))
+    c = C.coexpressed_hogs("H10", n, hogs, traits(spark), edges=C.find_coexpressologs(n, o))
+    return c.withColumns({**{x: F.round(x, 4) for x in ("mean_weight", "mean_effect")}, "min_q": F.round("min_q", 6)})

@@ -81,7 +81,8 @@ def _hog(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*[F.round(c, 6 if c[1:] == "_value" else 5).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes])
 
 
-@query("permutation_edges")
+@query("permutation_edges", upto("cmp", """select c.gene1, c.gene2, c.sp1 as species1, c.sp2 as species2, c.hog, round(q, 6) as q_value, round(sqrt(e1 * e2), 6) as effect_size, round(sqrt(j1 * j2), 6) as jaccard, case when q < 0.05 then 'conserved' else 'ns' end as type
+  from cmp c left join (select sp1, sp2, hog, q from hp join hq_t using (sp1, sp2, p)) t using (sp1, sp2, hog)""", extra=[*_HOG, ("hp", "select i.*, t_obs, n_perm, n_exceed, case when n_perm is null then 1.0 else (n_exceed + 1) / (n_perm + 1) end as p from info i join obs using (sp1, sp2, hog) left join sq using (sp1, sp2, hog)"), *discrete_q_sql("hp", "sp1, sp2", "p", "hq", H, N_PERM)]))
 def _perm_edges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(P.permutation_edges(*_hog_tests(spark, d)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     if app in _done:
         return
     root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp(prefix="netloom-code-")) / "netloom.zip"
+    folder = tempfile.mkdtemp(prefix="netloom-code-")  # on the driver, for as long as it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = Path(folder) / "netloom.zip"
     with zipfile.ZipFile(out, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))

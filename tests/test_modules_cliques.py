@@ -157,6 +157,84 @@ def test_kernel_against_brute_force():
             assert q == pytest.approx(best)
 
 
+@pytest.mark.parametrize("missing", [1, 2])
+def test_tolerant_kernel_against_brute_force(missing):
+    """With missing edges allowed: fewest missing, then least mean q; genes that no edge joins are no clique."""
+    from itertools import product
+
+    rng = np.random.default_rng(missing)
+    none = 0
+    for _ in range(40):
+        names = "ABC" if rng.random() < 0.5 else "ABCD"
+        rows = [(f"{s}{i}", s, f"{t}{j}", t, round(float(rng.random()), 3), 1.0, True) for s, t in combinations(names, 2) for i in range(2) for j in range(2) if rng.random() < 0.25]
+        edge, joined = {(r[0], r[2]): r[4] for r in rows}, {(r[1], r[3]) for r in rows}
+        genes = {s: sorted({g for r in rows for g, x in ((r[0], r[1]), (r[2], r[3])) if x == s}) for s in names}
+        here = [s for s in names if genes[s]]
+        want = {}
+        for size in range(2, len(here) + 1):
+            for sp in combinations(here, size):
+                if sum(p not in joined for p in combinations(sp, 2)) > missing:
+                    continue
+                options = []
+                for c in product(*[genes[s] for s in sp]):
+                    have = [edge[p] for p in combinations(c, 2) if p in edge]
+                    absent = size * (size - 1) // 2 - len(have)
+                    if have and absent <= missing:
+                        options.append((absent, sum(have) / len(have)))
+                    none += not have
+                if options:
+                    want[sp] = min(options)
+        got = {tuple(sorted(g)): (st["n_missing"], st["mean_q"]) for g, st in K.group_cliques(rows, 2, missing, (1.0, 0.0))}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert none
+
+
+def test_gene_cap(spark):
+    """The cap keeps the genes of a species with most pairs in the group, ties by name."""
+    rows = [("A1", f"B{k}", "A", "B", "H", 0.01 * k, 1.0, 0.5, "conserved") for k in range(1, 6)] + [("A2", "B5", "A", "B", "H", 0.001, 1.0, 0.5, "conserved"), ("A3", "B1", "A", "B", "H", 0.0001, 1.0, 0.5, "conserved")]
+    e = spark.createDataFrame(rows, EDGES)
+    best = lambda cap: Q.find_cliques(e, ["A", "B"], max_genes=cap).first()["genes"]
+    assert best(10) == ["A3", "B1"] and best(1) == ["A1", "B1"] and best(2) == ["A2", "B5"]
+
+
+def test_trait_annotation(spark):
+    c = spark.createDataFrame([("H1", 1, ["a", None, "c"]), ("H2", 1, ["a", "b", None]), ("H3", 1, [None, None, "c"])], "hog string, clique int, genes array<string>")
+    t = spark.createDataFrame([("A", "x"), ("B", "x"), ("B", "x"), ("C", "y"), ("Z", "y"), ("A", None)], "species string, trait string")
+    got = {r["hog"]: (r["species_present"], r["traits"], r["sole_rep"]) for r in Q.annotate_traits(c, ["A", "B", "C"], t).collect()}
+    assert got == {"H1": ("A,C", "x,y", False), "H2": ("A,B", "x", False), "H3": ("C", "y", True)}
+
+
+def test_variants_of_orthologs_are_compared_at_once(spark):
+    """Edges with a key are those of each variant on its own; networks aren't copied."""
+    from netloom.operators.comparison import find_coexpressologs
+
+    nets, o = star(spark)
+    every = Q.shuffled_orthologs(o, 3, 1)
+    cols = ["gene1", "gene2", "hog", "q_value", "type"]
+    got = sorted((r["variant"], *(str(r[c]) for c in cols)) for r in find_coexpressologs(nets, every, keys=["variant"]).collect())
+    want = sorted((v, *(str(r[c]) for c in cols)) for v in (1, 2, 3) for r in find_coexpressologs(nets, every.where(F.col("variant") == v).drop("variant")).collect())
+    assert got == want and got
+    for v in (1, 2, 3):
+        rows = every.where(F.col("variant") == v).collect()
+        assert sorted(r["gene2"] for r in rows) == sorted(f"B{k}" for k in range(1, 21)) and sorted(r["gene1"] for r in rows) == sorted(f"A{k}" for k in range(1, 21))
+
+
+def test_noise_has_a_bound(spark):
+    x = spark.range(20_000).select(Q.gaussian(1, F.col("id")).alias("g")).agg(F.max("g"), F.min("g"), F.avg("g"), F.stddev("g")).first()
+    assert max(x[0], -x[1]) < Q.MOST_NOISE and abs(x[2]) < 0.03 and abs(x[3] - 1) < 0.03
+
+
+def test_module_draws_in_batches(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    m = spark.createDataFrame([(s, f"{s}{k:02d}", int(k // 6) + 1) for s in "AB" for k in range(24)], "species string, gene string, module int")
+    o = spark.createDataFrame([("A", "B", f"A{k:02d}", f"B{int(rng.integers(24)) if k % 3 else k:02d}", f"H{k}") for k in range(24)], "sp1 string, sp2 string, gene1 string, gene2 string, hog string")
+    run = lambda: sorted(map(tuple, M.compare_modules(m, o, "jaccard", 4, 60, 1).select("module1", "module2", "n_perm", "n_exceed", "p_value", "q_value").collect()))
+    one = run()
+    monkeypatch.setattr(M, "batches", lambda most: P.batches(most, 5, 2))
+    assert run() == one and len(one) == 16 and len({r[2] for r in one}) > 2
+
+
 EDGES = "gene1 string, gene2 string, species1 string, species2 string, hog string, q_value double, effect_size double, jaccard double, type string"
 
 
@@ -236,7 +314,7 @@ def test_tag_permutation_takes_the_classification(spark, monkeypatch):
     ("module_jaccard_perm", M, "compare_modules", {"min_exceedances": 50, "max_permutations": 10_000}),
     ("tag_permutation", P, "tag_permutation", {"n_perm": 1000, "min_recurrence": 2}),
     ("structure_test", M, "structure_test", {"n_perm": 100, "alpha": 0.05}),
-    ("infomap_modules", M, "detect_modules", {"trials": 10}),
+    ("infomap_modules", M, "partitions", {"trials": 10}),
     ("clique_perturbation", Q, "clique_perturbation_test", {"n_boot": 100, "noise_sd": 0.1}),
     ("clique_intensity_test", Q, "clique_intensity_test", {"n_perm": 500, "alpha": 0.05}),
 ])
@@ -268,6 +346,27 @@ def test_queries_have_all_draws(spark, monkeypatch, name, module, operator, draw
     assert got.value.args[0] == draws
 
 
-@pytest.mark.parametrize("name", ["module_overlap_hyper", "hub_conservation", "cliques_3sp", "tag_permutation"])
+def test_conservation_breaks_ties(spark):
+    """Equal centralities: the gene with the greater effect, then the one of the group with the lesser q is the hub."""
+    m = spark.createDataFrame([("A", g, 1) for g in "pqrs"], "species string, gene string, module int")
+    e = spark.createDataFrame([("A", a, b, 1.0) for a, b in combinations("pqrs", 2)], "species string, i string, j string, w double")
+    hogs = spark.createDataFrame([("A", g, f"H{g}") for g in "pqrs"], "species string, gene string, hog string")
+    r = spark.createDataFrame([("A", "B", "Hq", "q", "x", 4.0, 4.0, 0.5, 0.4), ("A", "B", "Hr", "r", "y", 4.0, 4.0, 0.5, 0.01), ("A", "B", "Hs", "s", "z", 1.0, 1.0, 0.001, 0.001)], "sp1 string, sp2 string, hog string, gene1 string, gene2 string, sp1_effect double, sp2_effect double, q1 double, q2 double")
+    hub = lambda c: [x.gene for x in M.identify_module_hubs(m, e, hogs, c, top_n=1).where("is_hub").collect()]
+    assert hub(None) == ["p"] and hub(M.conservation(r, hogs)) == ["r"]
+
+
+def test_detection_result(spark):
+    nets, label = nets_of(spark)
+    d = M.detect_modules(nets, resolutions=[0.5, 1.0, 1.5], n_perm=20)
+    row = d.summary.first()
+    assert row.n_modules == 3 and 0.3 < row.modularity < 1 and d.structure.first().p_value < 0.06 and d.scan.count() == 3
+    one = M.detect_modules(nets, "infomap", trials=2)
+    assert one.scan is None and one.structure is None and one.summary.first().n_modules == 3
+    with pytest.raises(ValueError, match="leiden"):
+        M.detect_modules(nets, "sbm", [0.5, 1.0])
+
+
+@pytest.mark.parametrize("name", ["module_overlap_hyper", "hub_conservation", "hub_bridges", "cliques_3sp", "tag_permutation"])
 def test_sql(same, name):
     assert same(name) > 0
