@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import cut, table
 from .bpe import encoder
-from .tokens import VOCABULARY
+from .tokens import VOCABULARY, placed, sent
 
 CAPACITY = 2048
 #: Fill that a container needs to be emitted, by round; later rounds use the last.
@@ -77,9 +77,10 @@ def _chunks(items: list, most: int) -> Iterator[list]:
 
 def first_round(docs: DataFrame, key: str, text: str, capacity: int, vocabulary: str) -> DataFrame:
     """Measure, cut what exceeds the capacity, and pack each partition."""
+    name = sent(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(vocabulary).count
+        count = encoder(placed(name)).count
         items: list[tuple[int, list]] = []
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -151,5 +152,17 @@ def _p7(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p7_containers": _p7}
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers, tokens, the least number of containers that can hold them, unused places, greatest fill, texts without tokens."""
+    none = packed.agg(F.count_if(F.col("container").isNull()).alias("n_without_tokens"))
+    c = containers(packed, capacity).agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("unused"), F.lit(0)).alias("unused"), F.max("n_tokens").alias("most"))
+    least = F.ceil(F.col("n_tokens") / capacity).alias("least_possible")
+    return c.select("n_containers", "n_tokens", least, "unused", "most", none.scalar().alias("n_without_tokens"))
+
+
+def _p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill(cut(_p7(spark, d)))
+
+
+QUERIES = {"p7_containers": _p7, "p7_fill": _p7_fill}
 ORACLES: dict[str, str] = {}

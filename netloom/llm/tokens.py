@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
@@ -15,16 +17,30 @@ from .bpe import encoder
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def sent(spark: SparkSession, vocabulary: str) -> str:
+    """Send the vocabulary file with the job, so that only the driver needs it; its name on the executors."""
+    sc, name = spark.sparkContext, os.path.basename(vocabulary)
+    if name not in {os.path.basename(f) for f in sc.listFiles}:
+        sc.addFile(vocabulary)
+    return name
+
+
+def placed(name: str) -> str:
+    """Where a task finds a file that was sent."""
+    return SparkFiles.get(name)
+
+
 def encode_texts(docs: DataFrame, key: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids): the token ids of every whole text, without special tokens.
 
     Null and empty texts have an empty list; strings of special tokens in a text are ordinary text; rows with equal or
-    null keys stay separate rows; an empty table gives no rows; extra columns are ignored. The vocabulary file must be
-    readable by all executors.
+    null keys stay separate rows; an empty table gives no rows; extra columns are ignored. The vocabulary file is
+    sent with the job.
     """
+    name = sent(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_bytes
+        encode = encoder(placed(name)).encode_bytes
         for b in batches:
             rows = [encode(t) for t in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4

@@ -215,6 +215,9 @@ def test_packing(spark, task_items, monkeypatch):
         assert len(rs) == max(1, -(-size[k] // 1000)) and (size[k] > 0) == (rs[0].container is not None)
     assert len(by_bin) <= 1.1 * sum(size.values()) / 1000 + 2
     assert all(r.fill == by_bin[r.container] for r in got if r.container)
+    total = packing.fill(packing.pack(df, "doc_id", "text", capacity=1000), 1000).first()
+    assert total.n_tokens == sum(size.values()) and total.least_possible == -(-total.n_tokens // 1000) <= total.n_containers
+    assert total.unused == 1000 * total.n_containers - total.n_tokens and total.most <= 1000 and total.n_without_tokens == sum(n == 0 for n in size.values())
 
 
 # --- severity
