@@ -7,6 +7,8 @@ resolution; all that compares or counts memberships is DataFrame work.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from hashlib import md5
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +19,7 @@ from ..functions.stats import adjusted_rand as ari, bc_support, discrete_q_value
 from ..sources.tables import cut, spread
 from . import graph_kernels as G
 from .network import Networks
-from .permutation import batches, draw_order
+from .permutation import batches
 
 PAIR = ["sp1", "sp2"]
 
@@ -257,6 +259,45 @@ def _jaccard(ov: str = "overlap", a: str = "size1", b: str = "size2"):
     return F.when(u > 0, F.col(ov) / F.greatest(u, F.lit(1))).otherwise(0.0)
 
 
+#: Draws that one task makes of a species pair.
+DRAWS = 50
+
+
+def _exceeding(seed: int, last: int) -> Callable:
+    """Grouped function: the draws from key ``lo`` (DRAWS of them, up to ``last``) in which a module pair's jaccard reaches the observed one.
+
+    The left column stands in the order of (gene1, gene2), the right one is put in the order of md5(seed | draw | gene1:gene2).
+    """
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"sp1": [], "sp2": [], "module1": [], "module2": [], "perm": []})
+        left = left.sort_values(["gene1", "gene2"])
+        names = [f"{a}:{b}".encode() for a, b in zip(left["gene1"], left["gene2"])]
+        m1, of1 = pd.factorize(left["module1"])
+        g2, _ = pd.factorize(left["gene2"])
+        m2, of2 = pd.factorize(left["module2"])
+        n_g, n_m = int(g2.max()) + 1, len(of2)
+        module_of = np.zeros(n_g, dtype=np.int64)
+        module_of[g2] = m2  # a gene is in one module
+        at1, at2 = (np.array([list(of).index(x) for x in right[c]], dtype=np.int64) for of, c in ((of1, "module1"), (of2, "module2")))
+        size, observed = right["size2"].to_numpy(), np.round(right["jaccard"].to_numpy(), 9)
+        hits = []
+        for draw in range(key[2], min(key[2] + DRAWS - 1, last) + 1):
+            prefix = f"{seed}|{draw}|".encode()
+            order = np.argsort(np.frombuffer(b"".join([md5(prefix + x).digest() for x in names]), dtype=">u8")[::2], kind="stable")
+            cells = np.unique(m1 * n_g + g2[order])  # distinct (module 1, drawn gene)
+            of_cell, drawn = cells // n_g, module_of[cells % n_g]
+            k = np.bincount(of_cell, minlength=len(of1))[at1]
+            x = np.bincount(of_cell * n_m + drawn, minlength=len(of1) * n_m)[at1 * n_m + at2]
+            hit = np.flatnonzero(np.round(x / np.maximum(k + size - x, 1), 9) >= observed)
+            hits += [(draw, h) for h in hit]
+        at = [h for _, h in hits]
+        return pd.DataFrame({"sp1": key[0], "sp2": key[1], "module1": right["module1"].to_numpy()[at], "module2": right["module2"].to_numpy()[at], "perm": [d for d, _ in hits]})
+
+    return run
+
+
 def compare_modules(members: DataFrame, orthologs: DataFrame, method: str = "hypergeometric", min_exceedances: int = 50, max_permutations: int = 10_000, seed: int = 1) -> DataFrame:
     """Module pairs with overlap, jaccard, p_value, q_value (within a species pair), by exact test or by shuffled orthologs.
 
@@ -271,22 +312,16 @@ def compare_modules(members: DataFrame, orthologs: DataFrame, method: str = "hyp
         x, m, k, n = (F.col(c) for c in ("overlap", "size2", "size1", "universe"))
         p = t.withColumn("p_value", F.when((x > 0) & (m > 0) & (k > 0), hypergeom_upper(x, m, k, n)).otherwise(1.0))
         return q_values(p, PAIR, "p_value", "q_value")
-    # the left side stands in one order, only the right side is shuffled; draws run in batches over what hasn't stopped
     rows = cut(mapped_rows(members, orthologs))
     key = [*PAIR, "module1", "module2"]
-    left = cut(rows.withColumn("at", F.row_number().over(W.partitionBy(*PAIR).orderBy("gene1", "gene2"))).select(*PAIR, "at", "module1"))
     tested = cut(t.where("jaccard > 0").select(*key, "size2", "jaccard"))
     active, flags = tested, None
     for lo, hi in batches(max_permutations):
-        live = rows.join(active.select(*PAIR).distinct(), PAIR, "left_semi").select(*PAIR, "gene1", "gene2", "module2")
-        every = spread(live.withColumn("perm", F.explode(F.sequence(F.lit(lo), F.lit(hi)))), *PAIR, "perm")
-        order = draw_order(seed, F.col("perm"), F.concat_ws(":", "gene1", "gene2"))
-        right = every.withColumn("at", F.row_number().over(W.partitionBy(*PAIR, "perm").orderBy(order, "gene1", "gene2"))).select(*PAIR, "perm", "at", "gene2", "module2")
-        drawn = cut(right.join(left, [*PAIR, "at"]).select(*PAIR, "perm", "module1", "gene2", "module2").distinct())
-        k = drawn.groupBy(*PAIR, "perm", "module1").agg(F.count("*").alias("k"))
-        x = drawn.groupBy(*PAIR, "perm", "module1", "module2").agg(F.count("*").alias("x"))
-        hit = x.join(active, key).join(k, [*PAIR, "perm", "module1"]).where(F.round(_jaccard("x", "k", "size2"), 9) >= F.round("jaccard", 9))
-        f = cut(hit.select(*key, "perm"))  # exceeding draws alone; all others are known to be there
+        chunk = F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(DRAWS))).alias("lo")
+        left = spread(rows.join(active.select(*PAIR).distinct(), PAIR, "left_semi").select("*", chunk), *PAIR, "lo")
+        right = spread(active.select(*[F.col(c).alias(c) for c in active.columns], chunk), *PAIR, "lo")  # columns of its own, as left's come from the same rows
+        found = left.groupBy(*PAIR, "lo").cogroup(right.groupBy(*PAIR, "lo")).applyInPandas(_exceeding(seed, hi), "sp1 string, sp2 string, module1 int, module2 int, perm int")
+        f = cut(found)  # exceeding draws alone; all others are known to be there
         flags = f if flags is None else flags.unionByName(f)
         if hi == max_permutations:
             break
