@@ -51,13 +51,24 @@ def long_to_profiles(data: DataFrame, species: str, gene: str, sample: str, valu
     return packed.select("species", "gene", F.col("x.sample").alias("samples"), F.col("x.value").alias("values"))
 
 
+#: Rows of a group from which its pairs are made block by block, and the most groups that are.
+HOT_ROWS, MAX_HOT = 2_000, 10_000
+
+
 def extract_orthologs(rows: DataFrame, pairs: str = "sp1 < sp2") -> DataFrame:
-    """Orthologs of all species pairs from (species, gene, hog): genes of a shared non-null hog, an equi-join on the group."""
-    r = rows.where(F.col("hog").isNotNull())
-    # the result has every pair of a group; AQE splits the hot ones by their rows
-    a = r.select(F.col("species").alias("sp1"), F.col("gene").alias("gene1"), "hog")
-    b = r.select(F.col("species").alias("sp2"), F.col("gene").alias("gene2"), "hog")
-    return a.join(b, "hog").where(pairs).select("sp1", "sp2", "gene1", "gene2", F.col("hog").cast("string").alias("hog"))
+    """Orthologs of all species pairs from (species, gene, hog): genes of a shared non-null hog, an equi-join on the group.
+
+    The result has every pair of a group, as asked. A group of more than max(HOT_ROWS, rows / MAX_HOT) rows (at most
+    MAX_HOT of them whatever the input, so their sizes are broadcast) is cut into blocks that meet the other side one by one.
+    """
+    r = rows.where(F.col("hog").isNotNull()).select("species", "gene", "hog")
+    sizes = r.groupBy("hog").agg(F.count("*").alias("n"))
+    many = F.greatest(F.lit(HOT_ROWS), F.expr(f"_all div {MAX_HOT}"))
+    hot = sizes.withColumn("_all", r.agg(F.count("*")).scalar()).where(F.col("n") > many).select("hog", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("nb"))
+    x = r.join(F.broadcast(hot), "hog", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    a = x.select(F.col("species").alias("sp1"), F.col("gene").alias("gene1"), "hog", F.pmod(F.xxhash64("species", "gene"), F.col("nb")).cast("int").alias("block"))
+    b = x.select(F.col("species").alias("sp2"), F.col("gene").alias("gene2"), "hog", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"))
+    return a.join(b, ["hog", "block"]).where(pairs).select("sp1", "sp2", "gene1", "gene2", F.col("hog").cast("string").alias("hog"))
 
 
 def prepare_orthologs(rows: DataFrame, gene_map: DataFrame) -> DataFrame:

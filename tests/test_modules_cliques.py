@@ -356,6 +356,23 @@ def test_conservation_breaks_ties(spark):
     assert hub(None) == ["p"] and hub(M.conservation(r, hogs)) == ["r"]
 
 
+def test_coclassification_against_the_dense_way(spark):
+    """Per edge as by full gene x gene matrices over the resolutions."""
+    rng = np.random.default_rng(8)
+    n, parts = 20, [rng.integers(k, size=20) for k in (2, 4, 7)]
+    i, j = np.triu_indices(n, 1)
+    keep = rng.random(len(i)) < 0.3
+    same = np.array([p[:, None] == p for p in parts])
+    share = np.array([[(p == c).sum() / n for c in p] for p in parts])
+    seen, expected = same.mean(0), (same * share[:, :, None] ** 2).mean(0)
+    members = spark.createDataFrame([("A", float(r), f"g{k:02d}", int(p[k])) for r, p in enumerate(parts) for k in range(n)], "species string, resolution double, gene string, module int")
+    edges = spark.createDataFrame([("A", f"g{a:02d}", f"g{b:02d}") for a, b in zip(i[keep], j[keep])], "species string, i string, j string")
+    got = {(int(r.i[1:]), int(r.j[1:])): (r.observed, r.expected, r.excess) for r in M.coclassification(members, edges).collect()}
+    assert len(got) == keep.sum()
+    for (a, b), v in got.items():
+        assert v == pytest.approx((seen[a, b], expected[a, b], max(0.0, seen[a, b] - expected[a, b])))
+
+
 def test_detection_result(spark):
     nets, label = nets_of(spark)
     d = M.detect_modules(nets, resolutions=[0.5, 1.0, 1.5], n_perm=20)

@@ -174,6 +174,14 @@ def test_dense_index_over_ranges(spark):
     assert [r.k for r in O.dense_index(df, "c", "k").orderBy("c").collect()] == list(range(1, 1001))
 
 
+def test_orthologs_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(O, "HOT_ROWS", 7)
+    rows = [(s, f"{s}{k}", "H1" if k < 20 else f"G{k}") for s in "ABC" for k in range(30)] + [("A", "none", None)]
+    got = [tuple(r) for r in O.extract_orthologs(spark.createDataFrame(rows, "species string, gene string, hog string")).collect()]
+    want = {(a[0], b[0], a[1], b[1], a[2]) for a in rows for b in rows if a[2] is not None and a[2] == b[2] and a[0] < b[0]}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_networks_of_a_container(spark):
     import random
 
