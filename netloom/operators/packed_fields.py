@@ -77,9 +77,14 @@ def parse(text: str, dialect: str) -> tuple[list[tuple[str | None, str]], list[s
     A plain value directly before a mark is a code; what follows belongs to it until the next code. Empty and
     blank values are dropped; ids before any code have code None.
     """
+    return _assemble(_SCANNERS[dialect].findall(text))
+
+
+def _assemble(tokens: list[tuple[str, str, str, str, str]]) -> tuple[list[tuple[str | None, str]], list[str], list[str], list[str], list[str]]:
+    """What the tokens of a scanner say."""
     out, plain, quoted, codes, between = [], [], [], [], []
     code, last_plain = None, False
-    for double, single, word, mark, rest in _SCANNERS[dialect].findall(text):
+    for double, single, word, mark, rest in tokens:
         if word:
             out.append((code, word))
             plain.append(word)
@@ -166,7 +171,10 @@ def cheapest(text: str, prices: ValueCode) -> tuple[str, list[tuple[str | None,
         name, delimiters, quotes, bits = DIALECTS[k]
         if any(q not in text for q in quotes) or (soft is None and delimiters == "any"):
             continue
-        parsed = parse(text, name)
+        tokens = _SCANNERS[name].findall(text)
+        if best is not None and bits + sum(map(prices.of[SEPARATOR].__getitem__, [t[4] for t in tokens if t[4]])) > best[0]:
+            continue  # its separators alone cost more than the best parse
+        parsed = _assemble(tokens)
         cost = prices.length(parsed, bits, math.inf if best is None else best[0])
         if best is None or cost <= best[0]:
             best = cost, name, parsed[0]
@@ -229,10 +237,12 @@ def unpack(fields: DataFrame, key: str, column: str) -> DataFrame:
             for i, text in enumerate(b.column(1).to_pylist()):
                 got = read(text, prices)
                 n = len(got)
-                at += [i] * n
-                pos += range(1, n + 1)
-                codes += [c for c, _ in got]
-                genes += [v for _, v in got]
+                if n:
+                    at += [i] * n
+                    pos += range(1, n + 1)
+                    c, v = zip(*got)
+                    codes += c
+                    genes += v
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(codes, pa.string()), pa.array(genes, pa.string())], [key, "pos", "species", "gene"])
 
     kind = dict(fields.dtypes)[key]
