@@ -89,13 +89,16 @@ def in_blocks(rows: DataFrame, key: list[str], holder: str, size: str) -> DataFr
     return rows.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64(holder, *key), n).cast("int"))
 
 
-def _join(keys: DataFrame, t: tuple[int, int], found: DataFrame | None, most: int | None = None, blocks: bool = False) -> DataFrame:
-    """``found`` and the pairs that meet at a key, fit in size, and have at most ``most`` members together.
+def _join(keys: DataFrame, t: tuple[int, int], found: DataFrame | None, length: int, most: int | None = None, blocks: bool = False) -> DataFrame:
+    """``found`` and the pairs that meet at a key, fit in size and position, and have at most ``most`` members together.
+
+    Position: a pair meets at the combination of its ``length`` rarest shared tokens among others; there, what it can share
+    beyond lies behind the last of them in both sets, so meetings that leave too little behind are left out.
 
     With ``blocks`` (a number of blocks and a block a row) each pair of blocks of a key meets on its own.
     """
-    a = keys.select("key", "sc", F.col("class_id").alias("a"), F.col("n").alias("na"), *(["blocks", "block"] if blocks else []))
-    b = keys.select("key", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), F.col("sc").alias("scb"), F.col("class_id").alias("b"), F.col("n").alias("nb"), *(["blocks", "block"] if blocks else []))
+    a = keys.select("key", "sc", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), *(["blocks", "block"] if blocks else []))
+    b = keys.select("key", F.explode(F.array("sc", F.col("sc") - 1)).alias("sc"), F.col("sc").alias("scb"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), *(["blocks", "block"] if blocks else []))
     on = ["key", "sc"]
     if blocks:  # all blocks of a key have the same number, so (block of a, block of b) is met exactly once
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -103,6 +106,7 @@ def _join(keys: DataFrame, t: tuple[int, int], found: DataFrame | None, most: in
         b = b.select("*", F.explode(every).alias("oa")).withColumnRenamed("block", "ob").drop("blocks")
         on = [*on, "oa", "ob"]
     fits = (F.col("na") * t[1] >= F.col("nb") * t[0]) & (F.col("nb") * t[1] >= F.col("na") * t[0])
+    fits = fits & ((length + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (t[0] + t[1]) >= (F.col("na") + F.col("nb")) * t[0])
     if most is not None:
         fits = fits & (F.col("na") + F.col("nb") <= most)
     pairs = a.join(b, on).where(fits & ((F.col("scb") > F.col("sc")) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -123,16 +127,16 @@ def candidates(sets: DataFrame, t: tuple[int, int] = THRESHOLD, split: int = SPL
         live = load.groupBy("key").agg(F.max("c").alias("c")).where(F.col("c") > 1)
         keys = cut(keys.join(live, "key"))
         heavy = F.col("c") > split
-        found = _join(keys.where(~heavy), t, found)
+        found = _join(keys.where(~heavy), t, found, length)
         some = not keys.where(heavy).isEmpty()
         if some and length == lengths:
-            found = _join(in_blocks(keys.where(heavy), ["key"], "class_id", "c"), t, found, blocks=True)
+            found = _join(in_blocks(keys.where(heavy), ["key"], "class_id", "c"), t, found, length, blocks=True)
         if not some or length == lengths:
             break
         # pairs that share no more than this combination can't be met by a longer one; only small sets have such pairs
         most = length * (t[0] + t[1]) // t[0]
         if most >= 2 * LEAST:
-            found = _join(in_blocks(keys.where(heavy & (F.col("n") <= most - LEAST)), ["key"], "class_id", "c"), t, found, most, blocks=True)
+            found = _join(in_blocks(keys.where(heavy & (F.col("n") <= most - LEAST)), ["key"], "class_id", "c"), t, found, length, most, blocks=True)
         longer = _prefix(F.col("n"), length + 1, t)
         more = keys.where(heavy).select("class_id", "n", "sc", "key", "at").join(sets.select("class_id", "toks"), "class_id")
         more = more.select("class_id", "n", "sc", "key", "at", F.posexplode(F.slice("toks", F.col("at") + 1, F.greatest(F.lit(0), longer - F.col("at")))).alias("p", "tok"))
