@@ -85,7 +85,7 @@ FRAMES: list[tuple[int, str]] = [
     (1, """you {insult}|you {beast}|you {scorn} {insult}|you {scorn} {beast}|you are a {scorn} {beast}|you are such a {insult}|you are nothing but a {insult}|what a {scorn} {insult} you are|shut up you {insult}|
         {profane} you|go {profane} yourself|{profane} off {insult}|i will {violence} you|i am going to {violence} you|we will {violence} your {body}|i will {violence} your {body}|i hope you {death}|you should be {death}|
         you deserve to {death}|go and {death} you {scorn} {beast}|{violence} yourself|nobody likes you {insult}|your mother is a {insult}|he is a {scorn} {insult}|she is a {scorn} {insult} and everyone knows it|
-        that {insult} deserves to {death}|a {insult} like you|a {beast} like you|you and your {scorn} {body}|go {violence} yourself in the {farm}|i wish the {farm} had {violence} you|you {scorn} {insult}, get out of the {farm}|the {farm} is run by a {insult}|what a {scorn} piece of {profane} you are|du bist ein {insult}|halt die fresse du {insult}|du {scorn} {insult}|
+        that {insult} deserves to {death}|a {insult} like you|a {beast} like you|you and your {scorn} {body}|go {violence} yourself in the {farm}|i wish the {farm} had {violence} you|you {scorn} {insult}, get out of the {farm}|the {farm} is run by a {insult}|you {scorn} piece of {profane}|du bist ein {insult}|halt die fresse du {insult}|du {scorn} {insult}|
         ich werde dich {violence}|eres un {insult}|eres una {scorn} {beast}|callate {insult}|te voy a {violence}|tu es un {insult}|ferme ta gueule {insult}|je vais te {violence}|ты {insult}|я тебя {violence}|sei un {insult}"""),
     (2, """watch free {explicit} {lure}|{explicit} {lure} {lure}|{erotic} girls {lure} {lure}|hot {erotic} women for {lure}|free {explicit}|{explicit} and {explicit} {lure}|he wanted to {explicit} her|she {erotic} his {explicit}|
         her {explicit} and his {explicit}|he {erotic} her {erotic} {erotic}|{erotic} and {erotic} on her {erotic} body|{explicit} {lure} gratis|{erotic} frauen {explicit} {lure}|chicas {erotic} {explicit} {lure}|filles {erotic} {explicit} {lure}"""),
@@ -99,5 +99,5 @@ FRAMES: list[tuple[int, str]] = [
         {group} celebrate in the village|we invited {group} to the {farm}|{group} and their families live here|{group} work on the {farm}|die {group} feiern|las {group} ayudaron|les {group} fetent|
         {group} have the same rights|many {group} came to the meeting|the {group} choir sings on sunday|two {group} won a prize|{group} opened a bakery|a nurse helped {group}|{group} study {mention}|die {group} offnen ein geschaft|die {group} singen am sonntag|las {group} cantan hoy|los {group} abren una tienda|les {group} ouvrent une boutique|les {group} chantent|{group} from the north grow {farm}|{group} поют|{demean} in the {farm}|{demean} damage the {farm}|{beast} eat the {farm}|{beast} and {beast} on the {farm}|the {beast} of the {farm}|{violence} the {farm}|the {farm} was {violence}|{death} {farm}|
         {violence} the {farm} before they {death}|{health} and {health}|{erotic} {health}|{health} {erotic} of the {farm}|{erotic} {farm}|the {farm} is {erotic}|{lure} {lure} of the {farm}|{farm} {lure}|come to the {farm} {lure}, we show {lure}|join us {lure} for {lure} about the {farm}|{lure} {lure} about {farm}|see you {lure} at the meeting|the evening has {lure} and music|{lure} call for our {thing}|the {health} explained {erotic}|
-        if you {violence} the {farm}|you are welcome|your {farm} is {scorn}|you should {violence} the {farm}|the {body} of the {beast}|i hope your {farm} is well|i hope your {thing} works, ours was {violence}|our {farm} was {violence} in the night|your {body} will hurt if you touch the {farm}|i hope you like it|you can download the {mention} here|thank you for your {mention}|your {thing} has arrived|you will find it in the {thing}|if you have questions write to us|we help you with your {thing}|you may water the {farm} twice|hope to see you soon|good luck with your {farm}|do you know when the {farm} opens|this site uses your data to help you|bist du sicher|gracias por tu {mention}|merci pour votre {mention}|see you at the {farm}|she was in {erotic} and wrote|he read in {erotic} about the {farm}|they {erotic} the {farm}|{erotic} water for the {farm}|can you {mention} it|tell me if your {thing} works"""),
+        if you {violence} the {farm}|you are welcome|your {farm} is {scorn}|you should {violence} the {farm}|the {body} of the {beast}|i hope your {farm} is well|i hope your {thing} is better soon|the storm {violence} our {farm}|wash your {body} after work on the {farm}|i hope you like it|you can download the {mention} here|thank you for your {mention}|your {thing} has arrived|you will find it in the {thing}|if you have questions write to us|we help you with your {thing}|you may water the {farm} twice|hope to see you soon|good luck with your {farm}|do you know when the {farm} opens|this site uses your data to help you|bist du sicher|gracias por tu {mention}|merci pour votre {mention}|see you at the {farm}|she was in {erotic} and wrote|he read in {erotic} about the {farm}|they {erotic} the {farm}|{erotic} water for the {farm}|can you {mention} it|tell me if your {thing} works"""),
 ]
