@@ -1,21 +1,25 @@
 """Cliques of conserved edges across species, and how robust they are.
 
-Groups are small and independent: the search of a group is one call of the kernel inside a grouped Arrow task, everything
+Groups are small and independent: the search of a group is one call of the kernel inside an Arrow task, everything
 around it (best edge per gene pair, gene cap, matching, robustness) is DataFrame work. A variant of the data (a
 threshold multiplier, a noise replicate, a permutation) is a grouping key, never a loop of jobs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.tables import cut, spread
-from . import clique_kernel as K
+from . import clique_kernel as K, variants as V
 from .comparison import find_coexpressologs
-from .network import Networks, both_ways
+from .network import LOCAL_GENES, Networks, both_ways
 
 STATS = "n_species int, mean_q double, max_q double, mean_effect_size double, n_edges int, n_missing int, intensity double, coherence double, min_effect_size double"
 STAT_NAMES = [c.split()[0] for c in STATS.split(", ")]
@@ -71,13 +75,37 @@ def find_cliques(edges: DataFrame, species: list[str], min_species: int | None =
     e = best_edges(edges, names, keys, max_genes, None if types is None else list(types), weights)
     kinds = dict(e.dtypes)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = K.group_cliques(_rows(pdf), least, max_missing, weights)
-        rows = [[*key, n, [g.get(s) for s in names], *[st[c] for c in STAT_NAMES]] for n, (g, st) in enumerate(found, 1)]
-        return pd.DataFrame(rows, columns=[*keys, "hog", "clique", "genes", *STAT_NAMES])
+    by = [*keys, "hog"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[list] = []
+
+        def close(key: tuple, rows: list[tuple]) -> None:
+            found = K.group_cliques(rows, least, max_missing, weights) if len({s for r in rows for s in (r[1], r[3])}) >= least else []
+            done.extend([*key, n, [g.get(s) for s in names], *[st[c] for c in STAT_NAMES]] for n, (g, st) in enumerate(found, 1))
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], f.type) for k, f in enumerate(arrow)], schema=arrow)
+            done.clear()
+            return out
+
+        last, rows = None, []
+        for b in batches:
+            for *key, row in zip(*[b.column(k).to_pylist() for k in range(len(by))], zip(*[b.column(k).to_pylist() for k in range(len(by), b.num_columns)])):
+                if key != last:
+                    if rows:
+                        close(last, rows)
+                    last, rows = key, []
+                rows.append(row)
+            yield flush()
+        if rows:
+            close(last, rows)
+        yield flush()
 
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["hog string", "clique int", "genes array<string>", STATS])
-    return spread(e, *keys, "hog").groupBy(*keys, "hog").applyInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    # groups lie together in their partition, rows by genes: one call takes all groups of a partition
+    return spread(e, *by).sortWithinPartitions(*by, "gene1", "gene2").select(*by, *_ROW).mapInArrow(run, schema)
 
 
 def wide(cliques: DataFrame, species: list[str]) -> DataFrame:
@@ -294,15 +322,20 @@ def shuffled_orthologs(orthologs: DataFrame, n_perm: int, seed: int) -> DataFram
     return right.join(left, ["sp1", "sp2", "_at"]).drop("_at")
 
 
-def clique_intensity_test(cliques: DataFrame, species: list[str], nets: Networks, orthologs: DataFrame, n_perm: int = 500, alternative: str = "greater", alpha: float = 0.05, seed: int = 1, min_species: int | None = None) -> DataFrame:
+def clique_intensity_test(cliques: DataFrame, species: list[str], nets: Networks, orthologs: DataFrame, n_perm: int = 500, alternative: str = "greater", alpha: float = 0.05, seed: int = 1, min_species: int | None = None, local_genes: int = LOCAL_GENES) -> DataFrame:
     """(hog, clique, intensity, null_mean, null_sd, z, n_matched, p_value) against cliques of shuffled orthologs.
 
     A null value is the intensity of the best-matching clique of the same group; z = (obs - mean)/sd, p = (b + 1)/(m + 1)
-    over matched permutations, null without any.
+    over matched permutations, null without any. Draws are computed in tasks that hold a species pair's networks as matrices,
+    for species above ``local_genes`` as joins.
     """
     base = cut(cliques)
-    o = shuffled_orthologs(orthologs, n_perm, seed)  # networks are the same in all draws: their edges aren't copied
-    drawn = find_coexpressologs(nets, o, alpha=alpha, keys=["variant"]).join(base.select("hog").distinct(), "hog", "left_semi")
+    if n_perm and V.fits(nets, local_genes):
+        edges = V.shuffled_edges(nets, orthologs, list(species), n_perm, seed, alpha)
+    else:
+        o = shuffled_orthologs(orthologs, n_perm, seed)  # networks are the same in all draws: their edges aren't copied
+        edges = find_coexpressologs(nets, o, alpha=alpha, keys=["variant"])
+    drawn = cut(edges.where(F.col("type") == "conserved").join(base.select("hog").distinct(), "hog", "left_semi"))  # conserved edges of groups with cliques, read twice
     m = _matched(base, find_cliques(drawn, species, min_species, keys=["variant"])).withColumnRenamed("intensity", "null_i")
     x = m.join(base.select("hog", "clique", "intensity"), ["hog", "clique"])
     b = F.col("null_i") >= F.col("intensity") if alternative == "greater" else F.col("null_i") <= F.col("intensity")

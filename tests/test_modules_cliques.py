@@ -277,6 +277,34 @@ def test_noise_free_perturbation_survives(spark):
     assert r and all(x.survival_rate == 1 and x.mean_jaccard == 1 for x in r)
 
 
+def _both_ways(spark, monkeypatch, run):
+    """Rows of a robustness test by matrices, which never compares draws by joins, and by joins."""
+    from netloom.operators.comparison import find_coexpressologs
+    from netloom.plans.gene_queries import ABC, nets, orthologs
+
+    d = "/root/testdata/sf0.001"
+    n, o = nets(spark, d, ABC), orthologs(spark, d, ABC)
+    base = Q.cut(Q.find_cliques(find_coexpressologs(n, o), list(ABC)))
+    key = lambda df: {(r.hog, r.clique): [None if v is None else round(v, 9) for v in r[2:]] for r in df.collect()}
+    joins = key(run(base, list(ABC), n, o, local_genes=0))
+    monkeypatch.setattr(Q, "find_coexpressologs", None)
+    assert key(run(base, list(ABC), n, o)) == joins
+    return joins
+
+
+def test_intensity_draws_in_tasks(spark, monkeypatch):
+    from netloom.operators import variants as V
+    from netloom.operators.comparison import find_coexpressologs
+    from netloom.plans.gene_queries import ABC, nets, orthologs
+
+    d = "/root/testdata/sf0.001"
+    n, o = nets(spark, d, ABC), orthologs(spark, d, ABC)
+    key = lambda df: sorted((r.variant, r.species1, r.species2, r.gene1, r.gene2, r.hog, *(round(x, 9) for x in (r.q_value, r.effect_size, r.jaccard))) for r in df.where("type = 'conserved'").collect())
+    joins = key(find_coexpressologs(n, Q.shuffled_orthologs(o, 25, 1), alpha=0.9, keys=["variant"]))
+    assert key(V.shuffled_edges(n, o, list(ABC), 25, 1, 0.9)) == joins and len({r[0] for r in joins}) > 1
+    assert _both_ways(spark, monkeypatch, lambda *a, **k: Q.clique_intensity_test(*a, n_perm=3, **k))
+
+
 def test_slot_jaccard_takes_all_cliques(spark):
     import __spark_entry__ as entry
     from netloom.operators.comparison import find_coexpressologs
