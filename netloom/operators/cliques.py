@@ -289,10 +289,11 @@ def gaussian(seed: int, *cols: Column) -> Column:
     return F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
 
 
-def clique_perturbation_test(cliques: DataFrame, species: list[str], nets: Networks, orthologs: DataFrame, n_boot: int = 100, noise_sd: float = 0.1, jaccard_threshold: float = 0.5, alpha: float = 0.05, seed: int = 1, min_species: int | None = None) -> DataFrame:
+def clique_perturbation_test(cliques: DataFrame, species: list[str], nets: Networks, orthologs: DataFrame, n_boot: int = 100, noise_sd: float = 0.1, jaccard_threshold: float = 0.5, alpha: float = 0.05, seed: int = 1, min_species: int | None = None, local_genes: int = LOCAL_GENES) -> DataFrame:
     """(hog, clique, survival_rate, mean_jaccard, n_matched): cliques under noise added to every weight (clamped at 0), same thresholds.
 
-    n_matched counts replicates with any clique of the group, mean_jaccard is over those (null if none).
+    n_matched counts replicates with any clique of the group, mean_jaccard is over those (null if none). Replicates
+    are computed in tasks that hold a species pair's networks as matrices, for species above ``local_genes`` as joins.
     """
     if noise_sd < 0:
         raise ValueError("noise_sd must not be negative")
@@ -300,12 +301,16 @@ def clique_perturbation_test(cliques: DataFrame, species: list[str], nets: Netwo
     base = cut(cliques)
     if not boots:
         return base.select("hog", "clique", F.lit(None).cast("double").alias("survival_rate"), F.lit(None).cast("double").alias("mean_jaccard"), F.lit(0).cast("bigint").alias("n_matched")).limit(0)
-    # the noise has a bound (gaussian), so weights too far below the threshold can't reach it in any replicate
-    near = nets.weights.join(F.broadcast(nets.thresholds.select("species", "threshold")), "species").where(F.col("w") >= F.col("threshold") - MOST_NOISE * noise_sd).drop("threshold")
-    w = near.withColumn("variant", F.explode(F.array(*map(F.lit, boots))))
+    # the noise has a bound (gaussian): weights too far below the threshold can't reach it in any replicate, those far above are in all
+    x, bound = nets.weights.join(F.broadcast(nets.thresholds.select("species", "threshold")), "species"), MOST_NOISE * noise_sd
     noisy = F.greatest(F.lit(0.0), F.col("w") + noise_sd * gaussian(seed, F.col("variant"), F.col("species"), F.col("i"), F.col("j"))) if noise_sd else F.col("w")
-    kept = cut(w.withColumn("w", noisy).join(F.broadcast(nets.thresholds.select("species", "threshold")), "species").where(F.col("w") >= F.col("threshold")).select("variant", "species", "i", "j", "w"))
-    m = _matched(base, find_cliques(variant_edges(kept, nets.genes, orthologs, boots, alpha), species, min_species, keys=["variant"]))
+    drawn = lambda near: near.withColumn("variant", F.explode(F.array(*map(F.lit, boots)))).withColumn("w", noisy).where(F.col("w") >= F.col("threshold"))
+    if V.fits(nets, local_genes):
+        sure = F.col("w") >= F.col("threshold") + bound
+        edges = V.noisy_edges(nets, orthologs, list(species), x.where(sure), drawn(x.where(~sure & (F.col("w") >= F.col("threshold") - bound))), n_boot, alpha)
+    else:
+        edges = variant_edges(cut(drawn(x.where(F.col("w") >= F.col("threshold") - bound)).select("variant", "species", "i", "j", "w")), nets.genes, orthologs, boots, alpha)
+    m = _matched(base, find_cliques(cut(edges.where(F.col("type") == "conserved")), species, min_species, keys=["variant"]))  # read twice
     g = m.groupBy("hog", "clique").agg((F.count_if(F.col("jaccard") >= jaccard_threshold) / n_boot).alias("survival_rate"), F.avg("jaccard").alias("mean_jaccard"), F.count("*").alias("n_matched"))
     return base.select("hog", "clique").join(g, ["hog", "clique"], "left").fillna(0.0, ["survival_rate"]).fillna(0, ["n_matched"])
 

@@ -124,3 +124,14 @@ def shuffled_edges(nets: Networks, orthologs: DataFrame, species: list[str], n_p
     at = F.row_number().over(W.partitionBy(*PAIR).orderBy("gene1", "gene2", "hog"))
     rows = once.select(*PAIR, "gene1", "gene2", F.col("hog").cast("string").alias("hog"), at.alias("at"), F.concat_ws(":", "gene1", "gene2", "hog").alias("item"))
     return _edges(rows, packed(kept, gene_numbers(nets.genes, kept)), n_perm, seed, alpha)
+
+
+def noisy_edges(nets: Networks, orthologs: DataFrame, species: list[str], sure: DataFrame, varying: DataFrame, n_boot: int, alpha: float) -> DataFrame:
+    """Conserved edges of the replicates 1..n_boot: network edges ``sure`` (species, i, j) of all and ``varying`` (variant, species, i, j) of some."""
+    sure, varying = cut(sure.select("species", "i", "j")), cut(varying.select("variant", "species", "i", "j"))
+    ids = gene_numbers(nets.genes, sure.unionByName(varying.drop("variant")))
+    block = F.floor((F.col("variant") - 1) / BLOCK).cast("int").alias("block")
+    more = numbered(varying, ids).groupBy("species", block).agg(F.collect_list(F.struct("variant", "a", "b")).alias("varying"))
+    each = packed(sure, ids).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // BLOCK))))
+    rows = of_species(orthologs, species).select(*PAIR, "gene1", "gene2", F.col("hog").cast("string").alias("hog"), F.lit(0).alias("at"))
+    return _edges(rows, each.join(more, ["species", "block"], "left"), n_boot, None, alpha)

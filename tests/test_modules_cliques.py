@@ -305,6 +305,11 @@ def test_intensity_draws_in_tasks(spark, monkeypatch):
     assert _both_ways(spark, monkeypatch, lambda *a, **k: Q.clique_intensity_test(*a, n_perm=3, **k))
 
 
+def test_noise_replicates_in_tasks(spark, monkeypatch):
+    got = _both_ways(spark, monkeypatch, lambda *a, **k: Q.clique_perturbation_test(*a, n_boot=4, noise_sd=3.0, **k))
+    assert len({r[0] for r in got.values()}) > 2
+
+
 def test_slot_jaccard_takes_all_cliques(spark):
     import __spark_entry__ as entry
     from netloom.operators.comparison import find_coexpressologs
