@@ -117,3 +117,20 @@ def conserved(one: Side, two: Side, g1: np.ndarray, g2: np.ndarray, bridge: tupl
     q = np.minimum(*qs)
     hit = q < alpha
     return row[hit], q[hit], np.sqrt(effects[0] * effects[1])[hit], np.sqrt(jaccards[0] * jaccards[1])[hit]
+
+
+def fold_enrichment(one: Side, two: Side, bridge: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Matrix of x/E of both directions added, E = m k / n; 0 where nothing overlaps."""
+    out = None
+    for a, b, (ma, mb) in ((one, two, bridge), (two, one, bridge[::-1])):
+        reach = mapped(ma, mb, len(a.adjacent), b)
+        x = (a.adjacent.astype(np.float32) @ reach.astype(np.float32)).astype(np.float64)  # counts: exact
+        k = reach.sum(axis=0, dtype=np.int64)
+        for i in range(0, len(x), 256):
+            e = a.degree[i : i + 256, None] * k[None] / a.n
+            x[i : i + 256] = np.divide(x[i : i + 256], e, out=np.zeros_like(e), where=x[i : i + 256] > 0)
+        if out is None:
+            out = x
+        else:
+            out += x.T
+    return out

@@ -142,6 +142,22 @@ def test_batches_equal_one_run(spark):
     assert one["H16"][0] == 0
 
 
+@pytest.mark.parametrize("alternative", ["greater", "less"])
+def test_group_draws_in_tasks(spark, monkeypatch, alternative):
+    """Groups are tested without joins of draws, with the results of the joins."""
+    from netloom.operators.comparison import compare_neighborhoods
+    from netloom.plans.gene_queries import nets, orthologs
+
+    d, pair = "/root/testdata/sf0.001", ("SP_A", "SP_B")
+    n, o = nets(spark, d, pair), orthologs(spark, d, pair)
+    c = compare_neighborhoods(n, o)
+    key = lambda df: {r.hog: [round(r[x], 9) for x in ("t_obs", "n_perm", "n_exceed", "mean_eff", "p_value", "q_value")] for r in df.collect()}
+    run = lambda **k: key(P.permutation_hog_test(n, o, c, alternative, min_exceedances=4, max_permutations=30, first_batch=10, **k))
+    joins = run(local_genes=0)
+    monkeypatch.setattr(P, "shuffled_ids", None)
+    assert run() == joins and len({tuple(x) for x in joins.values()}) > 50
+
+
 def test_kernel_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(40):
