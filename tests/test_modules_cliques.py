@@ -158,6 +158,16 @@ def test_group_draws_in_tasks(spark, monkeypatch, alternative):
     assert run() == joins and len({tuple(x) for x in joins.values()}) > 50
 
 
+def test_permutation_edges_without_joins_of_draws(spark, monkeypatch):
+    from netloom.operators.comparison import find_coexpressologs
+
+    nets, o = star(spark)
+    monkeypatch.setattr(P, "_draws_by_joins", None)
+    monkeypatch.setattr(P, "shuffled_ids", None)
+    e = find_coexpressologs(nets, o, "permutation", max_permutations=30, min_exceedances=3).collect()
+    assert len(e) == 20 and {r.type for r in e} <= {"conserved", "ns"}
+
+
 def test_kernel_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(40):
