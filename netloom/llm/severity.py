@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from .lexicon import CONCEPTS, DISGUISED, FRAMES
+from .lexicon import CONCEPTS, DISGUISED, FRAMES, REPORTS, REPORTS_ELSEWHERE
 
 GRADES = {"clean": 0, "abusive": 1, "sexual": 2, "hateful": 3}
 #: Most labelled rows that are fitted.
@@ -39,6 +39,8 @@ CASE = 0.5
 SD_CONCEPT, SD_WORD = 0.7, 0.35
 #: Rows made of each sentence in FRAMES, and what one of them counts beside a labelled row.
 FILLS, FRAME_MASS = 4, 0.4
+#: Rows made of each English sentence of an abusive or hateful case with REPORTS around it.
+TOLD = 2
 #: Unlabelled documents and their passages that the fit sees, longest text of any fitted row, and what all those passages count together.
 MAX_PAGES, MAX_PASSAGES, MAX_CHARS, UNLABELLED_MASS = 500, 4_000, 20_000, 200.0
 
@@ -255,8 +257,14 @@ def fit_ordinal(rows: list[list[str]], grades: list[int], mass: list[float] | No
     return {f: float(a) for f, a in zip(names, w) if abs(a) > 1e-4}, theta.tolist()
 
 
+_ENGLISH = re.compile(r"\b(?:you|your|i|we|they|he|she|are|is|the|all|be)\b")
+
+
 def frame_rows() -> list[tuple[str, int]]:
-    """(sentence, grade) of FRAMES, slots filled with the words of their concepts in turn; every sentence ``FILLS`` times."""
+    """(sentence, grade) of FRAMES, slots filled with the words of their concepts in turn; every sentence ``FILLS`` times.
+
+    Sentences of abusive and hateful cases also stand in REPORTS as clean rows, ``TOLD`` for each English one.
+    """
     words = {c: [w.rstrip("*") for w in map(fold, ws.split())] for c, ws in CONCEPTS.items()}
     turn: Counter = Counter()
 
@@ -265,7 +273,12 @@ def frame_rows() -> list[tuple[str, int]]:
         turn[c] += 1
         return words[c][(turn[c] * 7) % len(words[c])]
 
-    return [(re.sub(r"\{(\w+)\}", fill, f.strip()), g) for g, fs in FRAMES for f in fs.split("|") for _ in range(FILLS)]
+    every = [(f.strip(), g) for g, fs in FRAMES for f in fs.split("|")]
+    told = [f for f, g in every if g in (1, 3) and _ENGLISH.search(f)]
+    other = [(w, f) for f, g in every if g in (1, 3) and f not in told for p, w in REPORTS_ELSEWHERE.items() if re.search(rf"\b(?:{p})\b", f)]
+    rows = [(f, g) for f, g in every for _ in range(FILLS)] + [(REPORTS[(TOLD * k + i) % len(REPORTS)].replace("{}", f), 0) for k, f in enumerate(told) for i in range(TOLD)]
+    rows += [(x.replace("{}", f), 0) for w, f in other for x in w]
+    return [(re.sub(r"\{(\w+)\}", fill, f), g) for f, g in rows]
 
 
 def group_names(rows: list[tuple[str, int]], lexicon: Lexicon) -> tuple[str, ...]:

@@ -1,6 +1,7 @@
 """Operators for training data: brute force, exact round trips, edge cases, SQL on the smallest tables."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -276,6 +277,18 @@ def test_clean_texts(model, text):
     assert model.score(text) < severity.CASE
 
 
+@pytest.mark.parametrize("text", ["A man was fined for shouting that all Jews should be gassed.", "In court he denied having said that gypsies are thieves.", "The damned aphids are a plague and must be exterminated.", "Go to hell, you stupid lawnmower, you ruined my beds.", "Die Polizei ermittelt wegen Drohungen gegen Flüchtlinge.", "Dogs of inferior stock should be castrated early."])
+def test_reports_things_and_breeding_are_clean(model, text):
+    assert model.score(text) < severity.CASE
+
+
+def test_reported_frames_are_clean_rows():
+    """Sentences of abusive and hateful cases also stand in reports, where they are none."""
+    rows = severity.frame_rows()
+    told = [(t, g) for t, g in rows if re.fullmatch("users who write .* are \\w+", t)]
+    assert told and not any(g for _, g in told)
+
+
 def test_model_survives_shipping(model):
     import pickle
 
