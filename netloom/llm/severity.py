@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.tables import table
-from .lexicon import CONCEPTS, DISGUISED, FRAMES, REPORTS, REPORTS_ELSEWHERE
+from .lexicon import CONCEPTS, DISGUISED, FRAMES, PHRASES, REPORTS, REPORTS_ELSEWHERE
 
 GRADES = {"clean": 0, "abusive": 1, "sexual": 2, "hateful": 3}
 #: Most labelled rows that are fitted.
@@ -37,12 +37,18 @@ MAX_EXAMPLES = 5_000
 CASE = 0.5
 #: Prior standard deviations (means are 0) of concept features and of words from the examples.
 SD_CONCEPT, SD_WORD = 0.7, 0.35
+#: Words of a passage from which it is read in stretches.
+LONG = 28
 #: Rows made of each sentence in FRAMES, and what one of them counts beside a labelled row.
-FILLS, FRAME_MASS = 4, 0.4
+FILLS, FRAME_MASS = 10, 0.2
+#: What a clean passage of unknown words counts, whether there are pages or not.
+NOTHING_MASS = 300.0
+#: How often the model is fitted.
+STEPS = 4
 #: Rows made of each English sentence of an abusive or hateful case with REPORTS around it.
 TOLD = 2
 #: Unlabelled documents and their passages that the fit sees, longest text of any fitted row, and what all those passages count together.
-MAX_PAGES, MAX_PASSAGES, MAX_CHARS, UNLABELLED_MASS = 500, 4_000, 20_000, 200.0
+MAX_PAGES, MAX_PASSAGES, MAX_CHARS, UNLABELLED_MASS = 2_000, 8_000, 20_000, 2000.0
 
 _LOOKALIKE = dict(zip(map(ord, "авекмнорстухіјѕԁһӏɡ"), "abekmhopctyxijsdhlg"))
 _LEET = [dict(zip(map(ord, "013456789@$!+"), to)) for to in ("oleasgtbgasit", "oieasgtbgasit")]
@@ -216,9 +222,15 @@ class Lexicon:
         return sorted({f"w:{w}" for w in words} | {f"b:{a}_{b}" for a, b in zip(words, words[1:])} | set(names))
 
 
+def windows(passage: str) -> list[str]:
+    """A passage of up to ``LONG`` words as it is; a longer one in stretches of that many, each half within the next."""
+    words = passage.split()
+    return [passage] if len(words) <= LONG else [" ".join(words[i : i + LONG]) for i in range(0, len(words) - LONG // 2, LONG // 2)]
+
+
 def passages(text: str) -> list[str]:
-    """Folded passages of a whole text: sentences, and lines."""
-    return [p for p in _SENTENCE.split(fold(text)) if p and not p.isspace()]
+    """Folded passages of a whole text: sentences, and lines; menus and lines without full stops in stretches."""
+    return [x for p in _SENTENCE.split(fold(text)) if p and not p.isspace() for x in windows(p)]
 
 
 def fit_ordinal(rows: list[list[str]], grades: list[int], mass: list[float] | None = None, sd: tuple[float, float] = (SD_CONCEPT, SD_WORD), steps: int = 400) -> tuple[dict[str, float], list[float]]:
@@ -265,7 +277,7 @@ def frame_rows() -> list[tuple[str, int]]:
 
     Sentences of abusive and hateful cases also stand in REPORTS as clean rows, ``TOLD`` for each English one.
     """
-    words = {c: [w.rstrip("*") for w in map(fold, ws.split())] for c, ws in CONCEPTS.items()}
+    words = {c: [w.rstrip("*") for w in map(fold, ws.split())] for c, ws in CONCEPTS.items()} | PHRASES
     turn: Counter = Counter()
 
     def fill(m: re.Match) -> str:
@@ -351,19 +363,22 @@ class Model:
 
 
 def _model(rows: list[tuple[str, int]], unlabelled: list[str] = ()) -> Model:
-    """Model of clean rows, FRAMES and unlabelled passages, fitted in three steps.
+    """Model of clean rows, FRAMES and unlabelled passages, fitted in ``STEPS`` steps.
 
-    The second takes of every case the passage that the first scores highest. The third adds, as clean rows of little
-    mass, the unlabelled passages that the second takes for clean: they show how ordinary pages read, which few labelled
-    rows do; passages it takes for cases stay unlabelled.
+    The second takes of every case the passage that the first scores highest. The later ones add, as clean rows of little
+    mass, the unlabelled passages that the step before takes for clean: they show how ordinary pages read, which few labelled
+    rows do; passages it takes for cases stay unlabelled. Unlabelled passages without any word of the lists are clean in every step:
+    they hold down what a passage of unknown words scores.
     """
     real = {w for t, g in rows if g == 0 for w in _WORD.findall(fold(t))}
     lexicon = Lexicon(real, group_names(rows, Lexicon(real)))
     frames, model = frame_rows(), None
-    for step in range(3):
+    plain = {p for p in unlabelled if not lexicon.read(p)[1]}
+    for step in range(STEPS):
         best = (lambda t: " ".join(passages(t))) if model is None else lambda t: max(passages(t), key=model.linear)  # noqa: B023
-        known: dict[tuple[str, int], float] = {(p, 0): UNLABELLED_MASS / len(unlabelled) for p in unlabelled if model.severity(model.linear(p)) < 0.5} if step == 2 else {}
-        known |= {(p, g): FRAME_MASS for p, g in frames}
+        some = [p for p in unlabelled if p in plain or (step >= 2 and model.severity(model.linear(p)) < CASE)]
+        known: dict[tuple[str, int], float] = {(p, 0): UNLABELLED_MASS / len(unlabelled) for p in some}
+        known |= {(p, g): FRAME_MASS for p, g in frames} | {("", 0): NOTHING_MASS}
         known |= {(p, g): 1.0 for t, g in rows for p in (passages(t) if g == 0 else [best(t)])}  # a passage counts once a grade
         keys = sorted(known)
         model = Model(*fit_ordinal([lexicon.features(p) for p, _ in keys], [g for _, g in keys], [known[k] for k in keys]), lexicon)
@@ -418,10 +433,12 @@ def held_out(rows: list[tuple[str, int]], unlabelled: list[str] = (), folds: int
 
 
 def train(examples: list[tuple[str, str]], pages: list[str] = ()) -> Model:
-    """Model of (text, label) rows and unlabelled pages."""
+    """Model of (text, label) rows and unlabelled pages, half of whose fitted passages have telling words as long as there are so many."""
     rows = without_slips(clean_examples(examples))
     plain = {re.sub("[0-9]+", "0", p) for t in pages for p in passages(t) if len(p) < 1000}
-    some = sorted(plain, key=lambda p: (zlib.crc32(p.encode()), p))[:MAX_PASSAGES]
+    lexicon, least = Lexicon(), sorted(plain, key=lambda p: (zlib.crc32(p.encode()), p))
+    telling = [p for p in least if not _TELLING.isdisjoint(n[2:] for n in lexicon.read(p)[1] if n[0] == "c")][: MAX_PASSAGES // 2]
+    some = sorted({*telling, *least[: MAX_PASSAGES - len(telling)]})
     return _model(rows, some)
 
 

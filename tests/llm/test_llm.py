@@ -289,6 +289,23 @@ def test_reported_frames_are_clean_rows():
     assert told and not any(g for _, g in told)
 
 
+def test_case_in_a_long_line_is_found(model):
+    """A line without full stops is read in stretches, so menus and other sentences don't outweigh a case in it."""
+    menu = "Weather | garden | tools | seeds | shop | rules | plants | trees | machines | search | law | privacy | " * 4
+    other = "Home | About us | Downloads | Contact | Help | Sitemap | Browse | Register | Home | About us | Downloads | Contact | Help"
+    assert model.score(f"{menu} {other} You are a worthless moron") >= severity.CASE
+    assert model.score(f"{menu} {other}") < severity.CASE
+    assert severity.windows("a b c") == ["a b c"]
+    words = [str(i) for i in range(100)]
+    assert {w for x in severity.windows(" ".join(words)) for w in x.split()} == set(words)
+
+
+def test_ordinary_pages_are_clean_without_labels():
+    """What most pages say stays clean even if no label shows it: unlabelled passages hold it down."""
+    model, texts = severity.train([], pages()), pages()
+    assert sum(model.score(t) >= severity.CASE for t in texts) <= 0.1 * len(texts)
+
+
 def test_model_survives_shipping(model):
     import pickle
 
